@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casework.llm.embedding_dedup import embedding_dedup
 from casework.llm.exact_dedup import exact_dedup
 from casework.llm.mixing import mix_sources
 from casework.llm.packing import pack_documents
@@ -38,8 +39,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer=word_tokenizer())
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op7_mix_sources, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op7_mix_sources, op9_best_fit_packing, op10_embedding_dedup)}
 
 
 ORACLES = {
