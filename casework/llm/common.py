@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def unit_interval(*columns: Column | int) -> Column:
     """A number in [0, 1) that depends on the arguments only."""
     return F.pmod(F.xxhash64(*[F.lit(c) if isinstance(c, int) else c for c in columns]), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as compressed Parquet into the shared checkpoint folder and read them back: for wide rows that
+    several jobs read. The folder is deleted when the application ends."""
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)

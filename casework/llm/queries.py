@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from casework.llm.embedding_dedup import embedding_dedup
 from casework.llm.exact_dedup import exact_dedup
 from casework.llm.mixing import mix_sources
+from casework.llm.near_dedup import near_dedup
 from casework.llm.packing import pack_documents
 from casework.llm.quality import quality_scores
 
@@ -35,6 +36,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), size=4)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer=word_tokenizer())
 
@@ -44,7 +49,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op7_mix_sources, op9_best_fit_packing, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op7_mix_sources, op8_minhash_near_dedup, op9_best_fit_packing, op10_embedding_dedup)}
 
 
 ORACLES = {
