@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casework.llm.embedding_dedup import embedding_dedup
 from casework.llm.exact_dedup import exact_dedup
+from casework.llm.line_dedup import line_decisions
 from casework.llm.mixing import mix_sources
 from casework.llm.near_dedup import near_dedup
 from casework.llm.packing import pack_documents
@@ -32,6 +34,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    gone = line_decisions(docs)
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    return counts.join(gone, "doc_id", "left").select(
+        "doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.array_join(dropped, ",").alias("dropped_lines")
+    )
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op7_mix_sources, op8_minhash_near_dedup, op9_best_fit_packing, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op4_line_dedup, op7_mix_sources, op8_minhash_near_dedup, op9_best_fit_packing, op10_embedding_dedup)}
 
 
 ORACLES = {
