@@ -14,6 +14,7 @@ from casework.llm.mixing import mix_sources
 from casework.llm.near_dedup import near_dedup
 from casework.llm.packing import pack_documents
 from casework.llm.quality import quality_scores
+from casework.llm.url_filter import url_host, url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,25 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed values of the query: verdict, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+#: Hosts whose pages make up the list of URLs to block.
+LISTED_HOSTS = r"casino|pills|bets"
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(url_host(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return url_verdicts(pages, listed, URL_RULES)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -61,10 +81,27 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op4_line_dedup, op7_mix_sources, op8_minhash_near_dedup, op9_best_fit_packing, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op4_line_dedup, op6_url_filter, op7_mix_sources, op8_minhash_near_dedup, op9_best_fit_packing, op10_embedding_dedup)}
 
 
 ORACLES = {
+    # A listed URL is one whose canonical form belongs to some page of a listed host, and that form keeps the host,
+    # so a page is listed when its own host is.
+    "op6_url_filter": r"""
+        WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+        parts AS (SELECT page_id,
+            coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+        rules AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+            ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS r(verdict, rule_host, rule_path)),
+        fits AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                        arg_max(verdict, length(rule_host || rule_path)) AS verdict
+            FROM parts JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+        listed AS (SELECT page_id, regexp_matches(host, 'casino|pills|bets') AS listed FROM parts)
+        SELECT p.page_id, p.host, p.path, f.rule,
+               coalesce(f.verdict, CASE WHEN l.listed THEN 'block' ELSE 'allow' END) AS verdict, l.listed
+        FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id JOIN listed l ON p.page_id = l.page_id
+    """,
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
