@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from casework.llm.embedding_dedup import embedding_dedup
 from casework.llm.exact_dedup import exact_dedup
+from casework.llm.licences import known_digests, licence_scan
 from casework.llm.line_dedup import line_decisions
 from casework.llm.mixing import mix_sources
 from casework.llm.near_dedup import near_dedup
 from casework.llm.packing import pack_documents
 from casework.llm.quality import quality_scores
+from casework.llm.token_counts import redacted_token_counts
 from casework.llm.url_filter import url_host, url_verdicts
 
 
@@ -35,6 +37,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return redacted_token_counts(
+        _table(spark, sf_dir, "documents"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
@@ -45,6 +55,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_scan(_table(spark, sf_dir, "documents"), known_digests(spark))
+    return found.withColumn("licences", F.array_join("licences", ","))
+
+
 #: Fixed values of the query: verdict, host, path.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -81,7 +96,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op4_line_dedup, op6_url_filter, op7_mix_sources, op8_minhash_near_dedup, op9_best_fit_packing, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_token_counts, op4_line_dedup, op5_licence_scan, op6_url_filter, op7_mix_sources, op8_minhash_near_dedup, op9_best_fit_packing, op10_embedding_dedup)}
 
 
 ORACLES = {
