@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from casework.llm.common import plain_text
 
 LEAF = 64  # pre-tokens of a leaf when it is built
-_CACHED = 400_000
+_YOUNG = 500_000
 
 TREES = "doc_id long, text string, chars array<int>, pretokens array<int>, tokens array<int>"
 EDITS = "array<struct<start:int,stop:int,text:string>>"
@@ -30,13 +30,14 @@ class PretokenCounts(dict):
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encoding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
+        self.pattern, self._old = regex.compile(pattern), {}
 
     def __missing__(self, pretoken: str) -> int:
-        n = len(self._encoding.encode_ordinary(pretoken))
-        if len(self) >= _CACHED:
-            self.clear()
+        n = self._old.get(pretoken) or len(self._encoding.encode_ordinary(pretoken))
         if len(pretoken) <= 40:
+            if len(self) >= _YOUNG:  # the full generation stays behind this one, so frequent pre-tokens come back
+                self._old = dict(self)
+                self.clear()
             self[pretoken] = n
         return n
 
