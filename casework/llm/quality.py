@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +118,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def quality_scores(
+def with_quality(
     docs: DataFrame,
     labels: DataFrame,
     *,
@@ -128,8 +128,9 @@ def quality_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
+    returned: list[str] | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+    """The documents with ``score`` and ``predicted``; of their own columns those named in ``returned``, else all.
 
     The model is fitted on at most ``max_train_rows`` labelled rows outside the held-out fold, those with the smallest
     hash of their id, so the same rows whatever the partitioning; their number and so the driver's memory is bounded.
@@ -138,7 +139,7 @@ def quality_scores(
 
     Defined results: null and empty texts get the score of no n-gram at all; an id that is labelled more than once
     takes the rounded mean label; null labels and null ids teach nothing; without labels every score is 0.5; an empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; columns of the documents named score or predicted are replaced.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
     marked = (
@@ -153,13 +154,19 @@ def quality_scores(
     taught = rows.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     model = fit_nbsvm(taught["text"].tolist(), taught["label"].tolist(), seed=seed)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in (docs.columns if returned is None else returned) if c not in ("score", "predicted")]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.scores(batch["text"].tolist())
-            frame = batch[["doc_id", "held_out"]].assign(score=scores, predicted=(scores >= threshold).astype("int32"))
-            yield frame.astype({"doc_id": "Int64"})
+            scores = shared.value.scores([text or "" for text in batch.column(text_col).to_pylist()])
+            columns = [batch.column(c) for c in kept] + [pa.array(scores), pa.array((scores >= threshold).astype("int32"))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "score", "predicted"])
 
-    return rows.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(
-        score, "doc_id long, held_out boolean, score double, predicted int"
-    )
+    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add("score", "double").add("predicted", "integer")
+    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text_col])]).mapInArrow(score, schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **parameters) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted (see with_quality)."""
+    scored = with_quality(docs, labels, id_col=id_col, returned=[id_col], **parameters)
+    return scored.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), "score", "predicted")
