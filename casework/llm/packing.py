@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,41 +14,89 @@ from pyspark.sql import functions as F
 
 from casework.llm.common import cut, plain_text
 
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_CACHED_WORDS = 400_000
+_YOUNG_WORDS = 400_000
 _CACHED_LENGTH = 40
 
+#: Printable ASCII and Latin letters with one form only, without the opening of a special token: what the tokenizer's
+#: normalizer merely lower-cases. And how the tokenizer splits such words.
+_PLAIN = re.compile(r"(?:[!-;=-~À-ÖØ-öø-ÿ]|<(?!\|))+")
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+#: Byte-level BPE writes each byte as a character: itself where that is printable, else the next one from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHAR = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """The token ids of a word as little-endian 32-bit bytes, encoded when first asked for.
+class _Recent(dict):
+    """A bounded cache in two generations: a full young one becomes the old one, and keys that are met again come back
+    from there, so frequent keys stay."""
+
+    def __init__(self) -> None:
+        self._old: dict = {}
+
+    def make(self, key: bytes | str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: bytes | str) -> bytes:
+        ids = self._old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= _CACHED_LENGTH:
+            if len(self) >= _YOUNG_WORDS:
+                self._old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class _PartIds(_Recent):
+    """Ids of one lower-case pre-token for which the tokenizer's normalizer changes nothing."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self._model = tokenizer.model
+
+    def make(self, key: str) -> bytes:
+        return np.array([t.id for t in self._model.tokenize("".join(map(_AS_CHAR.__getitem__, key.encode())))], "<u4").tobytes()
+
+
+class WordIds(_Recent):
+    """The token ids of a word (UTF-8) as little-endian 32-bit bytes, encoded when first asked for.
 
     For tokenizers that drop white space and never merge across it, so that a text's ids are its words' ids in order.
+    Plain words are made of their lower-case pre-tokens, which repeat far more than words do.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
+        self._parts = _PartIds(self._tokenizer)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self._tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        if len(word) <= _CACHED_LENGTH:
-            self[word] = ids
-        return ids
+    def make(self, key: bytes) -> bytes:
+        text = key.decode("utf-8", "surrogatepass")
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self._parts.__getitem__, _PRETOKEN.findall(text.lower())))
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def of_text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _SPACE.split(text)))
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """One for each Python worker, which keeps it from task to task."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, *, tokenizer: str, length: int, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and a separator, cut into pieces of ``length`` ids where longer; the ids only as checksum."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end, width = WordIds(tokenizer), np.uint32(separator).tobytes(), 4 * length
+        words, end, width = _word_ids(tokenizer), np.uint32(separator).tobytes(), 4 * length
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
