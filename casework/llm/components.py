@@ -1,4 +1,4 @@
-"""Connected components of a link table by repeated contraction, with DataFrame operations only."""
+"""Connected components of a link table by repeated random contraction, with DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -11,40 +11,41 @@ from casework.llm.common import cut
 def connected_components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """From links (a, b) the rows (node, component), component being the smallest node reachable.
 
-    Each round points every node to the smallest node beside it, follows the pointers twice, and replaces both ends of
-    each link by what they point to; links inside one node disappear. The links shrink by a factor each round, so
-    rounds grow with the logarithm of the longest chain. Pointers come from a minimum that is combined before the
-    shuffle, and the joins on the contracted ends are plain equi-joins, so a hub with many links is split by AQE.
+    Each round orders the nodes anew by a hash, points every node to the first one in that order among itself and its
+    neighbours, follows the pointers once, and replaces both ends of each link by what they point to; links inside one
+    node disappear. As the order is random, only a share of the nodes is left after a round, also on long chains in
+    order of id, so rounds grow with the logarithm of the nodes. Pointers come from an aggregate that combines before
+    the shuffle, and the joins on the contracted ends are plain equi-joins, so a hub with many links is split by AQE.
     Each round is cut in the shared checkpoint folder. Nodes without a link are not in the result; null ends and
     links from a node to itself are ignored.
     """
     edges = cut(links.select("a", "b").filter("a <> b").distinct())
     placed = None
-    for _ in range(max_rounds):
+    for number in range(max_rounds):
         if edges.isEmpty():
             break
+
+        def order(c: str, number: int = number):
+            return F.xxhash64(F.lit(number), c)
+
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "node")
-        for _ in range(2):
-            further = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            points = points.join(further, "to").select("node", F.col("next").alias("to"))
-        points = cut(points)
+        first = both.groupBy("a").agg(F.min_by("b", order("b")).alias("near"))
+        points = first.select(F.col("a").alias("node"), F.when(order("near") < order("a"), F.col("near")).otherwise(F.col("a")).alias("to"))
+        further = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        points = cut(points.join(further, "to").select("node", F.col("next").alias("to")))
         if placed is None:
-            placed = points.select("node", F.col("to").alias("component"))
+            placed = points.select("node", F.col("to").alias("root"))
         else:
-            moved = points.select(F.col("node").alias("component"), "to")
-            placed = placed.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            moved = points.select(F.col("node").alias("root"), "to")
+            placed = placed.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         at_a = points.select(F.col("node").alias("a"), F.col("to").alias("x"))
         at_b = points.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = cut(
-            edges.join(at_a, "a")
-            .join(at_b, "b")
-            .filter("x <> y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
+        joined = edges.join(at_a, "a").join(at_b, "b").filter("x <> y")
+        edges = cut(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if placed is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    return cut(placed)
+    placed = cut(placed)
+    least = placed.groupBy("root").agg(F.min("node").alias("component"))
+    return cut(placed.join(least, "root").select("node", "component"))
