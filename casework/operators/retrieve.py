@@ -19,8 +19,10 @@ WEIGHTS = (0.45, 0.15, 0.20, 0.10, 0.10)
 
 def against_all(queries: DataFrame, candidates: DataFrame, *, on: Column | None = None, key: str = "query_id", block: int = BLOCK) -> DataFrame:
     """Every row of a stated query set beside every candidate that meets ``on``, in blocks of at most ``block`` queries,
-    so that what is broadcast has a fixed size. Candidates are never moved."""
+    so that what is broadcast has a fixed size. Each candidate meets the whole block, so candidates are first dealt evenly
+    over all cores: narrow rows that move once, against work that is ``block`` times theirs."""
     blocks = max(1, math.ceil(queries.count() / block))
+    candidates = candidates.repartition(2 * queries.sparkSession.sparkContext.defaultParallelism)
     out = None
     for n in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == n)
@@ -53,8 +55,18 @@ def attribute_score(q: str = "q_") -> Column:
 
 
 def attribute_pool(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, case_id, entity_id, same, score, rank): the best ``k`` cases of other entities for each query."""
-    rows = against_all(queries, candidates, on=F.col("entity_id") != F.col("q_entity_id"))
+    """(query_id, case_id, entity_id, same, score, rank): the best ``k`` cases of other entities for each query.
+
+    Two passes over the candidates, neither of which sorts them: the first counts cases per query and hundredth of the
+    score, combined in each task, and finds the hundredth down to which ``k`` cases lie; the second scores again and
+    keeps only what reaches it, so that few rows are left to rank.
+    """
+    others = F.col("entity_id") != F.col("q_entity_id")
+    step = F.floor(attribute_score() * 100)
+    counts = against_all(queries, candidates, on=others).groupBy("query_id", step.alias("step")).agg(F.count("*").alias("n"))
+    down = Window.partitionBy("query_id").orderBy(F.desc("step"))
+    reached = counts.withColumn("n", F.sum("n").over(down)).groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("n") >= k, F.col("step"))), F.lit(0)).alias("q_step"))
+    rows = against_all(queries.join(reached, "query_id"), candidates, on=others & (step >= F.col("q_step")))
     scored = rows.select(
         "query_id", "case_id", "entity_id", (F.col("objective") == F.col("q_objective")).alias("same"), attribute_score().alias("score")
     )
@@ -119,11 +131,12 @@ def hybrid_topk(scored: DataFrame, k: int, alpha: float) -> DataFrame:
 
 
 def progressive_relaxation(scored: DataFrame, tiers: list[Column], k: int) -> DataFrame:
-    """Each query takes the strictest tier that still has ``k`` candidates, or the last. ``tiers`` go from strict to loose."""
-    w = Window.partitionBy("query_id")
-    chosen = F.coalesce(*[F.when(F.count(F.when(t, 1)).over(w) >= k, F.lit(n)) for n, t in enumerate(tiers)], F.lit(len(tiers) - 1))
+    """Each query takes the strictest tier that still has ``k`` candidates, or the last. ``tiers`` go from strict to loose.
+    The tiers are counted by one aggregate; only rows of the chosen tier are ranked."""
+    counts = scored.groupBy("query_id").agg(*[F.count_if(t).alias(f"n{n}") for n, t in enumerate(tiers)])
+    chosen = F.coalesce(*[F.when(F.col(f"n{n}") >= k, F.lit(n)) for n in range(len(tiers))], F.lit(len(tiers) - 1))
     inside = F.lit(False)
     for n, t in enumerate(tiers):
         inside = inside | ((F.col("tier") == n) & t)
-    kept = scored.withColumn("tier", chosen).filter(inside)
+    kept = scored.join(counts.select("query_id", chosen.alias("tier")), "query_id").filter(inside)
     return best(kept, ["query_id"], [F.desc("score"), F.asc("case_id")], k).select("query_id", "case_id", "score", "tier", "rank")
