@@ -12,12 +12,16 @@ from casework.plans.q_linkage import FOLD
 from casework.plans.registry import query
 from casework.sources.tables import Tables
 
-TEXT = F.coalesce(F.col("text"), F.lit(""))
+
+def body() -> Column:
+    """The text, with null as the empty text."""
+    return F.coalesce(F.col("text"), F.lit(""))
+
 
 
 @query(f"SELECT doc_id, md5({FOLD.format('text')}) AS folded FROM documents")
 def fold_text_documents(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(fold_text(TEXT)).alias("folded"))
+    return t.documents.select("doc_id", F.md5(fold_text(body())).alias("folded"))
 
 
 MARKUP, LINK, MAIL = r"<[^>]*>", r"https?://[^\s<>\"]+", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -48,12 +52,12 @@ def note_outcome(text: Column) -> Column:
 
 @query(f"SELECT conv_id, turn, {NOTE} AS outcome FROM conversations")
 def note_clean(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", note_outcome(TEXT).alias("outcome"))
+    return t.conversations.select("conv_id", "turn", note_outcome(body()).alias("outcome"))
 
 
 @query(f"SELECT role, {NOTE} AS outcome, count(*) AS n, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_before, CAST(sum(CASE WHEN {NOTE} IN ('kept', 'trimmed') THEN length(trim(coalesce(text, ''))) ELSE 0 END) AS BIGINT) AS n_after FROM conversations GROUP BY 1, 2")
 def clean_and_discard(t: Tables) -> DataFrame:
-    rows = t.conversations.select("role", TEXT.alias("text"), note_outcome(TEXT).alias("outcome"))
+    rows = t.conversations.select("role", body().alias("text"), note_outcome(body()).alias("outcome"))
     after = F.when(F.col("outcome").isin("kept", "trimmed"), F.length(F.trim("text"))).otherwise(0)
     return rows.groupBy("role", "outcome").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_before"), F.sum(after).alias("n_after"))
 
@@ -71,7 +75,7 @@ SQL_LABELS = ", labels AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN
 
 @query(SQL_LABELS + " SELECT doc_id, array_to_string(l, ',') AS labels, l[1] AS main, len(l) > 1 AS compound FROM labels")
 def label_taxonomy(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", labels(TEXT, LABELS).alias("l"))
+    rows = t.documents.select("doc_id", labels(body(), LABELS).alias("l"))
     return rows.select("doc_id", F.array_join("l", ",").alias("labels"), F.get("l", F.lit(0)).alias("main"), (F.size("l") > 1).alias("compound"))
 
 
@@ -83,7 +87,7 @@ SIGNALS = {n: (f"(^|[^a-z])({words})([^a-z]|$)", 2) for n, words in {"en": "the|
     top AS (SELECT doc_id, h.label AS label, h.score AS score, row_number() OVER w AS r, lead(h.score) OVER w AS second FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY h.score DESC, h.label))
     SELECT doc_id, CASE WHEN score = 0 THEN 'unclassified' WHEN score = second THEN 'ambiguous' ELSE label END AS label, CAST(score AS INTEGER) AS score FROM top WHERE r = 1""")
 def signal_classify(t: Tables) -> DataFrame:
-    scores = [F.struct((F.least(F.regexp_count(F.lower(TEXT), F.lit(p)), F.lit(4)) * w).alias("score"), F.lit(n).alias("label")) for n, (p, w) in SIGNALS.items()]
+    scores = [F.struct((F.least(F.regexp_count(F.lower(body()), F.lit(p)), F.lit(4)) * w).alias("score"), F.lit(n).alias("label")) for n, (p, w) in SIGNALS.items()]
     ordered = F.array_sort(F.array(*scores), lambda x, y: F.when(x["score"] != y["score"], y["score"] - x["score"]).when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0))
     rows = t.documents.select("doc_id", ordered.alias("s"))
     first, second = F.col("s")[0], F.col("s")[1]
@@ -96,7 +100,7 @@ SQL_LINES = ", lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, un
 
 
 def _lines(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(F.split(TEXT, "\n")).alias("pos", "line"))
+    return t.documents.select("doc_id", F.posexplode(F.split(body(), "\n")).alias("pos", "line"))
 
 
 @query(SQL_LINES + f", heads AS (SELECT doc_id, pos, regexp_extract(line, '{HEAD}', 1) AS head, length(regexp_extract(line, '{HEAD}', 2)) AS n_rest FROM lines) SELECT doc_id, pos, head, n_rest FROM heads WHERE head <> ''")
@@ -189,7 +193,7 @@ def date_from_text(t: Tables) -> DataFrame:
     df AS (SELECT word, count(*) AS df FROM tok GROUP BY 1), s AS (SELECT conv_id, turn, round(sum(ln(((SELECT count(*) FROM notes) + 1) / (df + 1))), 6) AS score FROM tok JOIN df USING (word) GROUP BY 1, 2)
     SELECT conv_id, turn, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS place FROM s QUALIFY place <= 3""")
 def idf_top_notes(t: Tables) -> DataFrame:
-    notes = t.conversations.select("conv_id", "turn", F.array_distinct(F.filter(F.split(F.lower(TEXT), "[^a-z]+"), lambda x: x != "")).alias("w"))
+    notes = t.conversations.select("conv_id", "turn", F.array_distinct(F.filter(F.split(F.lower(body()), "[^a-z]+"), lambda x: x != "")).alias("w"))
     words = notes.select("conv_id", "turn", F.explode("w").alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(notes.agg(F.count("*").alias("total"))))
     idf = F.log((F.col("total") + 1) / (F.col("df") + 1))
@@ -219,7 +223,7 @@ PII_SQL = " UNION ALL ".join(f"SELECT '{n}' AS detector, count(*) FILTER (WHERE
 
 @query(" " + PII_SQL)
 def pii_scan(t: Tables) -> DataFrame:
-    counts = t.documents.select(*[F.regexp_count(TEXT, F.lit(p)).alias(n) for n, p in DETECTORS.items()])
+    counts = t.documents.select(*[F.regexp_count(body(), F.lit(p)).alias(n) for n, p in DETECTORS.items()])
     sums = counts.agg(*[F.count_if(F.col(n) > 0).alias("r_" + n) for n in DETECTORS], *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("h_" + n) for n in DETECTORS])
     pairs = ", ".join(f"'{n}', r_{n}, h_{n}" for n in DETECTORS)
     return sums.selectExpr(f"stack({len(DETECTORS)}, {pairs}) AS (detector, n_rows, n_hits)")
@@ -246,19 +250,19 @@ def quasi_identifier_uniqueness(t: Tables) -> DataFrame:
 @query(", tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents) SELECT doc_id, count(*) AS n_hits FROM tok WHERE sha256('salt' || w) IN (SELECT sha256('salt' || x) FROM (VALUES ('idiot'), ('clown'), ('moron'), ('stupid')) v(x)) GROUP BY 1")
 def hashed_dictionary_hits(t: Tables) -> DataFrame:
     secret = t.spark.createDataFrame([("idiot",), ("clown",), ("moron",), ("stupid",)], "w string").select(F.sha2(F.concat(F.lit("salt"), "w"), 256).alias("digest"))
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(TEXT), F.lit("([a-z]+)")))).alias("w"))
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body()), F.lit("([a-z]+)")))).alias("w"))
     return words.withColumn("digest", F.sha2(F.concat(F.lit("salt"), "w"), 256)).join(F.broadcast(secret), "digest", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_hits"))
 
 
 @query(f"SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '[0-9]{{3,}}') AS sensitive, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[0-9]{{3,}}') THEN md5(coalesce(text, '')) END AS public FROM conversations")
 def split_sensitive(t: Tables) -> DataFrame:
-    sensitive = TEXT.rlike("[0-9]{3,}")
-    return t.conversations.select("conv_id", "turn", sensitive.alias("sensitive"), F.when(~sensitive, F.md5(TEXT)).alias("public"))
+    sensitive = body().rlike("[0-9]{3,}")
+    return t.conversations.select("conv_id", "turn", sensitive.alias("sensitive"), F.when(~sensitive, F.md5(body())).alias("public"))
 
 
 @query("SELECT doc_id, length(coalesce(text, '')) >= 20000 OR coalesce(text, '') LIKE '%Licensed under%' AS carryover FROM documents")
 def carryover_flag(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", ((F.length(TEXT) >= 20000) | TEXT.like("%Licensed under%")).alias("carryover"))
+    return t.documents.select("doc_id", ((F.length(body()) >= 20000) | body().like("%Licensed under%")).alias("carryover"))
 
 
 @query("SELECT page_id, array_to_string(list_transform(list_filter(string_split_regex(lower(coalesce(url, '')), '[^a-z]+'), lambda x: x <> ''), lambda x: CASE WHEN x IN ('http', 'https', 'www', 'com', 'net', 'org', 'example', 'en', 'de', 'fr', 'es', 'html') THEN x ELSE left(sha256('salt' || x), 8) END), ' ') AS masked FROM pages")
