@@ -90,26 +90,28 @@ def _links(rows: DataFrame, *, cosine: float, tables: int, bits: int, seed: int,
     by = ["table", "code", "width", "low", "high"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def whole(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if len(frame) > 1:
-                table, _, _, low, high = frame[by].iloc[0]
-                marks = np.stack([np.frombuffer(c, np.int64) for c in frame["codes"]])
-                yield from _bucket_links(frame["rep"].to_numpy(), frame["left"].to_numpy(bool), _unit(frame["blob"].tolist()), marks, int(table), bool(low != high), cosine)
-
-        held: list[pd.DataFrame] = []
+        def complete(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """Links of whole buckets; arrays are made once for all rows of a width, buckets are slices of them."""
+            for _, part in frame.groupby("width", sort=False):
+                ids, left, table = part["rep"].to_numpy(), part["left"].to_numpy(bool), part["table"].to_numpy()
+                x, codes = _unit(part["blob"].tolist()), np.stack([np.frombuffer(c, np.int64) for c in part["codes"]])
+                split, marks = part["low"].to_numpy() != part["high"].to_numpy(), part[by].to_numpy()
+                cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
+                for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+                    if stop - start > 1:
+                        own = slice(start, stop)
+                        yield from _bucket_links(ids[own], left[own], x[own], codes[own], int(table[start]), bool(split[start]), cosine)
+
+        held: pd.DataFrame | None = None
         for batch in batches:
-            if not len(batch):
-                continue
-            marks = batch[by].to_numpy()
-            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(batch)]
-            for start, stop in zip(cuts, cuts[1:], strict=False):
-                part = batch.iloc[start:stop]
-                if held and (held[-1][by].iloc[-1].to_numpy() != part[by].iloc[0].to_numpy()).any():
-                    yield from whole(pd.concat(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield from whole(pd.concat(held))
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(frame):
+                marks = frame[by].to_numpy()
+                last = int(np.flatnonzero((marks != marks[-1]).any(1))[-1]) + 1 if (marks != marks[-1]).any() else 0
+                yield from complete(frame.iloc[:last])
+                held = frame.iloc[last:]
+        if held is not None:
+            yield from complete(held)
 
     return keyed.mapInPandas(search, "a long, b long")
 
