@@ -261,7 +261,7 @@ def asof_strict(t: Tables) -> DataFrame:
         WHERE p.marker = 'purchase' GROUP BY 1, 2) GROUP BY 1""")
 def asof_per_marker(t: Tables) -> DataFrame:
     markers = t.series.filter("marker <> 'purchase'").select("marker").distinct()
-    asked = t.series.filter("marker = 'purchase'").select(F.col("event_id").alias("query_id"), "entity_id", "ts").crossJoin(F.broadcast(markers.limit(100)))
+    asked = t.series.filter("marker = 'purchase'").select(F.col("event_id").alias("query_id"), "entity_id", "ts").crossJoin(markers)
     found = J.asof_strict(asked, t.series.filter("marker <> 'purchase'"), by=["entity_id", "marker"], left_time="ts", right_time="ts", values=["event_id"], tie="event_id")
     one = F.concat("marker", F.lit("="), F.col("found_event_id").cast("string"))
     return found.filter("found_event_id IS NOT NULL").groupBy(F.col("query_id").alias("event_id")).agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("readings"))
