@@ -116,7 +116,7 @@ SQL_CHECKS = f""", bands AS (SELECT family, unit, round(p05, 6) AS p05, round(p9
     violations AS (
         SELECT case_id, 'quantity_out_of_range' AS kind, slot, family AS subject, CAST(quantity AS DOUBLE) AS value, p05 AS low, p95 AS high FROM named_items JOIN bands USING (family, unit) WHERE quantity < p05 OR quantity > p95
         UNION ALL SELECT case_id, 'items_per_slot', slot, NULL, CAST(n AS DOUBLE), p05, p95 FROM per_slot JOIN slot_bands USING (slot) WHERE n < p05 OR n > p95
-        UNION ALL SELECT case_id, 'repeated_food', slot, NULL, CAST(repeats AS DOUBLE), p05, p95 FROM per_slot JOIN repeat_bands USING (slot) WHERE repeats < p05 OR repeats > p95
+        UNION ALL SELECT case_id, 'repeated_product', slot, NULL, CAST(repeats AS DOUBLE), p05, p95 FROM per_slot JOIN repeat_bands USING (slot) WHERE repeats < p05 OR repeats > p95
         UNION ALL SELECT case_id, 'slot_count', NULL, NULL, CAST(n AS DOUBLE), p05, p95 FROM per_case, case_band WHERE n < p05 OR n > p95
         UNION ALL SELECT case_id, 'alternative_groups_mixed', NULL, line_group, CAST(count(DISTINCT family) AS DOUBLE), NULL, 4 FROM named_items GROUP BY case_id, line_group HAVING count(DISTINCT family) > 4
         UNION ALL SELECT case_id, 'quantities_differ', slot, grp, CAST(count(DISTINCT quantity) AS DOUBLE), NULL, 1 FROM named_items GROUP BY case_id, slot, grp HAVING count(DISTINCT quantity) > 1)
@@ -138,7 +138,7 @@ def violations(t: Tables) -> DataFrame:
     parts = [
         R.violation(R.outside(rows, bands, ["family", "unit"], "quantity"), "quantity_out_of_range", slot="slot", subject="family", value="quantity", low="p05", high="p95"),
         R.violation(R.outside(per_slot, slot_bands, ["slot"], "n"), "items_per_slot", slot="slot", value="n", low="p05", high="p95"),
-        R.violation(R.outside(per_slot, repeat_bands, ["slot"], "repeats"), "repeated_food", slot="slot", value="repeats", low="p05", high="p95"),
+        R.violation(R.outside(per_slot, repeat_bands, ["slot"], "repeats"), "repeated_product", slot="slot", value="repeats", low="p05", high="p95"),
         R.violation(count_off, "slot_count", value="n", low="p05", high="p95"),
         R.violation(mixed, "alternative_groups_mixed", subject="line_group", value="n", high="most"),
         R.violation(differ, "quantities_differ", slot="slot", subject="grp", value="n", high="most"),
