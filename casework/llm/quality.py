@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,7 +134,7 @@ def with_quality(
     """The documents with ``score`` and ``predicted``; of their own columns those named in ``returned``, else all.
 
     The model is fitted on at most ``max_train_rows`` labelled rows outside the held-out fold, those with the smallest
-    hash of their id, so the same rows whatever the partitioning; their number and so the driver's memory is bounded.
+    hash of their id, so the same rows whatever the partitioning. Their number is bounded, and one task fits the model.
     Scoring is one pass over all texts without a shuffle; the model sent to it has 2**18 weights at any corpus size.
     Only the text is an input of a score.
 
@@ -150,9 +151,19 @@ def with_quality(
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
         .limit(max_train_rows)
     )
-    # At most max_train_rows ids were marked, so this broadcast, and what comes to the driver, are bounded.
-    taught = rows.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
-    model = fit_nbsvm(taught["text"].tolist(), taught["label"].tolist(), seed=seed)
+    # At most max_train_rows ids were marked, so this broadcast is bounded, and so is the one task that fits the model.
+    taught = rows.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc_id")
+        model = fit_nbsvm(frame["text"].tolist(), frame["label"].tolist(), seed=seed)
+        return pd.DataFrame([(model.weights.astype("<f4").tobytes(), model.offset, model.slope, model.shift)], columns=["weights", "offset", "slope", "shift"])
+
+    fitted = taught.groupBy().applyInPandas(fit, "weights binary, offset double, slope double, shift double").first()
+    if fitted is None:
+        model = fit_nbsvm([], [])
+    else:
+        model = NbSvm(np.frombuffer(fitted.weights, "<f4").astype(float), fitted.offset, fitted.slope, fitted.shift)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (docs.columns if returned is None else returned) if c not in ("score", "predicted")]
 
