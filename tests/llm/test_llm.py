@@ -189,6 +189,28 @@ def test_line_dedup(spark):
     assert line_dedup(docs_of(spark, [])).count() == 0
 
 
+def every_run(line):
+    line = line.strip(" \t\v\f\r").lower()
+    return {line[k : k + 12] for k in range(len(line) - 11)} or {line}
+
+
+def dropped_by_brute_force(lines, shingles):
+    sets = [shingles(x) for x in lines]
+    links = [(a, b) for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return {i for i, root in components(links).items() if i != root}
+
+
+def test_lines_without_spaces_are_read_to_their_end(spark):
+    rng = random.Random(60)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(80))
+    lines = ["https://www.a.com/1", "https://www.b.org/2", "ref 2024000000001234", "ref 2024000000005678", han, han[:60] + han[:20], han[:79] + "x"]
+    lines += ["".join(rng.choice("abcdef0123456789") for _ in range(64)) for _ in range(5)]
+    lines += ["deadbeef0123" + x for x in lines[7:]] + [x + "0" for x in lines[7:9]] + ["\U0001f600" * 3 + "".join(map(str, range(30)))]
+    want = dropped_by_brute_force(lines, every_run)
+    assert 6 in want and not want & {1, 3, 5}
+    assert {r.doc_id for r in line_decisions(docs_of(spark, [(i, x, "a") for i, x in enumerate(lines)])).collect()} == want
+
+
 def test_near_dedup(spark):
     rng = random.Random(7)
     rows = []
