@@ -39,10 +39,11 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), counts
     place = np.arange(len(data)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)]))))
-    # Words beyond 2**16 bytes reuse the powers in blocks; the block number is mixed in so that moved bytes still show.
+    # Places beyond 2**16 bytes of a word reuse the powers in blocks; there the block number is mixed in so that moved
+    # bytes still show. All else is as it would be without them: a word's hash depends on that word alone.
     value = _BYTE[data] * _POWER[place & 0xFFFF]
-    if (ends - starts).max() > 0xFFFF:
-        value = mixed(value + (place >> 16).astype(np.uint64)) * ~space
+    far = np.flatnonzero((place > 0xFFFF) & ~space)
+    value[far] = mixed(value[far] + (place[far] >> 16).astype(np.uint64))
     return mixed(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64)), counts
 
 

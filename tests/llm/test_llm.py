@@ -22,6 +22,7 @@ from casework.llm.line_dedup import line_decisions, line_dedup
 from casework.llm.mixing import mix_sources
 from casework.llm.near_dedup import near_dedup
 from casework.llm.quality import held_out, quality_scores, with_quality
+from casework.llm.wordhash import word_hashes
 
 WORDS = [a + b + c for a in "btkmsr" for b in "aeiou" for c in "lnrstx"]
 #: Columns whose names operators also use for themselves.
@@ -211,6 +212,21 @@ def test_lines_without_spaces_are_read_to_their_end(spark):
     assert {r.doc_id for r in line_decisions(docs_of(spark, [(i, x, "a") for i, x in enumerate(lines)])).collect()} == want
 
 
+def test_a_word_hash_depends_on_that_word_alone():
+    long = ["z" * 70_000, "z" * 65_536 + "y" + "z" * 4_463, "z" * 131_000, "z" * 70_000]
+    alone = [word_hashes([w])[0][0] for w in ["the", "quick", "brown", "fox", *long]]
+    beside, counts = word_hashes(["the quick brown fox", " " * 70_000 + " ".join(long)])
+    assert beside.tolist() == alone and counts.tolist() == [4, 4]
+    assert len(set(alone)) == 7
+
+
+def test_copies_beside_a_long_word_are_near(spark):
+    words = prose(random.Random(61), 300)
+    rows = [(1, words, "a"), (2, words, "a"), (3, "z" * 70_000, "a"), (4, words + " end", "a")]
+    docs = docs_of(spark, rows[:1]).union(docs_of(spark, rows[1:3]).coalesce(1)).union(docs_of(spark, rows[3:]))
+    assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
 def test_near_dedup(spark):
     rng = random.Random(7)
     rows = []
