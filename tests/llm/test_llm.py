@@ -212,6 +212,16 @@ def test_lines_without_spaces_are_read_to_their_end(spark):
     assert {r.doc_id for r in line_decisions(docs_of(spark, [(i, x, "a") for i, x in enumerate(lines)])).collect()} == want
 
 
+def test_lines_of_one_template_all_meet(spark):
+    rng = random.Random(62)
+    template = prose(rng, 24)
+    lines = [f"{template} {prose(rng, 5)}" for _ in range(120)]
+    lines += [x[:-2] + "zq" for x in rng.sample(lines, 30)]
+    want = dropped_by_brute_force(lines, every_run)
+    assert 30 <= len(want) <= 60
+    assert {r.doc_id for r in line_decisions(docs_of(spark, [(i, x, "a") for i, x in enumerate(lines)])).collect()} == want
+
+
 def test_a_word_hash_depends_on_that_word_alone():
     long = ["z" * 70_000, "z" * 65_536 + "y" + "z" * 4_463, "z" * 131_000, "z" * 70_000]
     alone = [word_hashes([w])[0][0] for w in ["the", "quick", "brown", "fox", *long]]
