@@ -43,6 +43,8 @@ def stream_reading_ingest(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def stream_latest_per_key(t: Tables) -> DataFrame:
-    name = f"latest_{uuid.uuid4().hex}"
-    ingest.stream_latest_per_key(_stream(t), key=["user_id", "event_type"], time="ts", tie="event_id", values=["event_id", "value"], name=name).awaitTermination()
-    return t.spark.table(name).select("user_id", "event_type", "newest.event_id", "newest.value")
+    folder, key = _shared_folder(t), ["user_id", "event_type"]
+    ingest.stream_latest_per_key(
+        _stream(t), key=key, time="ts", tie="event_id", values=["event_id", "value"], sink=f"{folder}/out", checkpoint=f"{folder}/state"
+    ).awaitTermination()
+    return ingest.latest_per_key(t.spark, f"{folder}/out", key=key).select("user_id", "event_type", "newest.event_id", "newest.value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,7 +25,19 @@ def stream_reading_ingest(readings: DataFrame, *, key: Sequence[str], time: str,
     return fresh.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
 
 
-def stream_latest_per_key(readings: DataFrame, *, key: Sequence[str], time: str, tie: str, values: Sequence[str], name: str) -> StreamingQuery:
-    """The newest values of each key as a table that is updated batch by batch; state is one row per key."""
-    newest = F.max_by(F.struct(*values), F.struct(time, tie)).alias("newest")
-    return readings.groupBy(*key).agg(newest).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def stream_latest_per_key(readings: DataFrame, *, key: Sequence[str], time: str, tie: str, values: Sequence[str], sink: str, checkpoint: str) -> StreamingQuery:
+    """The newest values of each key; state is one row per key. Each micro-batch adds the keys that it changed to the sink,
+    so a replayed batch only repeats rows; ``latest_per_key`` reads what holds."""
+    order = F.struct(time, tie)
+    newest = readings.groupBy(*key).agg(F.max(order).alias("at"), F.max_by(F.struct(*values), order).alias("newest"))
+    readings.sparkSession.createDataFrame([], newest.schema).write.mode("append").parquet(sink)
+
+    def append(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(sink)
+
+    return newest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
+
+
+def latest_per_key(spark: SparkSession, sink: str, *, key: Sequence[str]) -> DataFrame:
+    """Of the rows that ``stream_latest_per_key`` wrote the newest of each key: the key and ``newest``."""
+    return spark.read.parquet(sink).groupBy(*key).agg(F.max_by("newest", "at").alias("newest"))
