@@ -84,8 +84,15 @@ SPELLINGS: list[tuple[str, str]] = [
     ("v 2 0", "version 2 0"),
 ]
 
-#: Fixed value: a line that names the holder of rights, which differs from copy to copy.
-COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}©(]*(?:copyright\b|\(c\)|©)[^\n]*$"
+#: What follows the word in the body of a licence, where a line may happen to begin with it.
+BODY = r"(?:notices?|holders?|owners?|laws?|licen[cs]es?|and|or|in|is|are|of|to|statements?|acts?|protection|interests?|permissions?|patents?|disclaimers?)"
+
+#: Fixed value: a line that names the holder of rights, which differs from copy to copy; (c) alone also begins list items,
+#: so there it takes a year or a few words only.
+COPYRIGHT_LINE = (
+    r"(?im)^[^\p{L}\p{N}©(\n]*(?:copyright\b(?=[^\p{L}\p{N}\n]*[\p{L}\p{N}])(?![^\p{L}\p{N}\n]*" + BODY + r"\b)"
+    r"|\(c\)(?=[^\n]*\b(?:19|20)\d\d\b|(?:[^\S\n]*+\S++){1,6}+[^\S\n]*$)|©)[^\n]*$"
+)
 
 
 def canonical_licence(text: Column) -> Column:

@@ -347,6 +347,17 @@ def test_licences(spark):
     assert licence_scan(docs_of(spark, rows), known_digests(spark, [])).filter("n_units > 0").count() == 0
 
 
+def test_a_body_line_that_begins_with_copyright_stays(spark):
+    by_name = {name: text for name, text in reversed(KNOWN)}
+    isc = by_name["ISC"].replace("above copyright notice", "above\ncopyright notice")
+    mit = by_name["MIT"].replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")
+    rows = [(1, isc, "a"), (2, "Copyright (c) 2001-2004, Some One <a@b.c>\n\n" + mit, "a"), (3, "(c) Some One\n© Other\n * COPYRIGHT The Third\n" + mit, "a")]
+    rows += [(4, "(c) You must keep, in the source form of any work, this\n" + mit, "a"), (5, isc.replace("copyright notice", "notice"), "a")]
+    assert isc.count("\ncopyright") == 1 and mit.count("\nCOPYRIGHT") == 1
+    got = {r.doc_id: (r.licences, r.whole) for r in licence_scan(docs_of(spark, rows), known_digests(spark)).collect()}
+    assert got == {1: (["ISC"], True), 2: (["MIT"], True), 3: (["MIT"], True), 4: ([], False), 5: ([], False)}
+
+
 @pytest.fixture(scope="module")
 def bytes_vocabulary():
     import public_tokenizers
