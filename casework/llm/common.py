@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,12 @@ def plain_text(column: str = "text") -> Column:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the folder in spark.checkpoint.dir; only where nothing is set (tests) a local one is made."""
+    """The cluster names the folder in spark.checkpoint.dir; only a local session (tests) may go without and gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="casework-checkpoint-"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casework.llm.embedding_dedup import embedding_dedup
 from casework.llm.exact_dedup import exact_dedup
 from casework.llm.licences import known_digests, licence_scan
-from casework.llm.line_dedup import line_decisions
+from casework.llm.line_dedup import line_decisions, row_hash
 from casework.llm.mixing import mix_sources
 from casework.llm.near_dedup import near_dedup
 from casework.llm.packing import pack_documents
@@ -47,10 +47,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    gone = line_decisions(docs)
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    counts = docs.select("doc_id", row_hash("text").alias("text_hash"), lines.alias("n_lines"))
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return counts.join(gone, "doc_id", "left").select(
+    return counts.join(line_decisions(docs), ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.array_join(dropped, ",").alias("dropped_lines")
     )
 
