@@ -21,6 +21,11 @@ def plain_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_hash(text_col: str = "text") -> Column:
+    """What tells rows of one id apart, as ids may be repeated or null: a hash of the text."""
+    return F.xxhash64(F.lit("row"), plain_text(text_col))
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names the folder in spark.checkpoint.dir; only a local session (tests) may go without and gets its own."""
     sc = spark.sparkContext

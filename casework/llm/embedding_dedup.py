@@ -45,26 +45,49 @@ def _signs(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     return (on.reshape(len(x), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)
 
 
-def _bucket_links(ids: np.ndarray, left: np.ndarray, x: np.ndarray, codes: np.ndarray, table: int, split: bool, cosine: float) -> Iterator[pd.DataFrame]:
-    """Links of one bucket in blocks. A pair counts in the first table that has it together, so it is emitted once."""
+def _roots(near: np.ndarray, count: int) -> np.ndarray:
+    """For links as pairs of row numbers, the first row of each row's component: least neighbours until nothing changes."""
+    root = np.arange(count)
+    while len(near):
+        before = root.copy()
+        np.minimum.at(root, near[:, 0], root[near[:, 1]])
+        np.minimum.at(root, near[:, 1], root[near[:, 0]])
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def _bucket_links(ids: np.ndarray, members: np.ndarray, left: np.ndarray, x: np.ndarray, codes: np.ndarray, table: int, split: bool, cosine: float) -> pd.DataFrame | None:
+    """What the links of one bucket, found in blocks, come to: for each of its rows (a) a row (b) that stands for its component
+    here, and the members that it links with (far). A pair counts in the first table that has it together, so it counts once;
+    so many rows come out as went in, however many pairs are alike."""
     first, second = (np.flatnonzero(left), np.flatnonzero(~left)) if split else (np.arange(len(ids)),) * 2
+    far, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
     for i in range(0, len(first), _SIDE):
         for j in range(0 if split else i, len(second), _SIDE):
             p, q = first[i : i + _SIDE], second[j : j + _SIDE]
             a, b = np.nonzero(x[p] @ x[q].T >= cosine - 1e-9)
             a, b = p[a], q[b]
             if not split:
-                a, b = a[ids[a] < ids[b]], b[ids[a] < ids[b]]
-            a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
-            a, b = a[exact], b[exact]
-            once = (codes[a, :table] != codes[b, :table]).all(1)
-            if once.any():
-                yield pd.DataFrame({"a": ids[a[once]], "b": ids[b[once]]})
+                a, b = a[a < b], b[a < b]
+            good = np.flatnonzero((codes[a, :table] != codes[b, :table]).all(1))
+            for at in range(0, len(good), 1 << 14):
+                u, v = a[good[at : at + (1 << 14)]], b[good[at : at + (1 << 14)]]
+                exact = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
+                u, v = u[exact], v[exact]
+                np.add.at(far, u, members[v])
+                np.add.at(far, v, members[u])
+                root = _roots(np.stack((root[u], root[v]), 1), len(ids))[root]
+    some = np.flatnonzero(far)
+    if not len(some):
+        return None
+    return pd.DataFrame({"a": ids[some], "b": ids[root[some]], "far": far[some]})
 
 
 def _links(rows: DataFrame, *, cosine: float, tables: int, bits: int, seed: int, bucket: int) -> DataFrame:
-    """Links (a, b), a < b, between rows (rep, blob): each pair with the cosine or more that shares a bucket, once."""
+    """Rows (a, b, far) from rows (rep, blob, members): the members of all classes that ``a`` links with in one bucket, and
+    a class ``b`` that stands there for its component. Each pair with the cosine or more that shares a bucket counts once."""
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -72,9 +95,9 @@ def _links(rows: DataFrame, *, cosine: float, tables: int, bits: int, seed: int,
                 for at in range(0, len(part), 1024):
                     some = part.iloc[at : at + 1024]
                     signs = _signs(_unit(some["blob"].tolist()), tables, bits, seed)
-                    yield pd.DataFrame({"rep": some["rep"].to_numpy(), "blob": some["blob"].to_numpy(), "codes": [c.tobytes() for c in signs], "code": list(signs)})
+                    yield pd.DataFrame({"rep": some["rep"].to_numpy(), "blob": some["blob"].to_numpy(), "members": some["members"].to_numpy(), "codes": [c.tobytes() for c in signs], "code": list(signs)})
 
-    coded = cut(rows.mapInPandas(codes, "rep long, blob binary, codes binary, code array<long>"))
+    coded = cut(rows.mapInPandas(codes, "rep long, blob binary, members long, codes binary, code array<long>"))
     keys = coded.select("rep", F.length("blob").alias("width"), F.posexplode("code").alias("table", "code"))
     counted = keys.groupBy("width", "table", "code").agg(F.count("*").alias("n")).filter("n > 1")
     in_buckets = cut(keys.join(counted, ["width", "table", "code"]))
@@ -84,7 +107,7 @@ def _links(rows: DataFrame, *, cosine: float, tables: int, bits: int, seed: int,
     dealt = (
         in_buckets.select("rep", "width", "table", "code", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("rep", "width", "table", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("left"))
-        .join(coded.select("rep", "blob", "codes"), "rep")
+        .join(coded.select("rep", "blob", "members", "codes"), "rep")
     )
     keyed = dealt.repartition("table", "code", "width", "low", "high").sortWithinPartitions("table", "code", "width", "low", "high", "rep")
     by = ["table", "code", "width", "low", "high"]
@@ -93,14 +116,16 @@ def _links(rows: DataFrame, *, cosine: float, tables: int, bits: int, seed: int,
         def complete(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             """Links of whole buckets; arrays are made once for all rows of a width, buckets are slices of them."""
             for _, part in frame.groupby("width", sort=False):
-                ids, left, table = part["rep"].to_numpy(), part["left"].to_numpy(bool), part["table"].to_numpy()
+                ids, members, left, table = part["rep"].to_numpy(), part["members"].to_numpy(), part["left"].to_numpy(bool), part["table"].to_numpy()
                 x, codes = _unit(part["blob"].tolist()), np.stack([np.frombuffer(c, np.int64) for c in part["codes"]])
                 split, marks = part["low"].to_numpy() != part["high"].to_numpy(), part[by].to_numpy()
                 cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
                 for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
                     if stop - start > 1:
                         own = slice(start, stop)
-                        yield from _bucket_links(ids[own], left[own], x[own], codes[own], int(table[start]), bool(split[start]), cosine)
+                        found = _bucket_links(ids[own], members[own], left[own], x[own], codes[own], int(table[start]), bool(split[start]), cosine)
+                        if found is not None:
+                            yield found
 
         held: pd.DataFrame | None = None
         for batch in batches:
@@ -113,14 +138,14 @@ def _links(rows: DataFrame, *, cosine: float, tables: int, bits: int, seed: int,
         if held is not None:
             yield from complete(held)
 
-    return keyed.mapInPandas(search, "a long, b long")
+    return keyed.mapInPandas(search, "a long, b long, far long")
 
 
 def embedding_dedup(
     vectors: DataFrame,
     *,
     cosine: float = 0.95,
-    bits: int = 12,
+    bits: int | None = None,
     recall: float = 0.9999,
     seed: int = 29,
     bucket: int = 2048,
@@ -132,13 +157,15 @@ def embedding_dedup(
     Equal vectors form a class first, so a vector repeated a million times is compared once; members link with each
     other and share the links of their class. Classes meet in the buckets of several tables of random-hyperplane
     signs, as many tables as give a pair at the threshold the asked recall (closer pairs have more), and each pair
-    that meets is decided by its cosine in double precision. Links below the threshold never count. ``bits`` should
-    follow log2 of the number of vectors less 4 or so; buckets that are crowded all the same are dealt in blocks.
+    that meets is decided by its cosine in double precision. Links below the threshold never count. ``bits`` follow
+    log2 of the counted classes less 4, so that buckets do not grow with the table; buckets that are crowded all the same
+    are dealt in blocks. A bucket returns one row per class, link counts and a spanning set of links, not its pairs.
 
     Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing,
     also not with its like; vectors of different lengths do not link; rows with a null id are left out of links and
-    are their own component (null); rows that repeat an id and a vector are counted as one vector each; an empty table
-    gives an empty result; labels and other columns are ignored.
+    are their own component (null); rows that repeat an id and a vector are counted as one vector each; a cosine
+    at the threshold links; of a component the smallest id stays; an empty table gives an empty result; labels and other
+    columns are ignored. A very long vector is a row like any other, held whole by the task of each of its buckets.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     usable_rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("x")))
@@ -149,11 +176,11 @@ def embedding_dedup(
 
     packed = cut(usable_rows.mapInPandas(pack, "vec_id long, blob binary"))
     classes = cut(packed.groupBy("blob").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")))
-    links = cut(_links(classes.select("rep", "blob"), cosine=cosine, tables=tables_needed(cosine, bits, recall), bits=bits, seed=seed, bucket=bucket))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = classes.select(F.col("rep").alias("b"), "members")
-    far = both.join(counts, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("members").alias("far"))
-    placed = connected_components(links).withColumnRenamed("node", "rep")
+    if bits is None:
+        bits = max(8, classes.count().bit_length() - 4)
+    met = cut(_links(classes.select("rep", "blob", "members"), cosine=cosine, tables=tables_needed(cosine, bits, recall), bits=bits, seed=seed, bucket=bucket))
+    far = met.groupBy(F.col("a").alias("rep")).agg(F.sum("far").alias("far"))
+    placed = connected_components(met.select("a", "b")).withColumnRenamed("node", "rep")
     known = classes.join(far, "rep", "left").join(placed, "rep", "left").select(
         "blob", (F.col("members") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casework.llm.common import row_hash
 from casework.llm.embedding_dedup import embedding_dedup
 from casework.llm.exact_dedup import exact_dedup
 from casework.llm.licences import known_digests, licence_scan
-from casework.llm.line_dedup import line_decisions, row_hash
+from casework.llm.line_dedup import line_decisions
 from casework.llm.mixing import mix_sources
 from casework.llm.near_dedup import near_dedup
 from casework.llm.packing import pack_documents
 from casework.llm.quality import quality_scores
 from casework.llm.token_counts import redacted_token_counts
-from casework.llm.url_filter import url_host, url_verdicts
+from casework.llm.url_filter import url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,13 +70,13 @@ URL_RULES = [
     ("block", "org", "/es/"),
 ]
 
-#: Hosts whose pages make up the list of URLs to block.
-LISTED_HOSTS = r"casino|pills|bets"
+#: Which pages make up the list of URLs to block: the URLs as they stand whose MD5 begins so.
+LISTED_MD5 = "0"
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(url_host(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    listed = pages.filter(F.md5(F.encode("url", "UTF-8")).startswith(LISTED_MD5)).select("url")
     return url_verdicts(pages, listed, URL_RULES)
 
 
@@ -100,11 +101,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLES = {
-    # A listed URL is one whose canonical form belongs to some page of a listed host, and that form keeps the host,
-    # so a page is listed when its own host is.
+    # A page is listed when its canonical URL is that of a URL whose MD5 begins with 0.
     "op6_url_filter": r"""
-        WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-        parts AS (SELECT page_id,
+        WITH cut AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+        parts AS (SELECT page_id, url, rest,
             coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
         rules AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
@@ -112,10 +112,15 @@ ORACLES = {
         fits AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
                         arg_max(verdict, length(rule_host || rule_path)) AS verdict
             FROM parts JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
-        listed AS (SELECT page_id, regexp_matches(host, 'casino|pills|bets') AS listed FROM parts)
-        SELECT p.page_id, p.host, p.path, f.rule,
-               coalesce(f.verdict, CASE WHEN l.listed THEN 'block' ELSE 'allow' END) AS verdict, l.listed
-        FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id JOIN listed l ON p.page_id = l.page_id
+        asked AS (SELECT page_id, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS q FROM parts WHERE rest IS NOT NULL),
+        forms AS (SELECT page_id, url, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
+                || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM parts JOIN asked USING (page_id)),
+        listed AS (SELECT DISTINCT canonical FROM forms WHERE starts_with(md5(url), '0'))
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN l.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+               l.canonical IS NOT NULL AS listed
+        FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id LEFT JOIN forms c ON p.page_id = c.page_id
+            LEFT JOIN listed l ON c.canonical = l.canonical
     """,
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

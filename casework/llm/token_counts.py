@@ -104,12 +104,16 @@ class TokenTree:
     def edit(self, text: str, start: int, stop: int, new: str, counts: PretokenCounts) -> tuple[str, int]:
         """The text with [start, stop) replaced, and how many pre-tokens were encoded again.
 
-        A pre-token is decided by its own characters and the one after it, so all that end before ``start`` stay.
-        Matching begins at the leaf with the character before the edit and goes on past it until a pre-token ends
-        where an old leaf ended; from there on the old pre-tokens hold again.
+        Where a pre-token ends is decided by its own characters, at most two after it (as in 're), and the rest of a run
+        of white space that it ends in. So pre-tokens stay that end two characters before ``start``, or before the run of
+        white space that holds this place. Matching begins at the leaf with that place and goes on past the edit until a
+        pre-token ends where an old leaf ended; from there on the old pre-tokens hold again.
         """
+        sure = max(0, start - 2)
+        while sure and text[sure - 1].isspace():
+            sure -= 1
         edited, shift = text[:start] + new + text[stop:], len(new) - (stop - start)
-        first, begin = self.leaf_at(start - 1)
+        first, begin = self.leaf_at(sure)
         leaf, end = first, begin + int(self.sums[0][first + self.width])
         at, made, tokens, last = begin, 0, 0, len(text)
         while end < stop and end < last:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casework.llm.common import stored
+
 _WORDS = 8  # 64-bit words of a block; a key sets one bit in each
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,8 +85,9 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str
     join. Where a rule fits it decides; elsewhere a listed URL is blocked and any other allowed.
 
     Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is allowed; null
-    entries of the list are ignored, repeated ones count once; rows that repeat are judged each; empty tables give an
-    empty result, an empty list blocks nothing; other columns are ignored.
+    entries of the list are ignored, repeated ones count once; rows that repeat are judged each; of two rules of one length that fit, the
+    later in code-point order decides, and of two equal ones the later given; empty tables give an empty result, an empty
+    list blocks nothing; other columns are ignored. A very long url is matched whole, in one task.
     """
     rows = pages.select(
         F.col(id_col).alias("page_id"),
@@ -92,7 +95,7 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str
         url_path(F.col(url_col)).alias("path"),
         F.when(_rest(F.col(url_col)).isNotNull(), canonical_url(F.col(url_col))).alias("canonical"),
     )
-    keys = listed.filter(_rest(F.col("url")).isNotNull()).select(canonical_url(F.col("url")).alias("canonical")).distinct()
+    keys = stored(listed.filter(_rest(F.col("url")).isNotNull()).select(canonical_url(F.col("url")).alias("canonical")).distinct())
     possible, clean = possible_and_clean(rows, keys, key="canonical")
     exact = possible.join(keys.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     rule, verdict = rule_cases(rules, "host", "path")

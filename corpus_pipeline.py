@@ -22,27 +22,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, n_chars follows; a document goes when all its lines stand in others, not when it had none."""
-    left = line_dedup(docs.withColumn("n_chars", F.length("text")))
-    emptied = (F.col("text") == "") & (F.col("n_chars") > 0)
-    return left.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rows = docs.select("doc_id", "text", F.length("text").alias("before"), F.struct("*").alias("row"))
+    left = line_dedup(rows).filter("NOT coalesce(text = '' AND before > 0, false)")
+    now = F.col("row").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("long"))
+    return left.select(now.alias("row")).select("row.*")
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; rows that repeat an id are one document; null ids stay."""
-    kept = near_dedup(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each near-duplicate group stays, the first as the rows are read. Rows are told apart by a number that is
+    written with them, so repeated and null ids lose nothing but copies, and no column name can clash."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")))
+    kept = near_dedup(rows.select("number", "row.text"), id_col="number").filter("kept").select(F.col("doc_id").alias("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix_sources(docs).select(
-        F.col("source").alias("m_source"), F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), F.col("copies").alias("m_copies")
-    )
+    """Each document as often as the mix takes it; documents of one source, id and size are taken alike."""
+    copies = mix_sources(docs).filter("copies > 0").select("source", "doc_id", "size", "copies").distinct()
     size = F.regexp_count(plain_text(), F.lit(WORD)).cast("long")
-    same = F.col("source").eqNullSafe(F.col("m_source")) & F.col("doc_id").eqNullSafe(F.col("m_id")) & (size == F.col("m_size"))
-    taken = docs.join(copies.filter("m_copies > 0").distinct(), same)
-    return taken.withColumn("m_turn", F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int")))).select(docs.columns)
+    rows = docs.select(F.col("source").alias("of"), F.col("doc_id").alias("id"), size.alias("words"), F.struct("*").alias("row"))
+    same = F.col("source").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words"))
+    turns = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return rows.join(copies, same).select("row", turns.alias("turn")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

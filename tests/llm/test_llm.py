@@ -42,19 +42,18 @@ ODD = [(1, None, "a"), (2, "", "a"), (3, "  \n\t ", None), (4, "x", "b"), (4, "x
 
 
 def components(links):
-    parent = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    """The smallest node that each linked node reaches, by walking breadth-first over the neighbours."""
+    near = defaultdict(set)
     for a, b in links:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return {x: find(x) for x in parent}
+        near[a].add(b)
+        near[b].add(a)
+    least = {}
+    for start in sorted(near):
+        wave = {start} - least.keys()
+        while wave:
+            least.update(dict.fromkeys(wave, start))
+            wave = set().union(*(near[x] for x in wave)) - least.keys()
+    return least
 
 
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
@@ -151,9 +150,6 @@ def test_quality(spark):
     assert quality_scores(docs_of(spark, []), labels).count() == 0
 
 
-SHINGLE = re.compile(r"(?:^|(?<=\s))(?=(\S.{0,11}))", re.S)
-
-
 def test_line_dedup(spark):
     rng = random.Random(6)
     lines = [prose(rng, 24) for _ in range(60)]
@@ -164,10 +160,11 @@ def test_line_dedup(spark):
     occurrences = []
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for p, line in enumerate((t or "").split("\n")):
-            if line.strip(" \t\n\v\f\r"):
+            line = line.strip(" \t\v\f\r").lower()
+            if line:
                 occurrences.append((i, p, line))
                 first.setdefault(line, (i, p))
-                sets[line] = frozenset(SHINGLE.findall(line.lower()))
+                sets[line] = frozenset(every_run(line))
     names = sorted(sets)
     links = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(links) >= 15
@@ -201,6 +198,22 @@ def dropped_by_brute_force(lines, shingles):
     return {i for i, root in components(links).items() if i != root}
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(1, "shared line that stands in several rows", "a"), (4, "totally unique first line\nshared line that stands in several rows", "a"), (4, "shared line that stands in several rows", "a")]
+    rows += [(None, "shared line that stands in several rows\nx", "a"), (None, "unique words stay here please\nx", "a"), (None, None, "a")]
+    out = Counter((r.doc_id, r.text) for r in line_dedup(docs_of(spark, rows, extra=True)).collect())
+    kept = [line for (_, t), n in out.items() for line in (t or "").split("\n") for _ in range(n) if line]
+    assert sorted(kept) == sorted(["shared line that stands in several rows", "totally unique first line", "unique words stay here please", "x"])
+
+
+def test_a_very_long_line_is_read_to_its_end(spark):
+    rng = random.Random(63)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    rows = [(1, long, "a"), (2, long[:-1] + "Z", "a"), (3, long[:100_000] + long[:100_000][::-1], "a"), (4, "=" * 300, "a"), (5, "=" * 400 + "-", "a"), (6, "=" * 500, "a")]
+    want = dropped_by_brute_force([t for _, t, _ in rows], every_run)
+    assert {r.doc_id for r in line_decisions(docs_of(spark, rows)).collect()} == {i + 1 for i in want}
+
+
 def test_lines_without_spaces_are_read_to_their_end(spark):
     rng = random.Random(60)
     han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(80))
@@ -342,7 +355,7 @@ def test_licences(spark):
     rows = [(1, spelt, "a"), (2, "Text before.\nReleased  under the MIT Licence!\nafter", "a"), (3, mit + " more", "a"), (4, "Intro\n\n" + mit + "\n\nLicensed under CC BY 4.0", "a"), (5, "This is not licensed", "b")]
     got = {r.doc_id: (r.licences, r.whole) for r in licence_scan(docs_of(spark, rows, extra=True), known_digests(spark)).collect()}
     assert got[1] == (["MIT"], True) and got[2] == (["MIT"], False) and got[5] == ([], False)
-    assert got[3] == ([], False) and got[4][0] == ["CC-BY-4.0"]
+    assert got[3] == ([], False) and got[4][0] == ["CC-BY-4.0", "MIT"]
     assert licence_scan(docs_of(spark, ODD), known_digests(spark)).filter("n_units > 0").count() == 0
     assert licence_scan(docs_of(spark, rows), known_digests(spark, [])).filter("n_units > 0").count() == 0
 
@@ -358,6 +371,34 @@ def test_a_body_line_that_begins_with_copyright_stays(spark):
     assert got == {1: (["ISC"], True), 2: (["MIT"], True), 3: (["MIT"], True), 4: ([], False), 5: ([], False)}
 
 
+def plain_licence(text):
+    """The canonical form said again without the operator's expressions."""
+    lines = [x for x in text.split("\n") if not re.match(r"\W*copyright \(c\) \d", x, re.I)]
+    bare = re.sub(r"[\W_]+", "", "\n".join(lines).lower())
+    for a, b in [("licence", "license"), ("copyrightowner", "copyrightholder"), ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("version30", "version3"), ("v20", "version20")]:
+        bare = bare.replace(a, b)
+    return bare
+
+
+def test_licences_against_every_run_of_paragraphs(spark):
+    rng = random.Random(64)
+    known = {plain_licence(t): n for n, t in KNOWN}
+    rows = []
+    for i in range(60):
+        parts = [prose(rng, 8) for _ in range(rng.randrange(4))] + [rng.choice(KNOWN)[1].replace("License", rng.choice(["License", "Licence"])) for _ in range(rng.randrange(3))]
+        rng.shuffle(parts)
+        text = "\n\n".join(p if rng.random() < 0.6 else p.replace(", ", ",\n") for p in parts)
+        rows.append((i, text if rng.random() < 0.7 else "Copyright (c) 1999 X\n" + text, "a"))
+    want = {}
+    for i, t, _ in rows:
+        paras = [p for p in re.split(r"\n[^\S\n]*\n", t) if plain_licence(p)]
+        units = {plain_licence("\n".join(paras[k:m])) for k in range(len(paras)) for m in range(k + 1, len(paras) + 1)} | {plain_licence(x) for x in t.split("\n")} | {plain_licence(t)}
+        want[i] = (sorted({known[u] for u in units if u in known}), plain_licence(t) in known)
+    got = {r.doc_id: (r.licences, r.whole) for r in licence_scan(docs_of(spark, rows, extra=True), known_digests(spark)).collect()}
+    assert got == want and sum(bool(x) for x, _ in want.values()) > 20
+    assert licence_scan(docs_of(spark, []), known_digests(spark)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def bytes_vocabulary():
     import public_tokenizers
@@ -379,6 +420,17 @@ def test_edited_trees_equal_a_full_count(bytes_vocabulary):
             assert tree.totals == (len(text), len(counts.pattern.findall(text)), len(full(text)))
 
 
+@pytest.mark.parametrize("before", [' a' * 63 + "'rx tail", " a" * 63 + "   \n  x tail", " a" * 62 + " b'  \t y"])
+def test_edits_at_every_place_around_a_leaf_border(bytes_vocabulary, before):
+    counts = token_counts.PretokenCounts(bytes_vocabulary["ranks"], bytes_vocabulary["pattern"])
+    full = counts._encoding.encode_ordinary
+    for start in range(110, len(before) + 1):
+        for stop, new in [(start, "e"), (start, " "), (start, "'"), (start, "\n"), (start + 1, "e"), (start + 1, " "), (start + 2, ""), (start + 4, "ve")]:
+            tree = token_counts.TokenTree.of_text(before, counts)
+            text, _ = tree.edit(before, start, min(stop, len(before)), new, counts)
+            assert tree.totals == (len(text), len(counts.pattern.findall(text)), len(full(text))), (start, stop, new)
+
+
 def test_token_counts(spark, bytes_vocabulary):
     rows = [(11, "mail a.b@c.org or 10.0.0.1, call +1 (743) 555-3824 now", "a"), (12, "nothing to hide", "a"), *ODD]
     got = token_counts.redacted_token_counts(docs_of(spark, rows, extra=True), **bytes_vocabulary).collect()
@@ -406,7 +458,7 @@ def test_pipeline(spark):
     words = docs.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert packed.filter("piece = 0").count() == docs.count() and packed.agg(F.sum("length")).first()[0] >= words
-    with_odd = docs_of(spark, ODD)
+    with_odd = docs_of(spark, ODD, extra=True).withColumns({c: F.lit(1) for c in ("row", "kept_id", "m_copies", "m_id", "m_size", "m_source", "copies", "number", "before", "words", "turn", "of", "id")})
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, with_odd, folder).count() >= 0, name
         assert stage(spark, with_odd.limit(0), folder).count() == 0, name
