@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,40 +38,73 @@ def best(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+#: Traits that match or not, and beside them the balance, whose match falls off over this span.
+TRAITS = ("objective", "segment", "nation", "region")
+SPAN = 5000.0
+
+
+def _score(balance: Column, q: str = "q_") -> Column:
+    """Weighted mean of the trait matches and the given match of balances; unknown traits count a half."""
+    matches = [(equality(F.col(c), F.col(q + c)), w, False) for c, w in zip(TRAITS, WEIGHTS, strict=False)]
+    return weighted_score([*matches, (balance, WEIGHTS[4], False)])
+
+
 def attribute_score(q: str = "q_") -> Column:
-    """Weighted mean of five trait matches; unknown traits count a half. Rounded before ranking, so that float noise
-    cannot order ties."""
-    w = WEIGHTS
-    return F.round(
-        weighted_score(
-            [
-                (equality(F.col("objective"), F.col(q + "objective")), w[0], False),
-                (equality(F.col("segment"), F.col(q + "segment")), w[1], False),
-                (equality(F.col("nation"), F.col(q + "nation")), w[2], False),
-                (equality(F.col("region"), F.col(q + "region")), w[3], False),
-                (decay(F.col("balance"), F.col(q + "balance"), 5000), w[4], False),
-            ]
-        ),
-        6,
-    )
+    """The score of a case for a query, rounded before ranking, so that float noise cannot order ties."""
+    return F.round(_score(decay(F.col("balance"), F.col(q + "balance"), SPAN), q), 6)
+
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join by equality in which null equals null; the columns of ``on`` are kept once."""
+    other = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    return left.join(other, same).drop(*[f"__{c}" for c in on])
 
-def attribute_pool(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, case_id, entity_id, same, score, rank): the best ``k`` cases of other entities for each query.
 
-    Two passes over the candidates, neither of which sorts them: the first counts cases per query and hundredth of the
-    score, combined in each task, and finds the hundredth down to which ``k`` cases lie; the second scores again and
-    keeps only what reaches it, so that few rows are left to rank.
+def attribute_pool(queries: DataFrame, candidates: DataFrame, k: int, *, width: float = 500.0, inside: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, case_id, entity_id, same, score, rank, *carry): the best ``k`` cases of other entities for each query,
+    of those combinations of traits that meet ``inside``.
+
+    Queries and cases do not meet all with all. Cases fall into cells: a combination of traits, and a band of ``width`` of
+    the balance. Cells are counted, and for each pair of a query's cell and another the score has a lower and an upper
+    bound. Down to the bound at which the better cells hold ``k`` cases beside the query's own entity's, cells are
+    joined with the queries by equality, and only their cases are scored. The tables of cells and of their pairs are
+    bounded by the values that the traits have, not by the cases. ``inside`` may ask for traits, the query's (q_...), and
+    the columns ``carry``.
     """
-    others = F.col("entity_id") != F.col("q_entity_id")
-    step = F.floor(attribute_score() * 100)
-    counts = against_all(queries, candidates, on=others).groupBy("query_id", step.alias("step")).agg(F.count("*").alias("n"))
-    down = Window.partitionBy("query_id").orderBy(F.desc("step"))
-    reached = counts.withColumn("n", F.sum("n").over(down)).groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("n") >= k, F.col("step"))), F.lit(0)).alias("q_step"))
-    rows = against_all(queries.join(reached, "query_id"), candidates, on=others & (step >= F.col("q_step")))
-    scored = rows.select(
-        "query_id", "case_id", "entity_id", (F.col("objective") == F.col("q_objective")).alias("same"), attribute_score().alias("score")
-    )
+    traits, asked = list(TRAITS), ["q_" + c for c in TRAITS] + list(carry)
+    band = F.floor(F.col("balance") / F.lit(width))
+    cells = candidates.groupBy(*traits, band.alias("band")).agg(F.count("*").alias("n")).persist()
+    combos = cells.groupBy(*traits).agg(F.sum("n").alias("n"))
+    own = candidates.join(queries.select(F.col("q_entity_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    own = own.groupBy(F.col("entity_id").alias("q_entity_id")).agg(F.count("*").alias("own"))
+    wanted = queries.join(own, "q_entity_id", "left").withColumn("need", F.lit(k) + F.coalesce("own", F.lit(0))).withColumn("q_band", F.floor(F.col("q_balance") / F.lit(width)))
+    wanted = wanted.drop("own")
+
+    def reached(steps: DataFrame, by: list[str], need: str) -> DataFrame:
+        """From counts by lower bound, the bound down to which ``need`` cases lie; 0 where there are too few."""
+        summed = steps.withColumn("so_far", F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("lower"))))
+        return summed.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("so_far") >= F.col(need), F.col("lower"))), F.lit(0.0)).alias("down"))
+
+    # Combinations first: without the balance a score is known up to its weight.
+    groups = wanted.groupBy(*asked).agg(F.max("need").alias("most"))
+    met = groups.crossJoin(combos) if inside is None else groups.join(combos, inside)
+    met = met.withColumn("lower", F.round(_score(F.lit(0.0)), 6)).persist()
+    down = reached(met, asked, "most")
+    allowed = null_safe(met, down, asked).filter(F.col("lower") + WEIGHTS[4] + 1e-6 >= F.col("down")).select(*asked, *traits, F.col("lower").alias("base"))
+    # Then their bands.
+    bands = wanted.select(*asked, "q_band").distinct()
+    near = null_safe(null_safe(allowed, bands, asked), cells, traits)
+    apart = F.abs(F.col("band") - F.col("q_band"))
+    known = F.coalesce(apart, F.lit(0))
+    closest, farthest = (F.greatest(F.lit(0), known - 1) * F.lit(width), (known + 1) * F.lit(width))
+    match = lambda d: F.when(apart.isNull(), F.lit(0.5)).otherwise(1.0 - F.least(d, F.lit(SPAN)) / F.lit(SPAN)) * F.lit(WEIGHTS[4])
+    bounds = near.select(*asked, "q_band", *traits, "band", "n", F.round(F.col("base") + match(farthest), 6).alias("lower"), F.round(F.col("base") + match(closest), 6).alias("upper")).persist()
+    levels = null_safe(wanted.select("query_id", "need", *asked, "q_band"), bounds.groupBy(*asked, "q_band", "lower").agg(F.sum("n").alias("n")), [*asked, "q_band"])
+    per_query = reached(levels, ["query_id"], "need")
+    pairs = null_safe(wanted.join(per_query, "query_id"), bounds.drop("n"), [*asked, "q_band"]).filter(F.col("upper") + 1e-5 >= F.col("down")).drop("lower", "upper", "down")
+    rows = null_safe(candidates.withColumn("band", band), pairs, [*traits, "band"]).filter("entity_id <> q_entity_id")
+    scored = rows.select("query_id", "case_id", "entity_id", (F.col("objective") == F.col("q_objective")).alias("same"), attribute_score().alias("score"), *carry)
     return best(scored, ["query_id"], [F.desc("score"), F.asc("case_id")], k)
 
 
@@ -130,13 +165,41 @@ def hybrid_topk(scored: DataFrame, k: int, alpha: float) -> DataFrame:
     return best(scored.withColumn("score", mixed), ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "vec_id", "score", "rank")
 
 
-def progressive_relaxation(scored: DataFrame, tiers: list[Column], k: int) -> DataFrame:
-    """Each query takes the strictest tier that still has ``k`` candidates, or the last. ``tiers`` go from strict to loose.
-    The tiers are counted by one aggregate; only rows of the chosen tier are ranked."""
-    counts = scored.groupBy("query_id").agg(*[F.count_if(t).alias(f"n{n}") for n, t in enumerate(tiers)])
-    chosen = F.coalesce(*[F.when(F.col(f"n{n}") >= k, F.lit(n)) for n in range(len(tiers))], F.lit(len(tiers) - 1))
-    inside = F.lit(False)
-    for n, t in enumerate(tiers):
-        inside = inside | ((F.col("tier") == n) & t)
-    kept = scored.join(counts.select("query_id", chosen.alias("tier")), "query_id").filter(inside)
-    return best(kept, ["query_id"], [F.desc("score"), F.asc("case_id")], k).select("query_id", "case_id", "score", "tier", "rank")
+def candidate_counts(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per query how many cases of other entities there are: all (n), free ones (n_free), of its objective (n_same), free ones
+    of those (n_same_free), and of its objective and segment (n_archetype).
+
+    Counts by objective and segment, and by those of the query's own entity, are joined by equality; no query meets a case."""
+    kinds = ["objective", "segment"]
+    asked = queries.select(F.col("q_entity_id").alias("entity_id")).distinct()
+
+    def counts(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("free").alias("n_free"))
+
+    every = counts(candidates, kinds)
+    own = counts(candidates.join(asked, "entity_id", "left_semi"), ["entity_id", *kinds]).select(
+        F.col("entity_id").alias("q_entity_id"), *kinds, (-F.col("n")).alias("n"), (-F.col("n_free")).alias("n_free")
+    )
+    heads = queries.select("query_id", "q_entity_id", "q_objective", "q_segment")
+    others = heads.crossJoin(F.broadcast(every)).unionByName(heads.join(own, "q_entity_id").select(*heads.columns, *kinds, "n", "n_free"))
+    same = F.coalesce(F.col("objective") == F.col("q_objective"), F.lit(False))
+    kind = same & F.coalesce(F.col("segment") == F.col("q_segment"), F.lit(False))
+    return others.groupBy("query_id").agg(
+        F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("n_same"),
+        F.coalesce(F.sum(F.when(same, F.col("n_free"))), F.lit(0)).alias("n_same_free"),
+        F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)).alias("n_archetype"),
+        F.sum("n_free").alias("n_free"),
+    )
+
+
+def progressive_relaxation(queries: DataFrame, candidates: DataFrame, traits: list[str], k: int) -> DataFrame:
+    """(query_id, case_id, score, tier, rank): each query takes the strictest tier that still has ``k`` candidates, or the last,
+    and of that its best ``k``. Tier 0 wants the query's objective and segment, tier 1 its objective, tier 2 takes all."""
+    counted = candidate_counts(queries, candidates.withColumn("free", F.lit(True)))
+    tier = F.when(F.col("n_archetype") >= k, 0).when(F.col("n_same") >= k, 1).otherwise(2)
+    tiered = queries.join(counted.select("query_id", tier.alias("tier")), "query_id")
+    same = F.col("objective") == F.col("q_objective")
+    narrow = reduce(and_, [F.col(c) == F.col("q_" + c) for c in traits], same)
+    inside = (F.col("tier") == 2) | ((F.col("tier") == 1) & same) | ((F.col("tier") == 0) & narrow)
+    return attribute_pool(tiered, candidates, k, inside=inside, carry=("tier",)).select("query_id", "case_id", "score", "tier", "rank")

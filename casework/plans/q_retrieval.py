@@ -1,4 +1,4 @@
-"""Queries of retrieval and consensus. The stated query set: the latest case of every entity whose id is divisible by 50."""
+"""Queries of retrieval and consensus. The stated query set: every case whose id is divisible by 50, against all cases."""
 
 from __future__ import annotations
 
@@ -18,9 +18,7 @@ def candidates(t: Tables) -> DataFrame:
 
 
 def stated_queries(t: Tables) -> DataFrame:
-    heads = t.headers.filter(F.col("entity_id") % 50 == 0)
-    latest = R.best(heads, ["entity_id"], [F.desc("case_date"), F.desc("case_id")], 1).drop("rank")
-    rows = latest.join(t.profiles, "entity_id")
+    rows = candidates(t).filter(F.col("case_id") % 50 == 0)
     return rows.select(F.col("case_id").alias("query_id"), *[F.col(c).alias("q_" + c) for c in ("entity_id", "objective", "segment", "nation", "region", "balance")])
 
 
@@ -37,8 +35,7 @@ SQL_QUERIES = """
 stated AS (
     SELECT case_id AS query_id, entity_id AS q_entity_id, objective AS q_objective, segment AS q_segment, nation AS q_nation,
            region AS q_region, balance AS q_balance
-    FROM cases JOIN profiles USING (entity_id) WHERE entity_id % 50 = 0
-    QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY case_date DESC, case_id DESC) = 1)
+    FROM cases JOIN profiles USING (entity_id) WHERE case_id % 50 = 0)
 """
 SQL_SCORED = SQL_QUERIES + """
 , scored AS (
@@ -122,11 +119,7 @@ def degrade_neighbourhood(t: Tables) -> DataFrame:
     SELECT query_id, case_id, score, tier, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank
     FROM tiered WHERE tier = 2 OR (same AND (tier = 1 OR same_segment)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) <= 60""")
 def progressive_relaxation(t: Tables) -> DataFrame:
-    rows = R.against_all(stated_queries(t), candidates(t), on=F.col("entity_id") != F.col("q_entity_id"))
-    scored = rows.select(
-        "query_id", "case_id", (F.col("objective") == F.col("q_objective")).alias("same"), (F.col("segment") == F.col("q_segment")).alias("same_segment"), R.attribute_score().alias("score")
-    )
-    return R.progressive_relaxation(scored, [F.col("same") & F.col("same_segment"), F.col("same"), F.lit(True)], 60)
+    return R.progressive_relaxation(stated_queries(t), candidates(t), ["segment"], 60)
 
 
 @query(SQL_SCORED + """SELECT s.query_id, count(*) AS n, count(*) FILTER (WHERE same) AS n_same, count(*) FILTER (WHERE same AND v.case_id IS NULL) AS n_same_free,
@@ -134,16 +127,8 @@ def progressive_relaxation(t: Tables) -> DataFrame:
     FROM scored s LEFT JOIN (SELECT DISTINCT case_id FROM items JOIN catalogue USING (product_id) WHERE bulky) v USING (case_id) GROUP BY 1""")
 def candidate_counts(t: Tables) -> DataFrame:
     vetoed = t.items.join(t.catalogue.filter("bulky").select("product_id"), "product_id", "left_semi").select("case_id").distinct()
-    flagged = candidates(t).join(vetoed.withColumn("vetoed", F.lit(True)), "case_id", "left")
-    rows = R.against_all(stated_queries(t), flagged, on=F.col("entity_id") != F.col("q_entity_id"))
-    same, free = F.col("objective") == F.col("q_objective"), F.col("vetoed").isNull()
-    return rows.groupBy("query_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(same).alias("n_same"),
-        F.count_if(same & free).alias("n_same_free"),
-        F.count_if(same & (F.col("segment") == F.col("q_segment"))).alias("n_archetype"),
-        F.count_if(free).alias("n_free"),
-    )
+    flagged = candidates(t).join(vetoed.withColumn("vetoed", F.lit(True)), "case_id", "left").withColumn("free", F.col("vetoed").isNull())
+    return R.candidate_counts(stated_queries(t), flagged)
 
 
 @query(SQL_NEAR + """, f AS (SELECT query_id, count(DISTINCT CASE WHEN same THEN entity_id END) AS entities, max(score) AS top, count(*) FILTER (WHERE same) AS n_same FROM near GROUP BY 1)
@@ -178,7 +163,7 @@ def product_consensus(t: Tables) -> DataFrame:
     return products.select("query_id", "slot", "family", "product_cases", "support", ids.alias("case_ids"))
 
 
-@query(SQL_ROWS + """, liked AS (SELECT entity_id AS liked_by, family FROM cases JOIN named_items USING (case_id) WHERE entity_id % 50 = 0 GROUP BY 1, 2
+@query(SQL_ROWS + """, liked AS (SELECT entity_id AS liked_by, family FROM cases JOIN named_items USING (case_id) WHERE entity_id IN (SELECT q_entity_id FROM stated) GROUP BY 1, 2
         QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, family) = 1)
     SELECT p.query_id, p.slot, p.family, p.support, l.family IS NOT NULL AS liked,
            row_number() OVER (PARTITION BY p.query_id, p.slot ORDER BY p.support DESC, p.product_cases DESC, l.family IS NULL, p.family) AS place
@@ -186,7 +171,7 @@ def product_consensus(t: Tables) -> DataFrame:
 def preference_tiebreak(t: Tables) -> DataFrame:
     _, _, products = consensus_rows(t)
     stated = stated_queries(t).select("query_id", F.col("q_entity_id").alias("entity_id"))
-    own = t.headers.filter(F.col("entity_id") % 50 == 0).select("case_id", "entity_id").join(t.named_items, "case_id")
+    own = t.headers.select("case_id", "entity_id").join(stated.select("entity_id"), "entity_id", "left_semi").join(t.named_items, "case_id")
     counts = own.groupBy("entity_id", "family").agg(F.count("*").alias("n"))
     liked = R.best(counts, ["entity_id"], [F.desc("n"), F.asc("family")], 1).select("entity_id", "family", F.lit(True).alias("liked"))
     rows = products.join(stated, "query_id").join(liked, ["entity_id", "family"], "left").withColumn("liked", F.coalesce("liked", F.lit(False)))
