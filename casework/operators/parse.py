@@ -151,7 +151,7 @@ def parse_components(lines: DataFrame, lexicon: Lexicon | None = None, *, id_col
         F.when(F.col("small"), "teaspoon").when(F.col("known").isNotNull() & ((F.col("value").isNotNull()) | F.col("bare_unit")), F.col("known"))
         .when(F.col("value").isNotNull() & ~F.col("loose") & F.col("words")[0].isNotNull() & (F.col("words")[0] != ""), "piece")
     )
-    return each.select(
+    out = F.struct(
         "line_id",
         F.col("alt_no").cast("int").alias("alt_no"),
         F.col("comp_no").cast("int").alias("comp_no"),
@@ -165,6 +165,8 @@ def parse_components(lines: DataFrame, lexicon: Lexicon | None = None, *, id_col
         "is_noise",
         told.alias("is_advice"),
     )
+    # Out of a generator, so that what is asked of the result is not worked back into all that made it.
+    return each.select(F.inline(F.array(out)))
 
 
 def has_number(column: str) -> Column:
