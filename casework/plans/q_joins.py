@@ -55,15 +55,15 @@ def latest_wins_merge(t: Tables) -> DataFrame:
     return Q.latest_wins_merge([rows, newer], "c_custkey").select("c_custkey", "c_name", "c_acctbal", "load")
 
 
-@query("""SELECT min(event_id) AS event_id, entity_id, marker, CAST(ts AS DATE) AS day FROM series s
+@query("""SELECT event_id, entity_id, marker, day(ts) % 7 AS weekday FROM series s
     WHERE CAST(ts AS DATE) >= DATE '2024-01-15' AND NOT EXISTS (SELECT 1 FROM series o WHERE CAST(o.ts AS DATE) < DATE '2024-01-15' AND o.entity_id = s.entity_id AND o.marker = s.marker AND day(o.ts) % 7 = day(s.ts) % 7)
-    GROUP BY ALL""")
+    QUALIFY row_number() OVER (PARTITION BY entity_id, marker, day(ts) % 7 ORDER BY event_id) = 1""")
 def idempotent_append(t: Tables) -> DataFrame:
+    """The second half of the month appended to the first: one reading of each entity, marker and day of seven, none twice."""
     day = F.to_date("ts")
     rows = t.series.select("event_id", "entity_id", "marker", day.alias("day"), (F.dayofmonth("ts") % 7).alias("weekday"))
     old, new = rows.filter("day < DATE '2024-01-15'"), rows.filter("day >= DATE '2024-01-15'")
-    fresh = new.join(old.select("entity_id", "marker", "weekday").distinct(), ["entity_id", "marker", "weekday"], "left_anti")
-    return Q.idempotent_append(old.limit(0), fresh, ["entity_id", "marker", "day"], [F.asc("event_id")]).select("event_id", "entity_id", "marker", "day")
+    return Q.idempotent_append(old, new, ["entity_id", "marker", "weekday"], [F.asc("event_id")]).select("event_id", "entity_id", "marker", "weekday")
 
 
 @query("""SELECT event_id, entity_id, lower(marker) AS marker, CAST(series.ts AS DATE) AS day, CASE WHEN series.value = 0 THEN NULL ELSE series.value END AS value,
