@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casework.llm.common import row_hash
 from casework.llm.embedding_dedup import embedding_dedup
 from casework.llm.exact_dedup import exact_dedup
+from casework.llm.lexical_search import lexical_search
 from casework.llm.licences import known_digests, licence_scan
 from casework.llm.line_dedup import line_decisions
 from casework.llm.mixing import mix_sources
@@ -96,11 +97,45 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (
+    op1_quality_classifier,
+    op2_exact_dedup,
+    op3_token_counts,
+    op4_line_dedup,
+    op5_licence_scan,
+    op6_url_filter,
+    op7_mix_sources,
+    op8_minhash_near_dedup,
+    op9_best_fit_packing,
+    op10_embedding_dedup,
+    op13_lexical_search,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_token_counts, op4_line_dedup, op5_licence_scan, op6_url_filter, op7_mix_sources, op8_minhash_near_dedup, op9_best_fit_packing, op10_embedding_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 ORACLES = {
+    "op13_lexical_search": r"""
+        WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+        all_docs AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+        counts AS (SELECT doc_id, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY doc_id, term),
+        weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, all_docs GROUP BY term),
+        adds AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // total)))) AS adds
+            FROM counts JOIN weights USING (term) JOIN lengths USING (doc_id), all_docs),
+        scores AS (SELECT item_id, doc_id, sum(adds)::BIGINT AS score FROM asked JOIN adds USING (term) GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER best AS rank, doc_id, score FROM scores WHERE score > 0
+        WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20
+    """,
     # A page is listed when its canonical URL is that of a URL whose MD5 begins with 0.
     "op6_url_filter": r"""
         WITH cut AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
