@@ -17,6 +17,7 @@ from casework.llm.mixing import mix_sources
 from casework.llm.near_dedup import near_dedup
 from casework.llm.packing import pack_documents
 from casework.llm.quality import quality_scores
+from casework.llm.spelling import spelling_variants
 from casework.llm.token_counts import redacted_token_counts
 from casework.llm.url_filter import url_verdicts
 
@@ -97,6 +98,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -112,6 +117,7 @@ QUERIES = (
     op8_minhash_near_dedup,
     op9_best_fit_packing,
     op10_embedding_dedup,
+    op12_spelling_variants,
     op13_lexical_search,
 )
 
