@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casework.llm.common import row_hash
 from casework.llm.embedding_dedup import embedding_dedup
 from casework.llm.exact_dedup import exact_dedup
+from casework.llm.language_model import lm_scores
 from casework.llm.lexical_search import lexical_search
 from casework.llm.licences import known_digests, licence_scan
 from casework.llm.line_dedup import line_decisions
@@ -98,6 +99,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tenth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    return lm_scores(_table(spark, sf_dir, "documents"), learn=tenth != 0, tune=tenth == 1)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -117,6 +123,7 @@ QUERIES = (
     op8_minhash_near_dedup,
     op9_best_fit_packing,
     op10_embedding_dedup,
+    op11_lm_scores,
     op12_spelling_variants,
     op13_lexical_search,
 )

@@ -6,11 +6,13 @@ import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from casework.llm.language_model import LEAST, MEANS, PRIORS, STEPS, Part, lm_scores, region
 from casework.llm.lexical_search import lexical_search
 from casework.llm.spelling import near_words, spelling_variants
 
@@ -117,3 +119,83 @@ def test_spelling_variants(spark):
     assert {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in rows} == want and len(rows) == len(want)
     assert sum(x[2] is not None for x in want.values()) > 20 and any(x[4] != x[2] for x in want.values() if x[2])
     assert spelling_variants(docs_of(spark, [])).count() == 0
+
+
+def test_filter_levels():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    counts = np.minimum(2 + rng.geometric(0.3, len(keys)) ** 4, 2**40)
+    words = int(-(-(np.searchsorted(STEPS, counts, side="right") - 1).sum() * 12 // 64))
+    part = Part(2, 1, 0, words, region(keys, counts, 2, words))
+    true = np.searchsorted(STEPS, counts, side="right")
+    assert (part.levels(keys) >= true).all() and (part.levels(keys) == true).mean() > 0.97
+    assert (part.levels(rng.integers(0, 2**64, 50_000, dtype=np.uint64)) > 0).mean() < 0.03
+    assert all(x <= MEANS[i + 1] for i, x in enumerate(STEPS))
+
+
+def text_logs(docs, learned, prior, own=0):
+    """The log10 probability of each text from exact counts, quantised one by one."""
+    sents = {i: ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), "</s>"] for i, t in docs}
+    grams = Counter(tuple(s[max(0, k - n + 1) : k + 1]) for i in learned for s in [sents[i]] for n in (1, 2, 3) for k in range(1, len(s)) if k - n + 1 >= 0)
+    grams = {g: c for g, c in grams.items() if c >= LEAST[len(g)]}
+    total, different = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def c(gram):
+        if gram == ("<s>",):
+            return max(len(learned) - own, 0)
+        n = grams.get(gram, 0)
+        return max(MEANS[sum(s <= n for s in STEPS.tolist())] - own, 0) if n else 0
+
+    def pair_count(v, w):
+        return min(c((v, w)), c((w,)), c((v,)))
+
+    out = {}
+    for i, s in sents.items():
+        log = 0.0
+        for k in range(1, len(s)):
+            w, v = s[k], s[k - 1]
+            p = (pair_count(v, w) + prior[0] * (c((w,)) + 0.1) / max(total + 0.1 * (different + 1) - own, 0.1)) / (c((v,)) + prior[0])
+            if k > 1:
+                uv = pair_count(s[k - 2], v)
+                p = (min(c((s[k - 2], v, w)), pair_count(v, w), uv) + prior[1] * p) / (uv + prior[1])
+            log += math.log10(p)
+        out[i] = log
+    base = {i: (len(s) - 1, sum((w,) in grams for w in s[1:]), sum(math.log10((grams.get((w,), 0) + 0.1) / (total + 0.1 * (different + 1))) for w in s[1:])) for i, s in sents.items()}
+    return out, base, total
+
+
+def test_lm_scores(spark):
+    rng = random.Random(8)
+    after = {i: rng.sample(range(60), 3) for i in range(60)}
+    docs = []
+    for i in range(200):
+        w, words = rng.randrange(60), []
+        for _ in range(rng.choice([1, 5, 40])):
+            words.append(f"w{w}" if rng.random() < 0.97 else f"New{i}")
+            w = rng.choice(after[w])
+        docs.append((i, rng.choice([" ", "\n", "  "]).join(words)))
+    docs += [(201, None), (202, ""), (203, " \n\t "), (204, "W1 " * 5000), (205, docs[7][1])]
+    learn = {i for i, _ in docs if i % 5}
+    tune = {i for i in learn if i % 3 == 1}
+    best = max(PRIORS, key=lambda p: sum(x for i, x in text_logs(docs, learn, p, own=1)[0].items() if i in tune))
+    want, base, total = text_logs(docs, learn, best)
+    table = docs_of(spark, docs).repartition(4)
+    options = {"learn": F.col("doc_id") % 5 != 0, "tune": F.col("doc_id") % 3 == 1}
+    got = {r.doc_id: r for r in lm_scores(table, **options).collect()}
+    assert len(got) == len(docs)
+    for i, r in got.items():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i % 5 == 0, *base[i][:2], total)
+        assert r.base_score == pytest.approx(base[i][2])
+    assert sum(abs(got[i].score - want[i]) <= 0.02 * abs(want[i]) for i in want) > 0.9 * len(want)
+    unseen = [r for r in got.values() if r.held_out and r.n_tokens > 30]
+    assert all(r.score > r.base_score for r in unseen) and len(unseen) > 5
+    parted = {r.doc_id: r for r in lm_scores(table, most_bytes=200, **options).collect()}
+    assert {i: round(r.score, 9) for i, r in parted.items()} == {i: round(r.score, 9) for i, r in got.items()}
+
+
+def test_lm_scores_of_odd_rows(spark):
+    options = {"learn": F.col("doc_id") % 2 == 0, "tune": F.col("doc_id") % 4 == 0}
+    got = lm_scores(docs_of(spark, ODD), **options).collect()
+    assert len(got) == len(ODD) and all(r.held_out for r in got if r.doc_id is None) and all(r.score <= 0 for r in got)
+    assert {(r.score, r.base_score, r.train_tokens) for r in lm_scores(docs_of(spark, ODD), learn=F.lit(False), tune=F.lit(True)).collect()} == {(0.0, 0.0, 0)}
+    assert lm_scores(docs_of(spark, []), **options).count() == 0
