@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from casework.llm.common import plain_text
 
 LEAF = 64  # pre-tokens of a leaf when it is built
-_YOUNG = 500_000
+_YOUNG = 200_000
 
 TREES = "doc_id long, text string, chars array<int>, pretokens array<int>, tokens array<int>"
 EDITS = "array<struct<start:int,stop:int,text:string>>"
