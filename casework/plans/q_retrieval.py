@@ -23,11 +23,12 @@ def stated_queries(t: Tables) -> DataFrame:
 
 
 def pool(t: Tables) -> DataFrame:
-    return R.attribute_pool(stated_queries(t), candidates(t), POOL)
+    return t.once("pool", lambda: R.attribute_pool(stated_queries(t), candidates(t), POOL))
 
 
 def neighbourhood(t: Tables) -> DataFrame:
-    return R.diverse_neighbourhood(pool(t), K)
+    """The neighbourhood of every stated query, written once a query, as several steps begin with it."""
+    return t.once("neighbourhood", lambda: R.diverse_neighbourhood(R.attribute_pool(stated_queries(t), candidates(t), POOL), K))
 
 
 SQL_QUERIES = """

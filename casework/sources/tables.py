@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from casework.sources.storage import written
+
 
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str, *, records: str | None = None) -> DataFrame:
     """Typed records from Parquet, JSON lines, or JSON documents that hold their records in an array field ``records``."""
@@ -38,7 +41,13 @@ class Tables:
     """The given tables of a folder and the views over them. Nothing is read until a view is used."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._made = spark, folder, {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` returns, written when first asked for and read by every later step of the same query."""
+        if name not in self._made:
+            self._made[name] = written(make())
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
