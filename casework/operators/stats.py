@@ -9,17 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Values of a group that are ranked in different tasks.
+PARTS = 32
+
+
 def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Adds the rank of a value within its group, ties sharing their mean rank."""
-    w = Window.partitionBy(*by)
-    same = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(same) - 1) / 2)
+    """Adds the rank of a value within its group, ties sharing their mean rank.
+
+    A group may hold any share of the rows: its values are dealt over parts by approximate quantiles, ranked within
+    their part, and raised by the rows of the parts below. Equal values are of one part, so the rank is exact."""
+    shares = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
+    bounds = df.groupBy(*by).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("__bounds"))
+    on = [F.col("l." + c).eqNullSafe(F.col("r." + c)) for c in by]
+    parted = df.alias("l").join(bounds.alias("r"), on).select("l.*", F.size(F.filter("__bounds", lambda b: b < F.col("l." + value))).alias("__part"))
+    sizes = parted.groupBy(*by, "__part").agg(F.count("*").alias("__rows"))
+    below = F.coalesce(F.sum("__rows").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select(*by, "__part", below.alias("__below"))
+    inside, same = Window.partitionBy(*by, "__part"), Window.partitionBy(*by, "__part", value)
+    ranked = parted.withColumn("__rank", F.rank().over(inside.orderBy(value)) + (F.count("*").over(same) - 1) / 2)
+    on = [F.col("l." + c).eqNullSafe(F.col("r." + c)) for c in (*by, "__part")]
+    placed = ranked.alias("l").join(before.alias("r"), on).select("l.*", "r.__below")
+    return placed.withColumn(name, F.col("__rank") + F.col("__below")).drop("__rank", "__below", "__part")
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation per group, with the number of pairs."""
+    """Rank correlation per group, with the number of pairs; null where one side does not vary."""
     ranked = average_rank(average_rank(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "__x"), by, y, "__y")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.corr("__x", "__y"), 6).alias("rho"))
+    spread = F.stddev_pop("__x") * F.stddev_pop("__y")
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.covar_pop("__x", "__y") / F.nullif(spread, F.lit(0.0)), 6).alias("rho"))
 
 
 def wilcoxon(df: DataFrame, difference: Column) -> DataFrame:
