@@ -137,30 +137,26 @@ class TokenTree:
         return edited, made
 
 
-def token_trees(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text and its tree (chars, pretokens, tokens in heap order; place 1 has the totals)."""
+#: Rows of a batch that are worked on at a time, so that texts, trees and edits of many are never held together.
+_ROWS = 500
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = _counts(ranks, pattern)
-        for batch in batches:
+
+def _trees(batches: Iterator[pd.DataFrame], ranks: str, pattern: str) -> Iterator[pd.DataFrame]:
+    counts = _counts(ranks, pattern)
+    for whole in batches:
+        for low in range(0, len(whole), _ROWS):
+            batch = whole.iloc[low : low + _ROWS]
             trees = [TokenTree.of_text(text, counts) for text in batch["text"]]
             yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), **{name: [t.sums[k] for t in trees] for k, name in enumerate(("chars", "pretokens", "tokens"))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text")).mapInPandas(build, TREES)
-
-
-def apply_edits(trees: DataFrame, *, ranks: str, pattern: str) -> DataFrame:
-    """The trees after their column ``edits``, an array of (start, stop, text) applied one after the other.
-
-    Adds n_edits, n_before and n_tokens (token counts before and after), n_pretokens after, and reencoded, the
-    pre-tokens that were encoded again. Null edits are none; offsets beyond the text mean its end.
-    """
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = _counts(ranks, pattern)
-        for batch in batches:
+def _edited(batches: Iterator[pd.DataFrame], ranks: str, pattern: str) -> Iterator[pd.DataFrame]:
+    counts = _counts(ranks, pattern)
+    names = ["doc_id", "text", "chars", "pretokens", "tokens", "n_edits", "n_before", "n_tokens", "n_pretokens", "reencoded"]
+    for whole in batches:
+        for low in range(0, len(whole), _ROWS):
             rows = []
-            for row in batch.itertuples(index=False):
+            for row in whole.iloc[low : low + _ROWS].itertuples(index=False):
                 tree, text, again = TokenTree([np.array(s, np.int32) for s in (row.chars, row.pretokens, row.tokens)]), row.text, 0
                 edits, before = row.edits if row.edits is not None else (), tree.totals[2]
                 for one in edits:
@@ -168,11 +164,23 @@ def apply_edits(trees: DataFrame, *, ranks: str, pattern: str) -> DataFrame:
                     text, made = tree.edit(text, start, max(start, min(one["stop"], len(text))), one["text"] or "", counts)
                     again += made
                 rows.append((row.doc_id, text, *tree.sums, len(edits), before, tree.totals[2], tree.totals[1], again))
-            names = ["doc_id", "text", "chars", "pretokens", "tokens", "n_edits", "n_before", "n_tokens", "n_pretokens", "reencoded"]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
+
+def token_trees(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, text and its tree (chars, pretokens, tokens in heap order; place 1 has the totals)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
+    return rows.mapInPandas(lambda batches: _trees(batches, ranks, pattern), TREES)
+
+
+def apply_edits(trees: DataFrame, *, ranks: str, pattern: str) -> DataFrame:
+    """The trees after their column ``edits``, an array of (start, stop, text) applied one after the other.
+
+    Adds n_edits, n_before and n_tokens (token counts before and after), n_pretokens after, and reencoded, the
+    pre-tokens that were encoded again. Null edits are none; offsets beyond the text mean its end.
+    """
     return trees.select("doc_id", "text", "chars", "pretokens", "tokens", "edits").mapInPandas(
-        apply, TREES + ", n_edits long, n_before long, n_tokens long, n_pretokens long, reencoded long"
+        lambda batches: _edited(batches, ranks, pattern), TREES + ", n_edits long, n_before long, n_tokens long, n_pretokens long, reencoded long"
     )
 
 
@@ -180,23 +188,24 @@ def apply_edits(trees: DataFrame, *, ranks: str, pattern: str) -> DataFrame:
 REDACTIONS = {"<email>": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<ip>": r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<phone>": r"\+?\d[\d() -]{7,}\d"}
 
 
-def with_redactions(trees: DataFrame) -> DataFrame:
-    """Adds ``edits`` that replace e-mail addresses, IP addresses and telephone numbers by markers."""
-    found = regex.compile("|".join(f"(?P<k{n}>{p})" for n, p in enumerate(REDACTIONS.values())), regex.ASCII)
-    marks = list(REDACTIONS)
+def redactions(text: str) -> list[dict]:
+    """The edits that replace e-mail addresses, IP addresses and telephone numbers by markers."""
+    out, shift = [], 0
+    for match in _redacted().finditer(text):
+        mark = list(REDACTIONS)[int(match.lastgroup[1:])]
+        out.append({"start": match.start() + shift, "stop": match.end() + shift, "text": mark})
+        shift += len(mark) - len(match[0])
+    return out
+
 
-    def edits(texts: pd.Series) -> pd.Series:
-        def of(text: str) -> list[dict]:
-            out, shift = [], 0
-            for match in found.finditer(text):
-                mark = marks[int(match.lastgroup[1:])]
-                out.append({"start": match.start() + shift, "stop": match.end() + shift, "text": mark})
-                shift += len(mark) - len(match[0])
-            return out
+@lru_cache(maxsize=1)
+def _redacted() -> regex.Pattern:
+    return regex.compile("|".join(f"(?P<k{n}>{p})" for n, p in enumerate(REDACTIONS.values())), regex.ASCII)
 
-        return texts.map(of)
 
-    return trees.withColumn("edits", F.pandas_udf(edits, EDITS)("text"))
+def with_redactions(trees: DataFrame) -> DataFrame:
+    """Adds ``edits`` (see redactions)."""
+    return trees.withColumn("edits", F.pandas_udf(lambda texts: texts.map(redactions), EDITS)("text"))
 
 
 def redacted_token_counts(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,6 +218,13 @@ def redacted_token_counts(docs: DataFrame, *, ranks: str, pattern: str, id_col:
     Defined results: a null or empty text has 0 tokens; rows that repeat are counted each; null ids stay null; an
     empty table gives an empty result; other columns are ignored.
     """
-    trees = token_trees(docs, ranks=ranks, pattern=pattern, id_col=id_col, text_col=text_col)
-    done = apply_edits(with_redactions(trees), ranks=ranks, pattern=pattern)
-    return done.select("doc_id", "n_before", "n_tokens", "n_pretokens", "n_edits", "reencoded")
+    counted = ["doc_id", "n_before", "n_tokens", "n_pretokens", "n_edits", "reencoded"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Tree, edits and counts of some rows in one worker: texts and trees do not go through the engine in between.
+        with_edits = (batch.assign(edits=batch["text"].map(redactions)) for batch in _trees(batches, ranks, pattern))
+        for done in _edited(with_edits, ranks, pattern):
+            yield done[counted]
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
+    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in counted))
