@@ -59,32 +59,28 @@ def distinctive_shingles(t: Tables) -> DataFrame:
 
 
 SQL_VOTES = SQL_SHINGLES + """, sizes AS (SELECT doc_id, count(*) AS size FROM shingles GROUP BY 1),
-    rare AS (SELECT shingle FROM shingles GROUP BY 1 HAVING count(*) <= 20),
-    votes AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS evidence, round(count(*) / any_value(s.size), 6) AS containment
-              FROM shingles a JOIN rare USING (shingle) JOIN shingles b ON a.shingle = b.shingle AND a.source < b.source JOIN sizes s ON s.doc_id = a.doc_id GROUP BY 1, 2 HAVING count(*) >= 20)
+    sides AS (SELECT shingle, min(source) AS first, max(source) AS second FROM shingles GROUP BY 1 HAVING count(DISTINCT source) = 2),
+    votes AS (SELECT s.doc_id AS a, d.second AS b, count(*) AS evidence, round(count(*) / any_value(z.size), 6) AS containment
+              FROM shingles s JOIN sides d ON d.shingle = s.shingle AND d.first = s.source JOIN sizes z ON z.doc_id = s.doc_id GROUP BY 1, 2 HAVING count(*) >= 10)
 """
 
 
 def votes(t: Tables) -> DataFrame:
-    """Pairs of documents of different sources by the rare shingles they share (in 20 documents at most)."""
-    rows = _shingles(t)
-    sizes = rows.groupBy(F.col("doc_id").alias("a")).agg(F.count("*").alias("size"))
-    rare = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df BETWEEN 2 AND 20").select("shingle")
-    kept = rows.join(rare, "shingle")
-    one = kept.select("shingle", F.col("doc_id").alias("a"), F.col("source").alias("sa"))
-    other = kept.select("shingle", F.col("doc_id").alias("b"), F.col("source").alias("sb"))
-    counted = one.join(other, "shingle").filter("sa < sb").groupBy("a", "b").agg(F.count("*").alias("evidence")).filter("evidence >= 20")
-    return counted.join(sizes, "a").select("a", "b", "evidence", F.round(F.col("evidence") / F.col("size"), 6).alias("containment"))
+    return L.owned_votes(_shingles(t), doc="doc_id", owner="source", shingle="shingle", least=10)
 
 
 @query(SQL_VOTES + "SELECT a, b, evidence, containment FROM votes")
 def crosswalk_votes(t: Tables) -> DataFrame:
+    """Documents and the one other source that shares shingles with them alone, however many documents hold these."""
     return votes(t)
 
 
 @query()
 def greedy_one_to_one(t: Tables) -> DataFrame:
-    return L.greedy_one_to_one(votes(t), "a", "b", "evidence")
+    """Sources in pairs, by the shingles that no third source has: each once on either side."""
+    owner = t.documents.select(F.col("doc_id").alias("a"), F.col("source").alias("one"))
+    pairs = votes(t).join(owner, "a").groupBy("one", F.col("b").alias("other")).agg(F.sum("evidence").alias("evidence"))
+    return L.greedy_one_to_one(pairs, "one", "other", "evidence")
 
 
 SQL_SETS = """, sets AS (SELECT DISTINCT case_id, slot || '/' || CAST(product_id AS VARCHAR) AS element FROM items), sizes AS (SELECT case_id, count(*) AS size FROM sets GROUP BY 1),
@@ -98,6 +94,27 @@ def _alike(t: Tables) -> DataFrame:
     return L.overlap_pairs(t.items.select("case_id", element.alias("element")).distinct(), "case_id", "element", threshold=0.5)
 
 
+SQL_RELABEL = """, folded AS (SELECT doc_id AS member, source, substr(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')), 1, 40) AS head, substr(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')), 1, 20) AS short FROM documents),
+    old AS (SELECT member, min(member) OVER (PARTITION BY source, head) AS grp FROM folded), new AS (SELECT member, min(member) OVER (PARTITION BY short) AS grp FROM folded),
+    n_old AS (SELECT grp AS was, count(*) AS n_was FROM old GROUP BY 1), n_new AS (SELECT grp, count(*) AS n FROM new GROUP BY 1),
+    met AS (SELECT n.grp, o.grp AS was, count(*) AS shared FROM new n JOIN old o USING (member) GROUP BY 1, 2),
+    ways AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY shared DESC, was) AS x, row_number() OVER (PARTITION BY was ORDER BY shared DESC, grp) AS y, count(*) OVER (PARTITION BY grp) AS parts, count(*) OVER (PARTITION BY was) AS heirs FROM met),
+    named AS (SELECT n_new.grp AS "group", w.was, CASE WHEN y = 1 THEN w.was ELSE n_new.grp END AS label, n, coalesce(shared, 0) AS shared,
+        CASE WHEN w.was IS NULL THEN 'new' WHEN parts > 1 THEN 'merged' WHEN heirs > 1 THEN 'split' WHEN shared = n AND shared = n_was THEN 'same' WHEN shared < n_was THEN 'shrunk' ELSE 'grown' END AS kind
+        FROM n_new LEFT JOIN (SELECT * FROM ways JOIN n_old USING (was) WHERE x = 1) w ON w.grp = n_new.grp)
+    SELECT "group", was, label, n, shared, kind FROM named UNION ALL SELECT NULL, was, was, n_was, 0, 'gone' FROM n_old WHERE was NOT IN (SELECT was FROM named WHERE label = was)
+"""
+
+
+@query(SQL_RELABEL)
+def relabel_after_fix(t: Tables) -> DataFrame:
+    """Templates by source and the first 40 characters, grouped anew by the first 20 of any source: who keeps its name."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    rows = t.documents.select(F.col("doc_id").alias("member"), "source", F.substring(plain, 1, 40).alias("head"), F.substring(plain, 1, 20).alias("short"))
+    least = lambda *by: F.min("member").over(Window.partitionBy(*by)).alias("group")
+    return L.relabelled(rows.select("member", least("source", "head")), rows.select("member", least("short")))
+
+
 @query(SQL_SETS + "SELECT a, b, common, jaccard FROM alike")
 def set_signature_link(t: Tables) -> DataFrame:
     return _alike(t)

@@ -67,17 +67,6 @@ def recency_vs_similarity(t: Tables) -> DataFrame:
     return dated.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.corr("rank", "by_date"), 6).alias("rho"))
 
 
-@query(""", w AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(regexp_extract(url, '://([^/]*)', 1)), '[^a-z]+'), lambda x: length(x) >= 5)) AS word FROM pages) GROUP BY 1)
-    SELECT a.word, b.word AS usual, levenshtein(a.word, b.word) AS edits FROM w a JOIN w b ON left(a.word, 2) = left(b.word, 2) AND abs(length(a.word) - length(b.word)) <= 1 AND a.n < b.n AND levenshtein(a.word, b.word) = 1""")
-def synonym_audit(t: Tables) -> DataFrame:
-    """Words of host names one edit away from a more frequent one; only words with the same first letters meet."""
-    words = F.filter(F.split(F.lower(F.regexp_extract("url", "://([^/]*)", 1)), "[^a-z]+"), lambda x: F.length(x) >= 5)
-    counts = t.pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).withColumn("head", F.left("word", F.lit(2)))
-    usual = counts.select("head", F.col("word").alias("usual"), F.col("n").alias("m"))
-    pairs = counts.join(usual, "head").filter("n < m AND abs(length(word) - length(usual)) <= 1")
-    return pairs.withColumn("edits", F.levenshtein("word", "usual").cast("long")).filter("edits = 1").select("word", "usual", "edits")
-
-
 @query()
 def hashing_embedding(t: Tables) -> DataFrame:
     """A signed hashed bag of words of 64 buckets per document, normalised, as pairs of bucket and weight."""
