@@ -6,6 +6,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from casework.sources.storage import cut
 
 
 def alternative_groups(products: DataFrame, pairs: DataFrame, *, product: str = "family", most: int = 4, share: float = 0.5) -> DataFrame:
@@ -34,45 +37,72 @@ def alternative_groups(products: DataFrame, pairs: DataFrame, *, product: str =
     return rows.groupBy("query_id", "slot").applyInPandas(lead, f"query_id long, slot string, {product} string, group_no int")
 
 
-def rotate(current: DataFrame, repertoire: DataFrame, habits: DataFrame, *, budget: float = 0.3) -> DataFrame:
-    """(query_id, family, old, new): replaces a share of a plan's products, least persistent first and never an anchor, by
-    the best of the same family that is neither in the plan nor used already.
+def rotate(current: DataFrame, repertoire: DataFrame, habits: DataFrame, refused: DataFrame, *, budgets: dict[str, float], least_n: int = 1) -> DataFrame:
+    """(query_id, slot, line_no, old, new, fate): which products of a plan give way to others of their family and role, least persistent first.
+
+    ``current``: query_id, slot, line_no, product, family, role, kind; ``repertoire``: product, family, role, place (its rank); ``habits``: product,
+    persistence, n, anchor; ``refused``: query_id, product that are not to be proposed. Each ``kind`` has a budget of its own, its share of the plan's products of that kind, rounded. A substitute is
+    the best placed of the same family and role that is neither in the plan nor refused nor used already for this plan; so line-mates, which share a role,
+    keep sharing it. ``fate``: renewed, anchor, rare (fewer than ``least_n`` cases known), budget, or none (no substitute).
 
-    ``current``: query_id, family, grp; ``repertoire``: family, grp, place; ``habits``: grp, persistence, anchor. Spark
-    joins habits and each product's possible substitutes; only the order-dependent choice is left to the grouped function.
-    """
-    options = repertoire.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("place", "grp"))).alias("options"))
-    rows = current.join(habits.select("grp", "persistence", "anchor"), "grp", "left").join(options, "family", "left")
+    The order matters within a plan, so a plan is one group of a grouped function, with as many candidates as it can need: of a family and role
+    the products in the plan, those refused and those used together are fewer than twice the plan's size plus the refusals, so the best of one more than
+    that always hold the choice, and no more are joined."""
+    w = Window.partitionBy("family", "role").orderBy("place", "product")
+    ranked = repertoire.select("family", "role", "product", F.row_number().over(w).alias("nth"))
+    sizes = current.groupBy("query_id").agg(F.count("*").alias("size"))
+    turned_down = refused.select("query_id", "product").distinct()
+    no = turned_down.groupBy("query_id").agg(F.count("*").alias("no"))
+    need = sizes.join(no, "query_id", "left").select("query_id", (2 * F.col("size") + F.coalesce("no", F.lit(0)) + 1).alias("need"))
+    wanted = current.select("query_id", "family", "role").distinct().join(need, "query_id")
+    met = wanted.join(ranked, ["family", "role"]).filter(F.col("nth") <= F.col("need")).join(turned_down, ["query_id", "product"], "left_anti")
+    options = met.groupBy("query_id", "family", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "product"))), lambda x: x["product"]).alias("options"))
+    rows = current.join(habits.select("product", "persistence", "n", "anchor"), "product", "left").join(options, ["query_id", "family", "role"], "left")
+    shares = dict(budgets)
 
     def turn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["persistence", "grp"])
-        left, present = round(budget * len(frame)), set(frame["grp"])
-        changes = []
+        frame = frame.assign(persistence=frame["persistence"].fillna(0.0), n=frame["n"].fillna(0)).sort_values(["persistence", "slot", "line_no", "product"])
+        left = {kind: round(share * (frame["kind"] == kind).sum()) for kind, share in shares.items()}
+        present, changes = set(frame["product"]), []
         for row in frame.itertuples(index=False):
-            new = None
-            if left and not row.anchor and row.options is not None:
-                new = next((o["grp"] for o in row.options if o["grp"] not in present), None)
-            if new is not None:
-                left -= 1
-                present.add(new)
-            changes.append((row.query_id, row.family, row.grp, new))
-        return pd.DataFrame(changes, columns=["query_id", "family", "old", "new"])
-
-    return rows.groupBy("query_id").applyInPandas(turn, "query_id long, family string, old string, new string")
-
-
-def compound_partition(joined: DataFrame, *, share: float = 0.5, rounds: int = 20) -> DataFrame:
-    """(node, component) of the products that stand joined in at least ``share`` of the cases they share, by min-label
-    joins. ``joined``: a, b, together, shared. The catalogue bounds nodes and links; labels stop changing in a few rounds."""
-    links = joined.filter(F.col("together") >= share * F.col("shared")).select("a", "b")
+            new, fate = None, "none"
+            if row.anchor is True:
+                fate = "anchor"
+            elif row.n < least_n:
+                fate = "rare"
+            elif left.get(row.kind, 0) <= 0:
+                fate = "budget"
+            else:
+                new = next((p for p in (row.options if row.options is not None else ()) if p not in present), None)
+                if new is not None:
+                    fate = "renewed"
+                    left[row.kind] -= 1
+                    present.add(new)
+            changes.append((row.query_id, row.slot, row.line_no, row.product, new, fate))
+        out = pd.DataFrame(changes, columns=["query_id", "slot", "line_no", "old", "new", "fate"])
+        return out.assign(new=out["new"].astype("Int64"))
+
+    return rows.groupBy("query_id").applyInPandas(turn, "query_id long, slot string, line_no int, old long, new long, fate string")
+
+
+def compound_partition(joined: DataFrame, *, share: float = 0.5, least: int = 1, alternatives: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the products that stand joined in at least ``share`` of the cases they share and in ``least`` cases at least.
+    ``joined``: a, b, together, shared; pairs in ``alternatives`` (a, b, in either order) are a choice and join nothing.
+
+    Every node takes the smallest label around it and then the label of its label, so rounds grow with the logarithm of the longest chain; it
+    ends when no label moves. The catalogue bounds nodes and links; each round is cut in the checkpoint folder."""
+    links = joined.filter((F.col("together") >= share * F.col("shared")) & (F.col("together") >= least)).select("a", "b")
     both = links.union(links.select("b", "a")).distinct()
-    labels = joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    if alternatives is not None:
+        pairs = alternatives.select("a", "b")
+        both = both.join(pairs.union(pairs.select("b", "a")).distinct(), ["a", "b"], "left_anti")
+    both = cut(both)
+    labels = cut(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moved = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), (F.col("near") < F.col("component")).alias("moved"))
-        moved = moved.persist()
-        changed = moved.filter("moved").isEmpty()
-        labels = moved.select("node", "component")
-        if changed:
-            break
-    return labels
+        lower = cut(labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component")))
+        onward = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        labels = cut(lower.join(onward, "component").select("node", F.col("further").alias("component"), "was"))
+        if labels.filter("component <> was").isEmpty():
+            return labels.select("node", "component")
+        labels = labels.drop("was")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casework.operators.stats import md5_number
+
 
 def without_twins(pool: DataFrame, twins: DataFrame) -> DataFrame:
     """A ranked pool without the cases that are near-duplicates of the query's own (twins: a, b), ranked again."""
@@ -14,11 +16,19 @@ def without_twins(pool: DataFrame, twins: DataFrame) -> DataFrame:
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("before"))).drop("before")
 
 
-def strangers(queries: DataFrame, cases: DataFrame) -> DataFrame:
-    """(query_id, case_id): for each query another entity's case, taken by a fixed rule on ids, if there is one at that place."""
-    n = cases.agg(F.count("*").alias("n_all"))
-    placed = queries.crossJoin(F.broadcast(n)).select("query_id", "q_entity_id", ((F.col("query_id") * 31 + 7) % F.col("n_all")).alias("case_id"))
-    return placed.join(cases.select("case_id", "entity_id"), "case_id").filter("entity_id <> q_entity_id").select("query_id", "case_id")
+def strangers(queries: DataFrame, cases: DataFrame, *, block: int = 64, seed: str = "floor") -> DataFrame:
+    """(query_id, kind, case_id): for each query another entity's case, drawn by a hash, of any objective (``any``), of the query's (``same``) and of
+    another (``other``).
+
+    Cases are dealt into blocks of about ``block`` by a hash, queries too; each query takes from its block the first case that fits by
+    a hash of both. Every case can be drawn, whatever the ids are, and a query meets one block only. Where a block has no case of a kind there is no row."""
+    blocks = max(1, cases.count() // block)
+    dealt = cases.select("case_id", "entity_id", "objective", (md5_number(F.lit(seed), F.col("case_id")) % blocks).alias("block"))
+    asked = queries.select("query_id", "q_entity_id", "q_objective", (md5_number(F.lit(seed + "3"), F.col("query_id")) % blocks).alias("block"))
+    met = asked.join(dealt, "block").filter("entity_id <> q_entity_id").withColumn("order", md5_number(F.lit(seed + "2"), F.col("query_id"), F.col("case_id")))
+    same = F.col("objective").eqNullSafe(F.col("q_objective"))
+    kinds = met.select("query_id", "case_id", "order", F.explode(F.array(F.lit("any"), F.when(same, "same").otherwise("other"))).alias("kind"))
+    return kinds.groupBy("query_id", "kind").agg(F.min_by("case_id", F.struct("order", "case_id")).alias("case_id"))
 
 
 def said_against_held(said: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
@@ -39,7 +49,7 @@ def composed(rows: DataFrame, by: list[str], share: Column, threshold: Column) -
 
 def variants(near: DataFrame, sets: DataFrame, strange: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """(query_id, variant, element): the nearest case copied, the consensus of all neighbours, the best single neighbour
-    (ceiling) and a stranger's case (floor)."""
+    (ceiling) and a stranger's case (floor; floor_same and floor_other by its objective)."""
     k = near.groupBy("query_id").agg(F.count("*").alias("k"))
     rows = near.select("query_id", "case_id", "rank").join(sets, "case_id").join(k, "query_id")
     each = said_against_held(rows.select("query_id", "case_id", "element"), held, ["query_id", "case_id"])
@@ -48,7 +58,7 @@ def variants(near: DataFrame, sets: DataFrame, strange: DataFrame, held: DataFra
         "copy": rows.filter("rank = 1").select("query_id", "element"),
         "composed": composed(rows, ["query_id"], F.count("*") / F.max("k"), F.lit(threshold)),
         "ceiling": rows.join(best, ["query_id", "case_id"], "left_semi").select("query_id", "element"),
-        "floor": strange.join(sets, "case_id").select("query_id", "element"),
+        **{name: strange.filter(F.col("kind") == kind).join(sets, "case_id").select("query_id", "element") for name, kind in (("floor", "any"), ("floor_same", "same"), ("floor_other", "other"))},
     }
     out = None
     for name, part in parts.items():

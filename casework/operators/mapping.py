@@ -53,8 +53,8 @@ def match_free_text(texts: DataFrame, catalogue: DataFrame, *, id_col: str = "id
     """(id, pos, fragment, product_id, how): the fragments of a text against catalogue names: equal, else equal in the
     singular, else a catalogue name's words stand together in it (the longest counts); unmatched ones stay with how null.
 
-    ``catalogue``: key, product_id. Containment is an equi-join too: a fragment is exploded into its runs of as many words as
-    names have, so no fragment meets every name."""
+    ``catalogue``: key, product_id. Containment is an equi-join too: a fragment is exploded into its runs of each number of
+    words that a name has, however long, so no fragment meets every name."""
     singular = lambda text: F.regexp_replace(text, r"(?<=\w{3})s\b", "")
     cleaned = F.filter(F.transform(F.split(fold_text(F.col(text_col)), splits), lambda p: F.btrim(p)), lambda p: p != "")
     parts = texts.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(cleaned).alias("pos", "fragment"))
@@ -62,7 +62,8 @@ def match_free_text(texts: DataFrame, catalogue: DataFrame, *, id_col: str = "id
     names = _first(names, ["key"], [F.asc("product_id")]).withColumn("words", F.size(F.split("key", " ")))
     by_singular = _first(names.withColumn("one", singular(F.col("key"))), ["one"], [F.asc("product_id")]).select("one", "product_id", F.lit(0).alias("words"))
     words = F.split("fragment", " ")
-    lengths = F.sequence(F.lit(1), F.least(F.size(words), F.lit(4)))
+    known = sorted(row["words"] for row in names.select("words").distinct().collect())  # one row for each length that a name has
+    lengths = F.filter(F.array(*[F.lit(n) for n in known or [0]]), lambda n: (n > 0) & (n <= F.size(words)))
     runs = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
     exact = parts.join(names.withColumnRenamed("key", "fragment"), "fragment").select("id", "pos", "product_id", F.lit(0).alias("place"), F.lit(0).alias("words"), F.lit("exact").alias("how"))
     single = parts.withColumn("one", singular(F.col("fragment"))).join(by_singular, "one").select("id", "pos", "product_id", F.lit(1).alias("place"), "words", F.lit("singular").alias("how"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def md5_number(*columns: Column) -> Column:
+    """A number from 0 to 2**32 - 1 that depends on the columns only, the same in any engine."""
+    text = F.concat_ws("|", *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def poisson_weight(u: Column) -> Column:
+    """How often a row is drawn in a bootstrap replicate: a Poisson(1) count, at most 8, from a number in [0, 1)."""
+    weight, below, p = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 9):
+        below += p
+        weight = F.when(u >= below, k).otherwise(weight)
+        p /= k
+    return weight
+
+
+def normal_tail(z: Column) -> Column:
+    """Probability that a standard normal value is farther from zero than ``z``, on both sides, to seven digits.
+
+    Fixed values: the coefficients of the rational approximation 7.1.26 of the error function in Abramowitz and Stegun."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-x * x)
+
+
+def binomial_two_sided(wins: Column, losses: Column) -> Column:
+    """Exact two-sided probability of a split as uneven as this among wins + losses fair tosses; 1 for none. Terms are summed by their logarithms, so
+    any number of tosses will do."""
+    n, least = (wins + losses).cast("double"), F.least(wins, losses)
+    start = F.struct((-n * math.log(2)).alias("log"), F.exp(-n * math.log(2)).alias("sum"))
+    step = lambda s, k: F.struct((s["log"] + F.log((n - k + 1) / k)).alias("log"), (s["sum"] + F.exp(s["log"] + F.log((n - k + 1) / k))).alias("sum"))
+    terms = F.when(least > 0, F.sequence(F.lit(1).cast("long"), least)).otherwise(F.array().cast("array<bigint>"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(terms, start, step)["sum"])
+
+
 #: Values of a group that are ranked in different tasks.
 PARTS = 32
 
@@ -40,7 +77,8 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def wilcoxon(df: DataFrame, difference: Column) -> DataFrame:
-    """Signed-rank sums of paired differences, zeros dropped, and the normal score with continuity correction."""
+    """Signed-rank sums of paired differences, zeros dropped, and the normal score with continuity correction and its
+    two-sided probability."""
     rows = df.select(difference.alias("d")).filter("d IS NOT NULL AND d <> 0").withColumn("size", F.abs("d")).withColumn("all", F.lit(1))
     # Ranks over distinct sizes: equal sizes are counted first, so the one ordered window has a row per size, not per pair.
     sizes = rows.groupBy("size").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
@@ -50,19 +88,14 @@ def wilcoxon(df: DataFrame, difference: Column) -> DataFrame:
     n = F.col("n").cast("double")
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = (F.greatest(F.abs(F.col("w_plus") - mean) - 0.5, F.lit(0.0))) / F.nullif(F.sqrt(var), F.lit(0.0))
-    return sums.select("n", "w_plus", "w_minus", F.round(z, 6).alias("z"))
-
-
-def bootstrap_mean(df: DataFrame, value: str, key: str, *, replicates: int, seed: int) -> DataFrame:
-    """Mean and percentile interval of a paired difference. Each row gets a Poisson(1) weight per replicate from a hash of
-    (seed, replicate, key), so resampling needs no shuffle of rows and repeats exactly."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", key), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    steps, total, p = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += p
-        steps.append(F.when(u < total, k))
-        p /= k + 1
-    weighted = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", F.coalesce(*steps, F.lit(8)))
+    return sums.select("n", "w_plus", "w_minus", F.round(z, 6).alias("z"), F.round(normal_tail(z), 5).alias("p"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, key: str, *, replicates: int, seed: str = "mean") -> DataFrame:
+    """(n, mean, positive, low, high): mean and 95 % percentile interval of a paired difference. Each row has a Poisson(1) weight per replicate
+    from a hash of (seed, replicate, key), so resampling shuffles no rows, only a sum per replicate and task, and repeats exactly."""
+    drawn = df.filter(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    weighted = drawn.withColumn("w", poisson_weight(md5_number(F.lit(seed), F.col("replicate"), F.col(key)) / F.lit(float(1 << 32))))
     means = weighted.groupBy("replicate").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     band = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("double")).alias("positive")).crossJoin(F.broadcast(band))

@@ -22,25 +22,37 @@ def alternative_grouping(t: Tables) -> DataFrame:
 
 @query()
 def rotate(t: Tables) -> DataFrame:
-    """The latest version of every entity, renewed by three tenths."""
-    latest = q_mining.latest_version(t)
-    current = latest.join(t.named_items.select("case_id", "family", "grp").distinct(), "case_id").select(F.col("case_id").alias("query_id"), "family", "grp")
-    held = t.named_items.select("case_id", "family", "grp").distinct()
-    counts = held.groupBy("family", "grp").agg(F.count("*").alias("n"))
-    from casework.operators.retrieve import best
+    """The latest version of every entity, renewed: three tenths of its products, one tenth of the bulky ones; nothing that the entity sent back before."""
+    latest = q_mining.latest_version(t).select("entity_id", "case_id")
+    parts = t.catalogue.select("product_id", "family", F.col("grp").alias("role"), F.when(F.col("bulky"), "slow").otherwise("main").alias("kind"))
+    lines = latest.join(t.items, "case_id").groupBy(F.col("case_id").alias("query_id"), F.col("product_id")).agg(F.min("slot").alias("slot"), F.min("line").cast("int").alias("line_no"))
+    current = lines.join(parts, "product_id").withColumnRenamed("product_id", "product")
+    counts = t.items.groupBy("product_id").agg(F.count_distinct("case_id").alias("n"))
+    place = counts.join(parts, "product_id").select(F.col("product_id").alias("product"), "family", "role", (-F.col("n")).alias("place"))
+    habits = counts.join(t.catalogue.select("product_id", "grp"), "product_id").join(q_mining.anchor_products(t).select("grp", "persistence", "anchor"), "grp", "left")
+    back = t.items.filter("slot LIKE 'R%'").join(t.headers.select("case_id", "entity_id"), "case_id").join(latest.withColumnRenamed("case_id", "query_id"), "entity_id")
+    refused = back.select("query_id", F.col("product_id").alias("product"))
+    return compose.rotate(current, place, habits.withColumnRenamed("product_id", "product"), refused, budgets={"main": 0.3, "slow": 0.1}, least_n=2)
 
-    repertoire = best(counts, ["family"], [F.desc("n"), F.asc("grp")], 12, "place").select("family", "grp", "place")
-    return compose.rotate(current, repertoire, q_mining.anchor_products(t))
 
+_STEP = "SELECT DISTINCT x.a, y.b FROM {0} x JOIN {0} y ON x.b = y.a"
 
-@query()
+
+@query(
+    f""", g AS (SELECT DISTINCT case_id, line_group, family FROM named_items), h AS (SELECT DISTINCT case_id, family FROM named_items),
+    together AS (SELECT x.family AS a, y.family AS b, count(DISTINCT x.case_id) AS n FROM g x JOIN g y ON x.case_id = y.case_id AND x.line_group = y.line_group AND x.family < y.family GROUP BY 1, 2),
+    shared AS (SELECT x.family AS a, y.family AS b, count(*) AS n FROM h x JOIN h y ON x.case_id = y.case_id AND x.family < y.family GROUP BY 1, 2),
+    links AS (SELECT a, b FROM together t JOIN shared s USING (a, b) WHERE t.n >= 0.5 * s.n AND t.n >= 2), nodes AS (SELECT a FROM shared UNION SELECT b FROM shared),
+    s0 AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, a FROM nodes), s1 AS ({_STEP.format('s0')}), s2 AS ({_STEP.format('s1')}), s3 AS ({_STEP.format('s2')})
+    SELECT a AS node, min(b) AS component FROM s3 GROUP BY 1"""
+)
 def compound_partition(t: Tables) -> DataFrame:
     groups = t.named_items.select("case_id", "line_group", "family").distinct()
     one, other = groups.withColumnRenamed("family", "a"), groups.withColumnRenamed("family", "b")
     together = one.join(other, ["case_id", "line_group"]).filter("a < b").groupBy("a", "b").agg(F.count_distinct("case_id").alias("together"))
     held = t.named_items.select("case_id", "family").distinct()
     shared = held.withColumnRenamed("family", "a").join(held.withColumnRenamed("family", "b"), "case_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return compose.compound_partition(together.join(shared, ["a", "b"]))
+    return compose.compound_partition(together.join(shared, ["a", "b"]), least=2)
 
 
 @query()

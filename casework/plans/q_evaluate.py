@@ -3,11 +3,14 @@ are said from its neighbours, which never belong to its entity."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.operators import evaluate as E
 from casework.operators import retrieve as R
+from casework.operators import stats as S
 from casework.plans import q_linkage, q_retrieval, q_rules
 from casework.plans.registry import query
 from casework.sources.tables import Tables
@@ -24,10 +27,13 @@ def _held(t: Tables) -> DataFrame:
     return _sets(t).join(queries, F.col("case_id") == F.col("query_id")).select("query_id", "element")
 
 
+H = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
 SQL_EVAL = q_retrieval.SQL_NEAR + f"""
 , sets AS (SELECT DISTINCT case_id, grp AS element FROM named_items),
 held AS (SELECT query_id, element FROM stated JOIN sets ON case_id = query_id), n_held AS (SELECT query_id, count(*) AS n_held FROM held GROUP BY 1),
-strange AS (SELECT s.query_id, c.case_id FROM stated s JOIN cases c ON c.case_id = (s.query_id * 31 + 7) % (SELECT count(*) FROM cases) WHERE c.entity_id <> s.q_entity_id),
+dealt AS (SELECT case_id, entity_id, objective, {H.format("'floor|' || case_id")} % greatest(1, (SELECT count(*) FROM cases) // 64) AS block FROM cases),
+met AS (SELECT s.query_id, d.case_id, {H.format("'floor2|' || s.query_id || '|' || d.case_id")} AS ord, d.objective = s.q_objective AS same FROM (SELECT *, {H.format("'floor3|' || query_id")} % greatest(1, (SELECT count(*) FROM cases) // 64) AS block FROM stated) s JOIN dealt d ON d.block = s.block AND d.entity_id <> s.q_entity_id),
+strange AS (SELECT query_id, kind, arg_min(case_id, (ord, case_id)) AS case_id FROM (SELECT query_id, case_id, ord, unnest(['floor', CASE WHEN same THEN 'floor_same' ELSE 'floor_other' END]) AS kind FROM met) GROUP BY 1, 2),
 rows_e AS (SELECT n.query_id, n.case_id, n.rank, n.score, s.element, count(*) OVER (PARTITION BY n.query_id, s.element) AS c, k FROM near n JOIN sets s USING (case_id) JOIN (SELECT query_id, count(*) AS k FROM near GROUP BY 1) USING (query_id)),
 each AS (SELECT query_id, case_id, round(common / CAST(n_said + n_held - common AS DOUBLE), 6) AS jaccard
     FROM (SELECT r.query_id, r.case_id, count(h.element) AS common, count(*) AS n_said FROM rows_e r LEFT JOIN held h ON h.query_id = r.query_id AND h.element = r.element GROUP BY 1, 2) JOIN n_held USING (query_id)),
@@ -35,7 +41,7 @@ top_case AS (SELECT query_id, case_id FROM each QUALIFY row_number() OVER (PARTI
 said AS (SELECT query_id, 'copy' AS variant, element FROM rows_e WHERE rank = 1
     UNION ALL SELECT DISTINCT query_id, 'composed', element FROM rows_e WHERE round(c / k, 6) >= {THRESHOLD}
     UNION ALL SELECT query_id, 'ceiling', element FROM rows_e JOIN top_case USING (query_id, case_id)
-    UNION ALL SELECT query_id, 'floor', element FROM strange JOIN sets USING (case_id)),
+    UNION ALL SELECT query_id, kind, element FROM strange JOIN sets USING (case_id)),
 scores AS (SELECT query_id, variant, common, n_said, n_held, round(common / CAST(n_said + n_held - common AS DOUBLE), 6) AS jaccard, round(common / CAST(n_said AS DOUBLE), 6) AS "precision", round(common / CAST(n_held AS DOUBLE), 6) AS recall
     FROM (SELECT s.query_id, s.variant, count(h.element) AS common, count(*) AS n_said FROM said s LEFT JOIN held h ON h.query_id = s.query_id AND h.element = s.element GROUP BY 1, 2) JOIN n_held USING (query_id))
 """
@@ -62,18 +68,77 @@ def loo_summary(t: Tables) -> DataFrame:
     return out.withColumn("objective", F.coalesce("objective", F.lit("all")))
 
 
-@query(SQL_EVAL + """, wide AS (SELECT query_id, max(jaccard) FILTER (WHERE variant = 'floor') AS low, max(jaccard) FILTER (WHERE variant = 'composed') AS system, max(jaccard) FILTER (WHERE variant = 'ceiling') AS high FROM scores GROUP BY 1)
-    SELECT q_objective AS objective, count(*) AS n, round(avg(low), 5) AS floor_, round(avg(coalesce(system, 0)), 5) AS system, round(avg(high), 5) AS ceiling,
-        round((avg(coalesce(system, 0)) - avg(low)) / nullif(avg(high) - avg(low), 0), 5) AS score FROM wide JOIN stated USING (query_id) WHERE low IS NOT NULL AND high IS NOT NULL GROUP BY 1""")
-def loo_floor_ceiling(t: Tables) -> DataFrame:
-    """By objective what the system reaches between a stranger's case and the best single neighbour; nothing said counts 0."""
+SQL_WIDE = SQL_EVAL + """, wide AS (SELECT query_id, max(jaccard) FILTER (WHERE variant = 'floor') AS low, max(jaccard) FILTER (WHERE variant = 'floor_same') AS low_same, max(jaccard) FILTER (WHERE variant = 'floor_other') AS low_other,
+    coalesce(max(jaccard) FILTER (WHERE variant = 'composed'), 0) AS system, max(jaccard) FILTER (WHERE variant = 'copy') AS copy, max(jaccard) FILTER (WHERE variant = 'ceiling') AS high FROM scores GROUP BY 1)
+"""
+
+
+def _wide(t: Tables) -> DataFrame:
+    """A row per query: what the floors, the nearest case, the system (nothing said counts 0) and the best neighbour reach."""
     pick = lambda v: F.max(F.when(F.col("variant") == v, F.col("jaccard")))
-    wide = _scores(t).groupBy("query_id").agg(pick("floor").alias("low"), F.coalesce(pick("composed"), F.lit(0.0)).alias("system"), pick("ceiling").alias("high"))
-    rows = wide.filter("low IS NOT NULL AND high IS NOT NULL").join(q_retrieval.stated_queries(t).select("query_id", F.col("q_objective").alias("objective")), "query_id")
-    low, system, high = F.avg("low"), F.avg("system"), F.avg("high")
-    return rows.groupBy("objective").agg(
-        F.count("*").alias("n"), F.round(low, 5).alias("floor_"), F.round(system, 5).alias("system"), F.round(high, 5).alias("ceiling"), F.round((system - low) / F.nullif(high - low, F.lit(0.0)), 5).alias("score")
-    )
+    names = {"low": "floor", "low_same": "floor_same", "low_other": "floor_other", "copy": "copy", "high": "ceiling"}
+    return _scores(t).groupBy("query_id").agg(*[pick(v).alias(n) for n, v in names.items()], F.coalesce(pick("composed"), F.lit(0.0)).alias("system"))
+
+
+@query(SQL_WIDE + """SELECT q_objective AS objective, count(*) AS n, round(avg(low), 5) AS floor_, round(avg(low_same), 5) AS floor_same, round(avg(low_other), 5) AS floor_other, round(avg(system), 5) AS system, round(avg(high), 5) AS ceiling
+    FROM wide JOIN stated USING (query_id) GROUP BY 1""")
+def loo_floor_ceiling(t: Tables) -> DataFrame:
+    """By objective: a stranger's case of any, of the same and of another objective, the system, and the best single neighbour."""
+    rows = _wide(t).join(q_retrieval.stated_queries(t).select("query_id", F.col("q_objective").alias("objective")), "query_id")
+    means = {"floor_": "low", "floor_same": "low_same", "floor_other": "low_other", "system": "system", "ceiling": "high"}
+    return rows.groupBy("objective").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(n) for n, c in means.items()])
+
+
+@query(SQL_WIDE + """SELECT q_objective AS objective, count(*) AS n, round((avg(system) - avg(low_other)) / nullif(avg(high) - avg(low_other), 0), 5) AS over_other, round((avg(system) - avg(low_same)) / nullif(avg(high) - avg(low_same), 0), 5) AS over_same
+    FROM wide JOIN stated USING (query_id) WHERE low_same IS NOT NULL AND low_other IS NOT NULL AND high IS NOT NULL GROUP BY 1""")
+def normalised_score(t: Tables) -> DataFrame:
+    """Where the system stands between a stranger's case (0) and the best single neighbour (1), for both kinds of strangers."""
+    rows = _wide(t).dropna(subset=["low_same", "low_other", "high"]).join(q_retrieval.stated_queries(t).select("query_id", F.col("q_objective").alias("objective")), "query_id")
+    share = lambda low: F.round((F.avg("system") - F.avg(low)) / F.nullif(F.avg("high") - F.avg(low), F.lit(0.0)), 5)
+    return rows.groupBy("objective").agg(F.count("*").alias("n"), share("low_other").alias("over_other"), share("low_same").alias("over_same"))
+
+
+def _gains(t: Tables) -> DataFrame:
+    """The system against the nearest case copied, paired by query."""
+    return _wide(t).dropna(subset=["copy"]).withColumn("gain", F.round(F.col("system") - F.col("copy"), 6))
+
+
+SQL_GAINS = SQL_WIDE + ", gains AS (SELECT query_id, round(system - copy, 6) AS gain FROM wide WHERE copy IS NOT NULL)"
+TAIL = "(0.254829592 * t - 0.284496736 * t ** 2 + 1.421413741 * t ** 3 - 1.453152027 * t ** 4 + 1.061405429 * t ** 5) * exp(-z * z / 2)"
+
+
+@query(SQL_GAINS + f""", s AS (SELECT abs(gain) AS size, count(*) AS c, count(*) FILTER (WHERE gain > 0) AS up FROM gains WHERE gain <> 0 GROUP BY 1),
+    r AS (SELECT *, coalesce(sum(c) OVER (ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c + 1) / 2 AS rank FROM s),
+    sums AS (SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(up * rank) AS DOUBLE) AS w_plus, CAST(sum((c - up) * rank) AS DOUBLE) AS w_minus, CAST(sum(CAST(c AS DOUBLE) ** 3 - c) AS DOUBLE) AS ties FROM r),
+    zs AS (SELECT *, greatest(abs(w_plus - CAST(n AS DOUBLE) * (n + 1) / 4) - 0.5, 0) / nullif(sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * CAST(n AS DOUBLE) + 1) / 24 - ties / 48), 0) AS z FROM sums),
+    ts AS (SELECT *, 1 / (1 + 0.3275911 * z / sqrt(2)) AS t FROM zs)
+    SELECT n, w_plus, w_minus, round(z, 6) AS z, round({TAIL}, 5) AS p FROM ts""")
+def wilcoxon_signed_rank(t: Tables) -> DataFrame:
+    """Is the consensus another thing than the nearest case copied? Signed ranks of the paired differences."""
+    return S.wilcoxon(_gains(t), F.col("gain"))
+
+
+WEIGHTS_SQL = "CASE " + " ".join(f"WHEN u >= 0.36787944117144233 * ({' + '.join(f'1 / {math.factorial(i)}.0' for i in range(k))}) THEN {k}" for k in range(8, 0, -1)) + " ELSE 0 END"
+
+
+@query(SQL_GAINS + f""", drawn AS (SELECT g.*, r.replicate, {H.format("'mean|' || r.replicate || '|' || query_id")} / 4294967296.0 AS u FROM gains g, (SELECT unnest(range(1, 201)) AS replicate) r),
+    means AS (SELECT replicate, sum(w * gain) / nullif(sum(w), 0) AS m FROM (SELECT *, {WEIGHTS_SQL} AS w FROM drawn) GROUP BY 1)
+    SELECT (SELECT count(*) FROM gains) AS n, (SELECT round(avg(gain), 4) FROM gains) AS mean, (SELECT round(avg(CAST(gain > 0 AS DOUBLE)), 4) FROM gains) AS positive, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM means""")
+def paired_bootstrap(t: Tables) -> DataFrame:
+    """The same difference's mean with a 95 % interval from 200 resamplings of the queries."""
+    found = S.bootstrap_mean(_gains(t).select("query_id", "gain"), "gain", "query_id", replicates=200)
+    return found.select("n", *[F.round(c, 4).alias(c) for c in ("mean", "positive", "low", "high")])
+
+
+@query(SQL_GAINS + """, c AS (SELECT q_objective AS objective, count(*) AS n, count(*) FILTER (WHERE gain > 0) AS wins, count(*) FILTER (WHERE gain < 0) AS losses, avg(gain) AS gain FROM gains JOIN stated USING (query_id) GROUP BY 1)
+    SELECT objective, n, wins, losses, round(gain, 5) AS gain, round(least(1, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))) FROM (SELECT unnest(range(0, least(wins, losses) + 1)) AS k))), 5) AS p,
+        round(greatest(wins, losses, n - wins - losses) / n, 5) AS majority FROM c""")
+def sign_and_mcnemar(t: Tables) -> DataFrame:
+    """By objective how often either wins, the exact probability of such a split, and the share of the commonest outcome."""
+    rows = _gains(t).join(q_retrieval.stated_queries(t).select("query_id", F.col("q_objective").alias("objective")), "query_id")
+    counted = rows.groupBy("objective").agg(F.count("*").alias("n"), F.count_if(F.col("gain") > 0).alias("wins"), F.count_if(F.col("gain") < 0).alias("losses"), F.round(F.avg("gain"), 5).alias("gain"))
+    majority = F.greatest("wins", "losses", F.col("n") - F.col("wins") - F.col("losses")) / F.col("n")
+    return counted.select("objective", "n", "wins", "losses", "gain", F.round(S.binomial_two_sided(F.col("wins"), F.col("losses")), 5).alias("p"), F.round(majority, 5).alias("majority"))
 
 
 @query(SQL_EVAL + """, grid AS (SELECT k_max, least FROM (VALUES (5), (10), (20)) a(k_max), (VALUES (0.1), (0.15), (0.2)) b(least)),
@@ -152,13 +217,17 @@ def leak_effect(t: Tables) -> DataFrame:
     )
 
 
-@query(q_retrieval.SQL_QUERIES + q_rules.SQL_RULES + """, strange AS (SELECT s.query_id, c.case_id FROM stated s JOIN cases c ON c.case_id = (s.query_id * 31 + 7) % (SELECT count(*) FROM cases) WHERE c.entity_id <> s.q_entity_id)
+STRANGE = f"""dealt AS (SELECT case_id, entity_id, {H.format("'floor|' || case_id")} % greatest(1, (SELECT count(*) FROM cases) // 64) AS block FROM cases),
+    strange AS (SELECT s.query_id, arg_min(d.case_id, ({H.format("'floor2|' || s.query_id || '|' || d.case_id")}, d.case_id)) AS case_id FROM (SELECT *, {H.format("'floor3|' || query_id")} % greatest(1, (SELECT count(*) FROM cases) // 64) AS block FROM stated) s JOIN dealt d ON d.block = s.block AND d.entity_id <> s.q_entity_id GROUP BY 1)"""
+
+
+@query(q_retrieval.SQL_QUERIES + q_rules.SQL_RULES + """, """ + STRANGE + """
     SELECT o.rule, count(*) AS n, round(avg(CAST(o.satisfied AS DOUBLE)), 5) AS own, round(avg(CAST(f.satisfied AS DOUBLE)), 5) AS stranger, round(avg(CAST(o.satisfied AS DOUBLE)) - avg(CAST(f.satisfied AS DOUBLE)), 5) AS gap
     FROM strange x JOIN evaluated o ON o.case_id = x.query_id JOIN evaluated f ON f.case_id = x.case_id AND f.rule = o.rule WHERE o.satisfied IS NOT NULL AND f.satisfied IS NOT NULL AND o.rule IN ('no_promo_in_af', 'much_needs_standard') GROUP BY 1""")
 def rule_compliance_floor(t: Tables) -> DataFrame:
     """Conditional rules in the queries' own cases against a stranger's, where both can be judged."""
     judged = q_rules._evaluated(t).filter("satisfied IS NOT NULL AND rule IN ('no_promo_in_af', 'much_needs_standard')").withColumn("held", F.col("satisfied").cast("double"))
-    pairs = E.strangers(q_retrieval.stated_queries(t), t.headers)
+    pairs = E.strangers(q_retrieval.stated_queries(t), t.headers).filter("kind = 'any'").drop("kind")
     own = judged.select(F.col("case_id").alias("query_id"), "rule", F.col("held").alias("o"))
     rows = pairs.join(own, "query_id").join(judged.select("case_id", "rule", F.col("held").alias("s")), ["case_id", "rule"])
     return rows.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("o"), 5).alias("own"), F.round(F.avg("s"), 5).alias("stranger"), F.round(F.avg("o") - F.avg("s"), 5).alias("gap"))

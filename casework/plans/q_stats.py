@@ -10,7 +10,6 @@ from casework.operators import joins as J
 from casework.operators import mining as M
 from casework.operators import stats as S
 from casework.plans.q_joins import purchase_spans
-from casework.plans.q_mining import _overlap, _overlap_sql
 from casework.plans.registry import query
 from casework.sources.tables import Tables
 
@@ -39,27 +38,6 @@ def cell_scaling(t: Tables) -> DataFrame:
     return S.spearman(rows, ["family", "slot"], "total", "quantity").withColumn("enough", F.col("n") >= 30)
 
 
-@query(_overlap_sql() + """, d AS (SELECT jaccard - 0.04 AS d FROM overlap WHERE jaccard <> 0.04), s AS (SELECT abs(d) AS size, count(*) AS c, count(*) FILTER (WHERE d > 0) AS up FROM d GROUP BY 1),
-    r AS (SELECT *, coalesce(sum(c) OVER (ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c + 1) / 2 AS rank FROM s),
-    t AS (SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(up * rank) AS DOUBLE) AS w_plus, CAST(sum((c - up) * rank) AS DOUBLE) AS w_minus, CAST(sum(CAST(c AS DOUBLE) ** 3 - c) AS DOUBLE) AS ties FROM r)
-    SELECT n, w_plus, w_minus, round(greatest(abs(w_plus - CAST(n AS DOUBLE) * (n + 1) / 4) - 0.5, 0) / nullif(sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * CAST(n AS DOUBLE) + 1) / 24 - ties / 48), 0), 6) AS z FROM t""")
-def wilcoxon_signed_rank(t: Tables) -> DataFrame:
-    return S.wilcoxon(_overlap(t), F.col("jaccard") - 0.04)
-
-
-@query()
-def paired_bootstrap(t: Tables) -> DataFrame:
-    rows = _overlap(t).select("case_id", (F.col("jaccard") - 0.04).alias("d"))
-    return S.bootstrap_mean(rows, "d", "case_id", replicates=50, seed=42).select(*[F.round(c, 4).alias(c) if c != "n" else F.col(c) for c in ("n", "mean", "positive", "low", "high")])
-
-
-@query(_overlap_sql() + """, per AS (SELECT objective, avg(jaccard) AS system, min(jaccard) AS floor_, max(jaccard) AS ceiling FROM overlap GROUP BY 1)
-    SELECT objective, round((system - floor_) / nullif(ceiling - floor_, 0), 6) AS score FROM per""")
-def normalised_score(t: Tables) -> DataFrame:
-    per = _overlap(t).groupBy("objective").agg(F.avg("jaccard").alias("system"), F.min("jaccard").alias("low"), F.max("jaccard").alias("high"))
-    return per.select("objective", F.round((F.col("system") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), 6).alias("score"))
-
-
 SQL_SLOTS = """, pairs AS (SELECT case_id, next_id FROM (SELECT case_id, lead(case_id) OVER (PARTITION BY entity_id ORDER BY version) AS next_id FROM cases) WHERE next_id IS NOT NULL),
     f AS (SELECT DISTINCT case_id, slot, family FROM named_items), n AS (SELECT case_id, slot, count(*) AS n FROM f GROUP BY 1, 2),
     common AS (SELECT p.case_id, a.slot, count(*) AS c FROM pairs p JOIN f a ON a.case_id = p.case_id JOIN f b ON b.case_id = p.next_id AND a.slot = b.slot AND a.family = b.family GROUP BY 1, 2),
@@ -137,18 +115,6 @@ def trend_contradiction(t: Tables) -> DataFrame:
     return out.select("event_id", trend.alias("trend"))
 
 
-@query(_overlap_sql("family") + """, g AS (SELECT case_id, next_id, jaccard > 0.3 AS fam FROM overlap), both_ AS (SELECT o.objective, g.fam, o.size_a > o.size_b AS shrinks FROM overlap o JOIN g USING (case_id, next_id))
-    SELECT objective, count(*) FILTER (WHERE fam AND NOT shrinks) AS only_a, count(*) FILTER (WHERE shrinks AND NOT fam) AS only_b, count(*) FILTER (WHERE fam = shrinks) AS same, round(avg(CAST(fam AS DOUBLE)), 6) AS rate FROM both_ GROUP BY 1""")
-def sign_and_mcnemar(t: Tables) -> DataFrame:
-    rows = _overlap(t, "family").select("objective", (F.col("jaccard") > 0.3).alias("fam"), (F.col("size_a") > F.col("size_b")).alias("shrinks"))
-    return rows.groupBy("objective").agg(
-        F.count_if(F.col("fam") & ~F.col("shrinks")).alias("only_a"),
-        F.count_if(F.col("shrinks") & ~F.col("fam")).alias("only_b"),
-        F.count_if(F.col("fam") == F.col("shrinks")).alias("same"),
-        F.round(F.avg(F.col("fam").cast("double")), 6).alias("rate"),
-    )
-
-
 @query("""SELECT product_id, CASE WHEN price > 0 AND scale > 0 THEN round(86.01 * log10(price) - 70.041 * log10(scale) + 36.76, 6) END AS share, CASE WHEN scale > 0 THEN round(price / (scale * scale), 6) END AS index_ FROM catalogue""")
 def body_estimates(t: Tables) -> DataFrame:
     price, scale = F.col("price"), F.col("scale")
