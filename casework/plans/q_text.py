@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casework.functions.columns import fold_text
+from casework.operators import text as X
 from casework.operators.retrieve import best
+from casework.operators.schedule import date_in
 from casework.plans.q_linkage import FOLD
 from casework.plans.registry import query
 from casework.sources.tables import Tables
@@ -62,21 +66,15 @@ def clean_and_discard(t: Tables) -> DataFrame:
     return rows.groupBy("role", "outcome").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_before"), F.sum(after).alias("n_after"))
 
 
-#: Labels of a document and what shows them, in order of priority.
-LABELS = {"licensed": r"(?i)licensed under|under the mit", "contact": MAIL, "shouting": r"!![ \n]", "table": r" \| ", "numbers": r"[0-9]{3,}"}
-
-
-def labels(text: Column, table: dict[str, str]) -> Column:
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in table.items()]), lambda x: x.isNotNull())
-
-
-SQL_LABELS = ", labels AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' END" for n, p in LABELS.items()) + "], lambda x: x IS NOT NULL) AS l FROM documents)"
+#: Label, pattern and priority of what a document shows.
+LABELS = [("numbers", "[0-9]{3,}", 1), ("licensed", "(?i)licensed under", 5), ("licensed", "(?i)under the mit", 5), ("contact", MAIL, 4), ("shouting", r"!![ \n]", 3), ("table", r" \| ", 2)]
+_BY_RANK = sorted(range(len(LABELS)), key=lambda i: (-LABELS[i][2], i))
 
 
-@query(SQL_LABELS + " SELECT doc_id, array_to_string(l, ',') AS labels, l[1] AS main, len(l) > 1 AS compound FROM labels")
+@query(", hits AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{LABELS[i][1]}') THEN '{LABELS[i][0]}' END" for i in _BY_RANK) + """], lambda x: x IS NOT NULL) AS h FROM documents),
+    labels AS (SELECT doc_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS l FROM hits) SELECT doc_id, array_to_string(l, ',') AS labels, l[1] AS main, len(l) > 1 AS compound, len(l) > 0 AS covered FROM labels""")
 def label_taxonomy(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", labels(body(), LABELS).alias("l"))
-    return rows.select("doc_id", F.array_join("l", ",").alias("labels"), F.get("l", F.lit(0)).alias("main"), (F.size("l") > 1).alias("compound"))
+    return X.label_by_patterns(t.documents, LABELS, key="doc_id", text="text")
 
 
 #: Frequent words of each language and their weight. Neighbours are spelt out: word boundaries differ between engines.
@@ -171,22 +169,40 @@ def mine_catalogue(t: Tables) -> DataFrame:
     return t.catalogue.groupBy(F.split_part(F.lower("name"), F.lit(" "), F.lit(2)).alias("term")).agg(F.count("*").alias("n"))
 
 
-TERMS = r"(?i)\b(idiot|moron|clown|stupid)\b"
+TERMS = [("idiot", 2), ("moron", 2), ("clown", 1), ("stupid", 1), ("license", 1), ("licensed", 1)]
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '{TERMS}')) AS mentions, len(regexp_extract_all(text, '{TERMS}')) >= 3 AS dropped, md5(regexp_replace(text, '{TERMS}', '***', 'g')) AS redacted FROM documents WHERE regexp_matches(text, '{TERMS}')")
+@query(", terms AS (SELECT * FROM (VALUES " + ", ".join(map(str, TERMS)) + r""") v(term, weight)), pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\p{L}+|[^\p{L}]+') AS p FROM documents)),
+    met AS (SELECT p.*, t.term, t.weight FROM pieces p LEFT JOIN terms t ON t.term = lower(p.piece))
+    SELECT doc_id, count(term) AS mentions, string_agg(DISTINCT term, ',' ORDER BY term) AS terms, CAST(sum(weight) AS BIGINT) AS weight, sum(weight) >= 4 AS dropped, md5(string_agg(CASE WHEN term IS NULL THEN piece ELSE '***' END, '' ORDER BY pos)) AS redacted
+    FROM met GROUP BY 1 HAVING count(term) > 0""")
 def term_screen(t: Tables) -> DataFrame:
-    n = F.regexp_count("text", F.lit(TERMS)).cast("long")
-    rows = t.documents.filter(F.col("text").rlike(TERMS))
-    return rows.select("doc_id", n.alias("mentions"), (n >= 3).alias("dropped"), F.md5(F.regexp_replace("text", TERMS, "***")).alias("redacted"))
+    terms = t.spark.createDataFrame(TERMS, "term string, weight long")
+    return X.screen_terms(t.documents, terms, key="doc_id", text="text", limit=4).withColumn("redacted", F.md5("redacted"))
 
 
-DATE = r"([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+_ISO, _DMY = "(?:^|[^0-9])([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[^0-9]|$)", "(?:^|[^0-9])([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}|[0-9]{2})(?:[^0-9]|$)"
+_NAMED = f"(?i)(?:^|[^0-9])([0-9]{{1,2}})\\.? (?:de )?({'|'.join(MONTHS)}),? (?:de )?([0-9]{{4}})(?:[^0-9]|$)"
 
 
-@query("SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS DATE) AS found FROM documents")
+@query(f""", dated AS (SELECT case_id, CASE case_id % 5 WHEN 0 THEN 'due ' || strftime(case_date, '%Y-%m-%d') || ' or 1/1/2001' WHEN 1 THEN strftime(case_date, '%-d/%-m/%y') || ' noted' WHEN 2 THEN 'on ' || strftime(case_date, '%d.%m.%Y')
+        WHEN 3 THEN 'by ' || strftime(case_date, '%-d %B %Y') || '.' ELSE 'on 31/' || (case_id % 14) || '/2020' END AS line FROM cases),
+    parts AS (SELECT case_id, line, regexp_extract(line, '{_ISO}', ['y', 'm', 'd']) AS i, regexp_extract(line, '{_DMY}', ['d', 'm', 'y']) AS s, regexp_extract(line, '{_NAMED}', ['d', 'm', 'y']) AS n FROM dated)
+    SELECT case_id, CASE WHEN i.y <> '' THEN TRY_CAST(i.y || '-' || lpad(i.m, 2, '0') || '-' || lpad(i.d, 2, '0') AS DATE)
+        WHEN s.y <> '' THEN TRY_CAST(CASE WHEN length(s.y) = 4 THEN s.y WHEN TRY_CAST(s.y AS INTEGER) < 70 THEN '20' || s.y ELSE '19' || s.y END || '-' || lpad(s.m, 2, '0') || '-' || lpad(s.d, 2, '0') AS DATE)
+        WHEN n.y <> '' THEN TRY_CAST(n.y || '-' || lpad(CAST(list_position({MONTHS}, lower(n.m)) AS VARCHAR), 2, '0') || '-' || lpad(n.d, 2, '0') AS DATE) END AS found FROM parts""")
 def date_from_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.try_to_date(F.nullif(F.regexp_extract("text", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), "yyyy-MM-dd").alias("found"))
+    """Dates out of lines that write a case's date in several ways, some of them of no day at all."""
+    n, day = F.col("case_id"), lambda f: F.date_format("case_date", f)
+    line = (
+        F.when(n % 5 == 0, F.concat(F.lit("due "), day("yyyy-MM-dd"), F.lit(" or 1/1/2001")))
+        .when(n % 5 == 1, F.concat(day("d/M/yy"), F.lit(" noted")))
+        .when(n % 5 == 2, F.concat(F.lit("on "), day("dd.MM.yyyy")))
+        .when(n % 5 == 3, F.concat(F.lit("by "), day("d MMMM yyyy"), F.lit(".")))
+        .otherwise(F.concat(F.lit("on 31/"), (n % 14).cast("string"), F.lit("/2020")))
+    )
+    return t.headers.select("case_id", date_in(line, months=MONTHS).alias("found"))
 
 
 @query(""", notes AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '')) AS w FROM conversations), tok AS (SELECT conv_id, turn, unnest(w) AS word FROM notes),
@@ -201,12 +217,18 @@ def idf_top_notes(t: Tables) -> DataFrame:
     return best(scored, ["conv_id"], [F.desc("score"), F.asc("turn")], 3, "place")
 
 
-@query("SELECT unit AS raw, coalesce(c, lower(unit)) AS canonical, c IS NOT NULL AS known, n FROM (SELECT unit, count(*) AS n FROM (SELECT CASE WHEN line % 2 = 0 THEN upper(unit) || '.' ELSE unit END AS unit FROM items) GROUP BY 1) LEFT JOIN (VALUES ('u0', 'base'), ('u1', 'piece'), ('u0.', 'base')) v(k, c) ON lower(unit) = k")
+SPELLINGS = [("u0", "base", 1.0), ("base", "base", 1.0), ("u1", "piece", 1.0), ("dozen", "piece", 12.0)]
+
+
+@query(", spellings AS (SELECT * FROM (VALUES " + ", ".join(map(str, SPELLINGS)) + """) v(spelling, unit, times)),
+    raws AS (SELECT raw, count(*) AS n, trim(lower(raw), ' .') AS plain FROM (SELECT CASE line % 4 WHEN 0 THEN upper(unit) || '.' WHEN 1 THEN unit WHEN 2 THEN unit || 's ' ELSE 'Dozens' END AS raw FROM items) GROUP BY 1)
+    SELECT raw, coalesce(a.unit, b.unit, plain) AS unit, CAST(coalesce(a.times, b.times) AS DOUBLE) AS times, coalesce(a.unit, b.unit) IS NOT NULL AS known, CASE WHEN coalesce(a.unit, b.unit) IS NULL THEN CASE WHEN plain = '' THEN 'empty' ELSE 'unlisted' END END AS reason, n
+    FROM raws LEFT JOIN spellings a ON a.spelling = plain LEFT JOIN spellings b ON b.spelling || 's' = plain""")
 def canonical_unit(t: Tables) -> DataFrame:
-    spellings = t.spark.createDataFrame([("u0", "base"), ("u1", "piece"), ("u0.", "base")], "k string, c string")
-    counts = t.items.groupBy(F.when(F.col("line") % 2 == 0, F.concat(F.upper("unit"), F.lit("."))).otherwise(F.col("unit")).alias("raw")).agg(F.count("*").alias("n"))
-    out = counts.join(F.broadcast(spellings), F.lower("raw") == F.col("k"), "left")
-    return out.select("raw", F.coalesce("c", F.lower("raw")).alias("canonical"), F.col("c").isNotNull().alias("known"), "n")
+    spellings = t.spark.createDataFrame(SPELLINGS, "spelling string, unit string, times double")
+    n = F.col("line") % 4
+    raw = F.when(n == 0, F.concat(F.upper("unit"), F.lit("."))).when(n == 1, F.col("unit")).when(n == 2, F.concat("unit", F.lit("s "))).otherwise("Dozens")
+    return X.canonical_units(t.items.select(raw.alias("raw")), spellings)
 
 
 @query("SELECT case_id, string_agg(slot || ': ' || names, '; ' ORDER BY slot) AS line FROM (SELECT case_id, slot, string_agg(DISTINCT family, ', ' ORDER BY family) AS names FROM named_items GROUP BY 1, 2) GROUP BY 1")
@@ -218,15 +240,15 @@ def retrieval_text(t: Tables) -> DataFrame:
 
 # Privacy.
 DETECTORS = {"email": MAIL, "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "phone": r"\+?[0-9][0-9() -]{8,}[0-9]", "url": LINK, "year": r"\b(19|20)[0-9]{2}\b"}
-PII_SQL = " UNION ALL ".join(f"SELECT '{n}' AS detector, count(*) FILTER (WHERE k > 0) AS n_rows, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_hits FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '{p}')) AS k FROM documents)" for n, p in DETECTORS.items())
+FIELDS = {"documents.text": ("documents", "text"), "pages.url": ("pages", "url"), "conversations.text": ("conversations", "text")}
+_HITS = " UNION ALL ".join(f"SELECT '{f}' AS field, '{n}' AS detector, regexp_extract_all(coalesce({c}, ''), '{p}') AS h FROM {tab}" for f, (tab, c) in FIELDS.items() for n, p in DETECTORS.items())
 
 
-@query(" " + PII_SQL)
+@query(f", hits AS ({_HITS}), counts AS (SELECT field, detector, count(*) FILTER (WHERE len(h) > 0) AS n_rows, CAST(sum(len(h)) AS BIGINT) AS n_hits FROM hits GROUP BY 1, 2), each AS (SELECT field, detector, count(DISTINCT x) AS n_distinct FROM (SELECT field, detector, unnest(h) AS x FROM hits) GROUP BY 1, 2) SELECT field, detector, n_rows, n_hits, coalesce(n_distinct, 0) AS n_distinct FROM counts LEFT JOIN each USING (field, detector)")
 def pii_scan(t: Tables) -> DataFrame:
-    counts = t.documents.select(*[F.regexp_count(body(), F.lit(p)).alias(n) for n, p in DETECTORS.items()])
-    sums = counts.agg(*[F.count_if(F.col(n) > 0).alias("r_" + n) for n in DETECTORS], *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("h_" + n) for n in DETECTORS])
-    pairs = ", ".join(f"'{n}', r_{n}, h_{n}" for n in DETECTORS)
-    return sums.selectExpr(f"stack({len(DETECTORS)}, {pairs}) AS (detector, n_rows, n_hits)")
+    """Personal data by field: rows, hits and how many different ones."""
+    fields = [t.table(table).select(F.lit(f).alias("field"), F.col(column).alias("text")) for f, (table, column) in FIELDS.items()]
+    return X.scan_fields(reduce(DataFrame.unionByName, fields), DETECTORS)
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{MAIL}', '<email>', 'g'), '{DETECTORS['ip']}', '<ip>', 'g')) AS digest FROM documents WHERE regexp_matches(text, '{MAIL}') OR regexp_matches(text, '{DETECTORS['ip']}')")
@@ -247,11 +269,14 @@ def quasi_identifier_uniqueness(t: Tables) -> DataFrame:
     return k.agg(F.sum("k").alias("n"), unique.alias("n_unique"), F.round(unique / F.sum("k"), 6).alias("share"))
 
 
-@query(", tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents) SELECT doc_id, count(*) AS n_hits FROM tok WHERE sha256('salt' || w) IN (SELECT sha256('salt' || x) FROM (VALUES ('idiot'), ('clown'), ('moron'), ('stupid')) v(x)) GROUP BY 1")
+@query(r""", tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')) AS w FROM documents),
+    names AS (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_extract(url, '://([^/?#]*)', 1)), '[a-z]{5,}')) AS w FROM pages), digests AS (SELECT sha256('salt' || w) AS digest FROM names)
+    SELECT doc_id, count(*) FILTER (WHERE sha256('salt' || w) IN (SELECT digest FROM digests)) AS n_hits, count(*) AS n_words FROM tok GROUP BY 1""")
 def hashed_dictionary_hits(t: Tables) -> DataFrame:
-    secret = t.spark.createDataFrame([("idiot",), ("clown",), ("moron",), ("stupid",)], "w string").select(F.sha2(F.concat(F.lit("salt"), "w"), 256).alias("digest"))
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body()), F.lit("([a-z]+)")))).alias("w"))
-    return words.withColumn("digest", F.sha2(F.concat(F.lit("salt"), "w"), 256)).join(F.broadcast(secret), "digest", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_hits"))
+    """The names of hosts, as a dictionary of salted digests, in the words of documents."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    names = t.pages.select(F.explode(F.regexp_extract_all(host, F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).distinct()
+    return X.hashed_hits(t.documents, names.select(X.salted(F.col("w"), "salt").alias("digest")), key="doc_id", text="text", salt="salt")
 
 
 @query(f"SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '[0-9]{{3,}}') AS sensitive, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[0-9]{{3,}}') THEN md5(coalesce(text, '')) END AS public FROM conversations")
@@ -265,12 +290,14 @@ def carryover_flag(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", ((F.length(body()) >= 20000) | body().like("%Licensed under%")).alias("carryover"))
 
 
-@query("SELECT page_id, array_to_string(list_transform(list_filter(string_split_regex(lower(coalesce(url, '')), '[^a-z]+'), lambda x: x <> ''), lambda x: CASE WHEN x IN ('http', 'https', 'www', 'com', 'net', 'org', 'example', 'en', 'de', 'fr', 'es', 'html') THEN x ELSE left(sha256('salt' || x), 8) END), ' ') AS masked FROM pages")
+@query(r""", words AS (SELECT page_id, list_filter(string_split_regex(lower(coalesce(url, '')), '[^\p{L}]+'), lambda x: x <> '') AS w FROM pages),
+    allowed AS (SELECT word FROM (SELECT DISTINCT page_id, unnest(w) AS word FROM words) GROUP BY 1 HAVING count(*) >= 5),
+    each AS (SELECT page_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words)
+    SELECT p.page_id, coalesce(string_agg(CASE WHEN a.word IS NULL THEN left(sha256('salt' || e.word), 8) ELSE e.word END, ' ' ORDER BY pos) FILTER (WHERE e.word IS NOT NULL), '') AS masked, count(*) FILTER (WHERE e.word IS NOT NULL AND a.word IS NULL) AS n_masked
+    FROM words p LEFT JOIN each e USING (page_id) LEFT JOIN allowed a ON a.word = e.word GROUP BY 1""")
 def allowlist_mask(t: Tables) -> DataFrame:
-    known = ["http", "https", "www", "com", "net", "org", "example", "en", "de", "fr", "es", "html"]
-    words = F.filter(F.split(F.lower(F.coalesce("url", F.lit(""))), "[^a-z]+"), lambda x: x != "")
-    masked = F.transform(words, lambda x: F.when(x.isin(known), x).otherwise(F.left(F.sha2(F.concat(F.lit("salt"), x), 256), F.lit(8))))
-    return t.pages.select("page_id", F.array_join(masked, " ").alias("masked"))
+    """URLs of which only the words stay that at least five pages have."""
+    return X.mask_unlisted(t.pages, X.common_words(t.pages, text="url", least=5), key="page_id", text="url", salt="salt")
 
 
 @query("SELECT text AS note, count(*) AS n, count(DISTINCT conv_id) AS n_cases FROM conversations WHERE text IS NOT NULL GROUP BY 1")
@@ -278,12 +305,13 @@ def note_statistics(t: Tables) -> DataFrame:
     return t.conversations.filter("text IS NOT NULL").groupBy(F.col("text").alias("note")).agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("n_cases"))
 
 
-@query("SELECT theme, count(DISTINCT doc_id) AS support, count(DISTINCT hit) AS wordings FROM (SELECT doc_id, 'licence' AS theme, lower(regexp_extract(text, '(?i)licensed under [a-z ]+', 0)) AS hit FROM documents UNION ALL SELECT doc_id, 'insult', lower(regexp_extract(text, '(?i)(idiot|moron|clown|stupid)', 1)) FROM documents) WHERE hit <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 15")
+THEMES = {"licence": "licensed under [a-z]+", "insult": "idiot|moron|clown|stupid", "address": "[a-z0-9.]+@[a-z0-9-]+[.][a-z]+"}
+_SAID = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS theme, regexp_extract_all(lower(coalesce(text, '')), '{p}') AS w FROM documents" for n, p in THEMES.items())
+
+
+@query(f", said AS (SELECT DISTINCT doc_id, theme, trim(unnest(w)) AS wording FROM ({_SAID})), counts AS (SELECT theme, wording, count(*) AS n FROM said GROUP BY 1, 2), usual AS (SELECT theme, wording AS usual, n AS n_usual FROM counts QUALIFY row_number() OVER (PARTITION BY theme ORDER BY n DESC, wording) = 1) SELECT s.theme, count(DISTINCT doc_id) AS support, count(DISTINCT wording) AS wordings, any_value(usual) AS usual, any_value(n_usual) AS n_usual FROM said s JOIN usual u ON u.theme = s.theme GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2")
 def canonical_themes(t: Tables) -> DataFrame:
-    themes = {"licence": "(?i)licensed under [a-z ]+", "insult": "(?i)(?:idiot|moron|clown|stupid)"}
-    hits = [F.struct(F.lit(n).alias("theme"), F.lower(F.regexp_extract("text", p, 0)).alias("hit")) for n, p in themes.items()]
-    rows = t.documents.select("doc_id", F.explode(F.array(*hits)).alias("h")).select("doc_id", "h.*").filter("hit <> ''")
-    return rows.groupBy("theme").agg(F.count_distinct("doc_id").alias("support"), F.count_distinct("hit").alias("wordings")).filter("support >= 15")
+    return X.theme_wordings(t.documents, THEMES, key="doc_id", text="text", least=2)
 
 
 @query("SELECT lang, count(*) AS n, count(l.doc_id) AS n_labelled, count(*) FILTER (WHERE l.quality = 1) AS n_good, count(*) FILTER (WHERE l.doc_id IS NULL) AS n_zero FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
