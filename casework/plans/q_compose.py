@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casework.operators import compose
 from casework.operators import consensus as C
 from casework.operators import mining as M
+from casework.operators import proposal
 from casework.plans import q_mining, q_retrieval
 from casework.plans.registry import query
 from casework.sources.tables import Tables
@@ -20,6 +21,18 @@ def alternative_grouping(t: Tables) -> DataFrame:
     return compose.alternative_groups(products, pairs)
 
 
+@query()
+def compose_plan(t: Tables) -> DataFrame:
+    """Every stated query's whole plan: what its neighbours agree on, what rules ask for, what fills a slot, and how much of it."""
+    near = q_retrieval.neighbourhood(t)
+    rows = t.once("neighbour_items", lambda: C.neighbour_items(near.select("query_id", "case_id"), t.named_items.select("case_id", "slot", "family", "unit", "quantity")))
+    bands = M.quantity_bands(t.named_items, ["family", "unit"], least=30)
+    ceilings = t.spark.createDataFrame([("u0", 50.0), ("u1", 30.0), ("u2", 28.0)], "unit string, ceiling double")
+    return proposal.compose_plan(
+        rows, near, bands, ceilings, share=0.3, penalty=0.1, required=[(None, "STANDARD"), ("AF", "ECONOMY")], never=[("RF", "PROMO")], base_unit="u0"
+    )
+
+
 @query()
 def rotate(t: Tables) -> DataFrame:
     """The latest version of every entity, renewed: three tenths of its products, one tenth of the bulky ones; nothing that the entity sent back before."""
