@@ -15,7 +15,8 @@ def extract_measure_rows(reports: DataFrame, *, id_col: str = "id", text_col: st
     """(id, pos, name, value, unit, low, high, level, reason, unreliable): the lines of a report that are measurements.
 
     Level 1 is below the range, 2 within, 3 above, with the reason in words. A report of fewer than ``enough`` such lines is
-    marked unreliable. Other lines, null and empty reports give no row."""
+    marked unreliable. Other lines, ranges whose low is above their
+    high, null and empty reports give no row."""
     lines = reports.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), r"\r?\n")).alias("pos", "line"))
     full, short = F.regexp_extract("line", FULL, 1) != "", F.regexp_extract("line", SHORT, 1) != ""
 
@@ -27,6 +28,7 @@ def extract_measure_rows(reports: DataFrame, *, id_col: str = "id", text_col: st
     rows = lines.filter(full | short).select(
         "id", F.col("pos").cast("int").alias("pos"), F.lower(part(1, 1)).alias("name"), number(part(2, 4)).alias("value"), part(3, None).alias("unit"), number(part(4, 2)).alias("low"), number(part(5, 3)).alias("high")
     )
+    rows = rows.filter("low <= high")
     level = F.when(F.col("value") < F.col("low"), 1).when(F.col("value") > F.col("high"), 3).otherwise(2)
     reason = F.when(level == 1, "below the range").when(level == 3, "above the range").otherwise("within the range")
     few = F.count("*").over(Window.partitionBy("id")) < enough

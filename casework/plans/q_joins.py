@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from casework.operators import joins as J
 from casework.operators import quality as Q
 from casework.operators.retrieve import best
+from casework.operators.models import sampled_pairs, side_by_side
 from casework.plans.registry import query
 from casework.sources.tables import Tables, read_corpus
 
@@ -387,24 +388,25 @@ def age_and_bucket(t: Tables) -> DataFrame:
     return t.headers.select("case_id", age.alias("age"), bucket_of(age, [(2, "new"), (5, "middle")], "old").alias("bucket"))
 
 
-@query("""SELECT a.case_id AS a, b.case_id AS b, a.objective = b.objective AS same FROM cases a JOIN cases b ON a.case_date = b.case_date AND a.case_id < b.case_id AND a.entity_id <> b.entity_id""")
+SQL_SAMPLED = """, dealt AS (SELECT *, CAST(('0x' || substr(md5('pairs|1|' || case_id), 1, 8)) AS BIGINT) % greatest(1, (SELECT count(*) FROM cases) // 20) AS block FROM cases),
+    sampled AS (SELECT x.case_id AS a, y.case_id AS b, x.objective AS oa, y.objective AS ob, x.case_date AS da, y.case_date AS db FROM dealt x JOIN dealt y ON x.block = y.block AND x.case_id < y.case_id AND x.entity_id <> y.entity_id)
+"""
+
+
+def _sampled(t: Tables) -> DataFrame:
+    heads = t.headers.select("case_id", "entity_id", "objective", "case_date")
+    return side_by_side(sampled_pairs(heads, key="case_id", entity="entity_id"), heads, "case_id", ["objective", "case_date"])
+
+
+@query(SQL_SAMPLED + "SELECT a, b, oa = ob AS same FROM sampled")
 def cross_entity_pairs(t: Tables) -> DataFrame:
-    """Pairs of different entities' cases of one day: the equal date bounds them, so no full cross is formed."""
-    a = t.headers.select(F.col("case_id").alias("a"), F.col("entity_id").alias("ea"), F.col("objective").alias("oa"), "case_date")
-    b = t.headers.select(F.col("case_id").alias("b"), F.col("entity_id").alias("eb"), F.col("objective").alias("ob"), "case_date")
-    return a.join(b, "case_date").filter("a < b AND ea <> eb").select("a", "b", (F.col("oa") == F.col("ob")).alias("same"))
+    """Pairs of different entities' cases: a sample in proportion to the cases, each pair as likely as any other."""
+    return _sampled(t).select("a", "b", (F.col("a_objective") == F.col("b_objective")).alias("same"))
 
 
-@query("""SELECT CASE WHEN a.case_date < b.case_date THEN a.case_id ELSE b.case_id END AS earlier, CASE WHEN a.case_date < b.case_date THEN b.case_id ELSE a.case_id END AS later
-    FROM cases a JOIN cases b ON a.total = b.total AND a.case_id < b.case_id AND a.case_date <> b.case_date
-    UNION ALL SELECT CASE WHEN a.case_date < b.case_date THEN a.case_id ELSE b.case_id END, CASE WHEN a.case_date < b.case_date THEN b.case_id ELSE a.case_id END
-    FROM cases a JOIN cases b ON a.entity_id = b.entity_id AND a.case_id < b.case_id AND a.case_date <> b.case_date""")
+@query(SQL_SAMPLED + "SELECT CASE WHEN da < db THEN a ELSE b END AS earlier, CASE WHEN da < db THEN b ELSE a END AS later, abs(date_diff('day', da, db)) AS days FROM sampled WHERE da <> db")
 def oriented_causal_pairs(t: Tables) -> DataFrame:
-    def oriented(key: str) -> DataFrame:
-        a = t.headers.select(F.col(key), F.col("case_id").alias("a"), F.col("case_date").alias("da"))
-        b = t.headers.select(F.col(key), F.col("case_id").alias("b"), F.col("case_date").alias("db"))
-        pairs = a.join(b, key).filter("a < b AND da <> db")
-        first = F.col("da") < F.col("db")
-        return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"))
-
-    return oriented("total").unionByName(oriented("entity_id"))
+    """The same pairs in order of their dates; those of one day have no order and are left out."""
+    first = F.col("a_case_date") < F.col("b_case_date")
+    pairs = _sampled(t).filter("a_case_date <> b_case_date")
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"), F.abs(F.datediff("a_case_date", "b_case_date")).cast("long").alias("days"))

@@ -30,10 +30,10 @@ def dedup_keep_one(t: Tables) -> DataFrame:
     return L.dropped_ledger(ranked, ["signature"], "doc_id", "source")
 
 
-@query(SQL_SIG + """SELECT row_number() OVER (ORDER BY signature) AS template, n_docs, sources FROM (SELECT signature, count(*) AS n_docs, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM sig GROUP BY 1 HAVING count(DISTINCT source) > 1)""")
+@query(SQL_SIG + """SELECT 'T' || left(signature, 12) AS template, n_docs, sources FROM (SELECT signature, count(*) AS n_docs, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM sig GROUP BY 1 HAVING count(DISTINCT source) > 1)""")
 def template_groups(t: Tables) -> DataFrame:
     groups = _signed(t).groupBy("signature").agg(F.count("*").alias("n_docs"), F.array_sort(F.collect_set("source")).alias("s")).filter(F.size("s") > 1)
-    return groups.select(F.row_number().over(Window.orderBy("signature")).alias("template"), "n_docs", F.array_join("s", ",").alias("sources"))
+    return groups.select(F.concat(F.lit("T"), F.left("signature", F.lit(12))).alias("template"), "n_docs", F.array_join("s", ",").alias("sources"))
 
 
 @query(SQL_SIG + """SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version FROM sig QUALIFY true AND doc_id IN (SELECT min(doc_id) FROM sig GROUP BY source, signature)""".replace("QUALIFY true AND", "WHERE"))

@@ -274,9 +274,12 @@ def slot_vote_placement(t: Tables) -> DataFrame:
 
 
 @query(""", liked AS (SELECT entity_id, family, count(*) AS n FROM named_items JOIN cases USING (case_id) GROUP BY 1, 2), support AS (SELECT family, count(DISTINCT entity_id) AS backers FROM liked WHERE n >= 10 GROUP BY 1)
-    SELECT case_id, slot, i.family, string_agg(DISTINCT r.rule, ',' ORDER BY r.rule) AS rules FROM named_items i JOIN (VALUES ('promo in RF', 'PROMO', 'RF'), ('standard', 'STANDARD', NULL), ('economy in NO', 'ECONOMY', 'NO')) r(rule, family, rule_slot)
+    SELECT case_id, slot, i.family, string_agg(DISTINCT r.rule, ',' ORDER BY r.rule) AS rules, coalesce(any_value(u.backers), 0) AS backers FROM named_items i LEFT JOIN support u ON u.family = i.family JOIN (VALUES ('promo in RF', 'PROMO', 'RF'), ('standard', 'STANDARD', NULL), ('economy in NO', 'ECONOMY', 'NO')) r(rule, family, rule_slot)
         ON r.family = i.family AND (rule_slot IS NULL OR rule_slot = slot) GROUP BY 1, 2, 3""")
 def rule_support_attach(t: Tables) -> DataFrame:
     rules = t.spark.createDataFrame([("promo in RF", "PROMO", "RF"), ("standard", "STANDARD", None), ("economy in NO", "ECONOMY", "NO")], "rule string, family string, rule_slot string")
     rows = t.named_items.join(F.broadcast(rules), "family").filter("rule_slot IS NULL OR rule_slot = slot")
-    return rows.groupBy("case_id", "slot", "family").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    liked = t.named_items.join(t.headers.select("case_id", "entity_id"), "case_id").groupBy("entity_id", "family").agg(F.count("*").alias("n"))
+    support = liked.filter("n >= 10").groupBy("family").agg(F.count("*").alias("backers"))
+    attached = rows.groupBy("case_id", "slot", "family").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    return attached.join(support, "family", "left").select("case_id", "slot", "family", "rules", F.coalesce("backers", F.lit(0)).alias("backers"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from casework.operators import extract
 from casework.operators import joins as J
 from casework.operators import linkage as L
 from casework.operators import relocate as R
@@ -203,3 +204,9 @@ def test_relocate_blocks(spark):
     texts = {r.doc_id: (r.text, r.notes) for r in R.rebuilt(placed).collect()}
     assert texts[1] == ("lunch: 100 g rice | Option b: | 2 eggs\ntraining: After training (18:30): | 1 shake\ndinner: fish", "Remember: drink much water") and texts[2][0] is None
     assert Counter(r.doc_id for r in placed.collect()) == Counter(x[0] for x in lines)
+
+
+def test_extract_measure_rows(spark):
+    text = "Iron 12,5 ug/dl 10 - 60\nzinc 60-10 12\nSodium 130 - 145 150\nnote 5\nHdl 9 mg/dl 10-60"
+    got = extract.extract_measure_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string"), enough=3).orderBy("pos").collect()
+    assert [(r.id, r.pos, r["name"], r.value, r.unit, r.level, r.unreliable) for r in got] == [(1, 0, "iron", 12.5, "ug/dl", 2, False), (1, 2, "sodium", 150.0, None, 3, False), (1, 4, "hdl", 9.0, "mg/dl", 1, False)]
