@@ -36,7 +36,7 @@ SQL_MAPPED = q_parse.SQL_PARTS + SQL_EXCLUDED + """
 , known AS (SELECT name, min(product_id) AS product_id, arg_min(family = 'STANDARD', product_id) AS generic FROM catalogue WHERE bulky GROUP BY 1),
 mapped AS (SELECT p.line_id, p.alt_no, p.comp_no, row_number() OVER (PARTITION BY p.line_id ORDER BY p.alt_no, p.comp_no) - 1 AS component_index, p.name, k.product_id, coalesce(k.generic, FALSE) AS generic,
         CASE WHEN p.name IS NULL THEN 'no_name' WHEN k.product_id IS NOT NULL THEN 'mapped' WHEN r.key IS NOT NULL THEN 'excluded' ELSE 'unknown' END AS reason
-    FROM (SELECT line_id, alt_no, comp_no, CASE WHEN line_id % 4 = 2 THEN n1 ELSE name END AS name FROM parts JOIN wide USING (line_id)) p LEFT JOIN known k ON k.name = p.name LEFT JOIN resolved r ON r.name = p.name)
+    FROM (SELECT line_id, alt_no, comp_no, CASE WHEN shape = 2 THEN n1 ELSE name END AS name FROM parts JOIN wide USING (line_id)) p LEFT JOIN known k ON k.name = p.name LEFT JOIN resolved r ON r.name = p.name)
 """
 
 
