@@ -133,12 +133,16 @@ def test_filter_levels():
     assert all(x <= MEANS[i + 1] for i, x in enumerate(STEPS))
 
 
-def text_logs(docs, learned, prior, own=0):
-    """The log10 probability of each text from exact counts, quantised one by one."""
+def counted(docs, learned):
+    """The token lists of the texts, the n-grams that count, and how many tokens and different ones there are."""
     sents = {i: ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), "</s>"] for i, t in docs}
-    grams = Counter(tuple(s[max(0, k - n + 1) : k + 1]) for i in learned for s in [sents[i]] for n in (1, 2, 3) for k in range(1, len(s)) if k - n + 1 >= 0)
+    grams = Counter(tuple(s[k - n + 1 : k + 1]) for i in learned for s in [sents[i]] for n in (1, 2, 3) for k in range(1, len(s)) if k - n + 1 >= 0)
     grams = {g: c for g, c in grams.items() if c >= LEAST[len(g)]}
-    total, different = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    return sents, grams, sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+
+def text_logs(sents, grams, total, different, learned, prior, own=0):
+    """The log10 probability of each text from exact counts, quantised one by one."""
 
     def c(gram):
         if gram == ("<s>",):
@@ -177,8 +181,10 @@ def test_lm_scores(spark):
     docs += [(201, None), (202, ""), (203, " \n\t "), (204, "W1 " * 5000), (205, docs[7][1])]
     learn = {i for i, _ in docs if i % 5}
     tune = {i for i in learn if i % 3 == 1}
-    best = max(PRIORS, key=lambda p: sum(x for i, x in text_logs(docs, learn, p, own=1)[0].items() if i in tune))
-    want, base, total = text_logs(docs, learn, best)
+    sents, *counts = counted(docs, learn)
+    tuned = {i: sents[i] for i in tune}
+    best = max(PRIORS, key=lambda p: sum(text_logs(tuned, *counts, learn, p, own=1)[0].values()))
+    want, base, total = text_logs(sents, *counts, learn, best)
     table = docs_of(spark, docs).repartition(4)
     options = {"learn": F.col("doc_id") % 5 != 0, "tune": F.col("doc_id") % 3 == 1}
     got = {r.doc_id: r for r in lm_scores(table, **options).collect()}
