@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,3 +67,106 @@ def variants(near: DataFrame, sets: DataFrame, strange: DataFrame, held: DataFra
         part = part.withColumn("variant", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def arms(near: DataFrame, sets: DataFrame, held: DataFrame, threshold: float, *, by: str = "arm", least: int = 1) -> DataFrame:
+    """(by, query_id, composed, copied): how near to the held elements (Jaccard) each arm comes with the consensus of its
+    neighbours and with the first of them copied. What says nothing counts 0; a query with fewer than ``least`` neighbours
+    in an arm is not in it, nor is one that holds nothing.
+
+    ``near``: by, query_id, case_id, rank, of all arms. One join brings the elements of all arms' neighbours."""
+    k = near.groupBy(by, "query_id").agg(F.count("*").alias("k")).filter(F.col("k") >= least)
+    rows = near.select(by, "query_id", "case_id", "rank").join(k, [by, "query_id"]).join(sets, "case_id")
+    said = composed(rows, [by, "query_id"], F.count("*") / F.max("k"), F.lit(threshold)).withColumn("variant", F.lit("composed"))
+    first = rows.filter("rank = 1").select(by, "query_id", "element", F.lit("copied").alias("variant"))
+    scored = said_against_held(said.unionByName(first), held, [by, "query_id", "variant"])
+    names = ("composed", "copied")
+    wide = scored.groupBy(by, "query_id").agg(*[F.max(F.when(F.col("variant") == v, F.col("jaccard"))).alias(v) for v in names])
+    asked = k.select(by, "query_id").join(held.select("query_id").distinct(), "query_id")
+    return asked.join(wide, [by, "query_id"], "left").select(by, "query_id", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in names])
+
+
+def against_arm(scores: DataFrame, base: str, *, by: str = "arm", value: str = "composed") -> DataFrame:
+    """(by, n, mean, difference, wins, losses): each arm against the arm ``base``, paired by query; only queries of both count."""
+    other = scores.filter(F.col(by) == base).select("query_id", F.col(value).alias("__base"))
+    gain = F.round(F.col(value) - F.col("__base"), 6)
+    return scores.join(other, "query_id").groupBy(by).agg(
+        F.count("*").alias("n"), F.round(F.avg(value), 5).alias("mean"), F.round(F.avg(gain), 5).alias("difference"), F.count_if(gain > 0).alias("wins"), F.count_if(gain < 0).alias("losses")
+    )
+
+
+def distinct_grid(grid: Mapping[str, Sequence[float]]) -> Mapping[str, Sequence[float]]:
+    """The grid itself; an error if two of its names weigh alike, as the same would be measured twice."""
+    seen: dict[tuple[float, ...], str] = {}
+    for name, weights in grid.items():
+        shares = tuple(round(w / sum(weights), 9) for w in weights)
+        if shares in seen:
+            raise ValueError(f"{name} weighs as {seen[shares]} does")
+        seen[shares] = name
+    return grid
+
+
+def half_of(entity: Column, *, share: int = 6, seed: str = "half") -> Column:
+    """``dev`` for about ``share`` tenths of the entities, else ``holdout``; all queries of an entity are on one side."""
+    return F.when(md5_number(F.lit(seed), entity) % 10 < share, "dev").otherwise("holdout")
+
+
+def sweep_table(scores: DataFrame, halves: DataFrame, *, by: str = "weights") -> DataFrame:
+    """(by, half, n, composed, copied, chosen): means of each half, and which of the grid is best on the development half
+    (ties: the first name). ``halves``: query_id, half."""
+    means = scores.join(halves, "query_id").groupBy(by, "half").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(c) for c in ("composed", "copied")])
+    top = means.filter("half = 'dev'").agg(F.min_by(by, F.struct(-F.col("composed"), by)).alias("__top"))
+    return means.crossJoin(F.broadcast(top)).withColumn("chosen", F.coalesce(F.col(by) == F.col("__top"), F.lit(False))).drop("__top")
+
+
+def per_slot(said: DataFrame, held: DataFrame) -> DataFrame:
+    """(variant, slot, n, present, jaccard): over the slots that queries hold, how often a variant says anything in the slot, and
+    the mean Jaccard there; nothing said counts 0.
+
+    ``said``: query_id, variant, slot, element; ``held``: query_id, slot, element."""
+    at = F.struct("query_id", "slot")
+    scored = said_against_held(said.select(at.alias("query_id"), "variant", "element"), held.select(at.alias("query_id"), "element"), ["query_id", "variant"])
+    asked = held.select("query_id", "slot").distinct().crossJoin(F.broadcast(said.select("variant").distinct()))
+    flat = scored.select("query_id.query_id", "query_id.slot", "variant", "jaccard")
+    rows = asked.join(flat, ["query_id", "slot", "variant"], "left")
+    return rows.groupBy("variant", "slot").agg(
+        F.count("*").alias("n"), F.round(F.count("jaccard") / F.count("*"), 5).alias("present"), F.round(F.avg(F.coalesce("jaccard", F.lit(0.0))), 5).alias("jaccard")
+    )
+
+
+def own_history(cases: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, case_id, back): the ``k`` latest strictly earlier versions of each query's entity, ``back`` 1 for the one before.
+
+    One window over the versions of an entity; a query never meets a later version, its own case, or more than ``k``."""
+    before = Window.partitionBy("entity_id").orderBy("version").rowsBetween(-k, -1)
+    listed = cases.select(F.col("case_id").alias("query_id"), F.collect_list("case_id").over(before).alias("ids"))
+    asked = listed.join(queries.select("query_id"), "query_id", "left_semi").filter(F.size("ids") > 0)
+    return asked.select("query_id", F.posexplode(F.reverse("ids")).alias("at", "case_id")).select("query_id", "case_id", (F.col("at") + 1).alias("back"))
+
+
+def recurrent_variants(near: DataFrame, mixed: DataFrame, previous: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, variant, element) for queries with an earlier version: ``copy_previous``; ``cold``, the consensus of other
+    entities' cases; ``history``, that of the nearest cases with the entity's own earlier ones among them; ``renewed``, what of the
+    previous version any of those holds too, with what they agree on; ``routed``: renewed where the objective stays, else history.
+
+    ``near``, ``mixed``: query_id, case_id; ``previous``: query_id, case_id, changed."""
+    had = previous.join(sets, "case_id").select("query_id", "element")
+
+    def rows(neighbours: DataFrame) -> DataFrame:
+        k = neighbours.groupBy("query_id").agg(F.count("*").alias("k"))
+        asked = neighbours.select("query_id", "case_id").join(previous.select("query_id"), "query_id", "left_semi")
+        return asked.join(sets, "case_id").join(k, "query_id")
+
+    votes, among = F.count("*") / F.max("k"), rows(mixed)
+    agreed = composed(among, ["query_id"], votes, F.lit(threshold))
+    others = mixed.join(previous.select("query_id", "case_id"), ["query_id", "case_id"], "left_anti")
+    backed = had.join(rows(others).select("query_id", "element").distinct(), ["query_id", "element"], "left_semi")
+    renewed = backed.unionByName(agreed).distinct()
+    changed = previous.filter("changed").select("query_id")
+    routed = renewed.join(changed, "query_id", "left_anti").unionByName(agreed.join(changed, "query_id", "left_semi"))
+    parts = {"copy_previous": had, "cold": composed(rows(near), ["query_id"], votes, F.lit(threshold)), "history": agreed, "renewed": renewed, "routed": routed}
+    out = None
+    for name, part in parts.items():
+        part = part.withColumn("variant", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -43,15 +44,15 @@ TRAITS = ("objective", "segment", "nation", "region")
 SPAN = 5000.0
 
 
-def _score(balance: Column, q: str = "q_") -> Column:
+def _score(balance: Column, q: str = "q_", weights: Sequence[float] = WEIGHTS) -> Column:
     """Weighted mean of the trait matches and the given match of balances; unknown traits count a half."""
-    matches = [(equality(F.col(c), F.col(q + c)), w, False) for c, w in zip(TRAITS, WEIGHTS, strict=False)]
-    return weighted_score([*matches, (balance, WEIGHTS[4], False)])
+    matches = [(equality(F.col(c), F.col(q + c)), w, False) for c, w in zip(TRAITS, weights, strict=False)]
+    return weighted_score([*matches, (balance, weights[4], False)])
 
 
-def attribute_score(q: str = "q_") -> Column:
+def attribute_score(q: str = "q_", weights: Sequence[float] = WEIGHTS) -> Column:
     """The score of a case for a query, rounded before ranking, so that float noise cannot order ties."""
-    return F.round(_score(decay(F.col("balance"), F.col(q + "balance"), SPAN), q), 6)
+    return F.round(_score(decay(F.col("balance"), F.col(q + "balance"), SPAN), q, weights), 6)
 
 
 def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -61,7 +62,7 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(other, same).drop(*[f"__{c}" for c in on])
 
 
-def attribute_pool(queries: DataFrame, candidates: DataFrame, k: int, *, width: float = 500.0, inside: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def attribute_pool(queries: DataFrame, candidates: DataFrame, k: int, *, width: float = 500.0, inside: Column | None = None, carry: tuple[str, ...] = (), weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """(query_id, case_id, entity_id, same, score, rank, *carry): the best ``k`` cases of other entities for each query,
     of those combinations of traits that meet ``inside``.
 
@@ -70,8 +71,11 @@ def attribute_pool(queries: DataFrame, candidates: DataFrame, k: int, *, width:
     bound. Down to the bound at which the better cells hold ``k`` cases beside the query's own entity's, cells are
     joined with the queries by equality, and only their cases are scored. The tables of cells and of their pairs are
     bounded by the values that the traits have, not by the cases. ``inside`` may ask for traits, the query's (q_...), and
-    the columns ``carry``.
+    the columns ``carry``. ``weights``: of the traits and of the balance, none negative and not all 0.
     """
+    if min(weights) < 0 or sum(weights) <= 0:
+        raise ValueError(f"weights {tuple(weights)}: none may be negative, one must be above 0")
+    of_balance = weights[4] / sum(weights)
     traits, asked = list(TRAITS), ["q_" + c for c in TRAITS] + list(carry)
     band = F.floor(F.col("balance") / F.lit(width))
     cells = candidates.groupBy(*traits, band.alias("band")).agg(F.count("*").alias("n")).persist()
@@ -89,22 +93,22 @@ def attribute_pool(queries: DataFrame, candidates: DataFrame, k: int, *, width:
     # Combinations first: without the balance a score is known up to its weight.
     groups = wanted.groupBy(*asked).agg(F.max("need").alias("most"))
     met = groups.crossJoin(combos) if inside is None else groups.join(combos, inside)
-    met = met.withColumn("lower", F.round(_score(F.lit(0.0)), 6)).persist()
+    met = met.withColumn("lower", F.round(_score(F.lit(0.0), weights=weights), 6)).persist()
     down = reached(met, asked, "most")
-    allowed = null_safe(met, down, asked).filter(F.col("lower") + WEIGHTS[4] + 1e-6 >= F.col("down")).select(*asked, *traits, F.col("lower").alias("base"))
+    allowed = null_safe(met, down, asked).filter(F.col("lower") + of_balance + 1e-6 >= F.col("down")).select(*asked, *traits, F.col("lower").alias("base"))
     # Then their bands.
     bands = wanted.select(*asked, "q_band").distinct()
     near = null_safe(null_safe(allowed, bands, asked), cells, traits)
     apart = F.abs(F.col("band") - F.col("q_band"))
     known = F.coalesce(apart, F.lit(0))
     closest, farthest = (F.greatest(F.lit(0), known - 1) * F.lit(width), (known + 1) * F.lit(width))
-    match = lambda d: F.when(apart.isNull(), F.lit(0.5)).otherwise(1.0 - F.least(d, F.lit(SPAN)) / F.lit(SPAN)) * F.lit(WEIGHTS[4])
+    match = lambda d: F.when(apart.isNull(), F.lit(0.5)).otherwise(1.0 - F.least(d, F.lit(SPAN)) / F.lit(SPAN)) * F.lit(of_balance)
     bounds = near.select(*asked, "q_band", *traits, "band", "n", F.round(F.col("base") + match(farthest), 6).alias("lower"), F.round(F.col("base") + match(closest), 6).alias("upper")).persist()
     levels = null_safe(wanted.select("query_id", "need", *asked, "q_band"), bounds.groupBy(*asked, "q_band", "lower").agg(F.sum("n").alias("n")), [*asked, "q_band"])
     per_query = reached(levels, ["query_id"], "need")
     pairs = null_safe(wanted.join(per_query, "query_id"), bounds.drop("n"), [*asked, "q_band"]).filter(F.col("upper") + 1e-5 >= F.col("down")).drop("lower", "upper", "down")
     rows = null_safe(candidates.withColumn("band", band), pairs, [*traits, "band"]).filter("entity_id <> q_entity_id")
-    scored = rows.select("query_id", "case_id", "entity_id", (F.col("objective") == F.col("q_objective")).alias("same"), attribute_score().alias("score"), *carry)
+    scored = rows.select("query_id", "case_id", "entity_id", (F.col("objective") == F.col("q_objective")).alias("same"), attribute_score(weights=weights).alias("score"), *carry)
     return best(scored, ["query_id"], [F.desc("score"), F.asc("case_id")], k)
 
 

@@ -66,20 +66,3 @@ def compound_partition(t: Tables) -> DataFrame:
     held = t.named_items.select("case_id", "family").distinct()
     shared = held.withColumnRenamed("family", "a").join(held.withColumnRenamed("family", "b"), "case_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     return compose.compound_partition(together.join(shared, ["a", "b"]), least=2)
-
-
-@query()
-def weight_sweep(t: Tables) -> DataFrame:
-    """Share of the next version's groups that each of several thresholds of prevalence recovers, on a development and a
-    held-out half of the entities."""
-    from casework.operators.joins import consecutive_versions
-
-    grid = t.spark.createDataFrame([(0.02,), (0.03,), (0.04,), (0.05,)], "threshold double")
-    shares = M.prevalence(t.headers, t.named_items, "objective", "grp").select("objective", "grp", "share")
-    said = shares.join(F.broadcast(grid), F.col("share") >= F.col("threshold")).select("objective", "grp", "threshold")
-    pairs = consecutive_versions(t.cases).select("entity_id", "next_id", "next_objective")
-    truth = pairs.join(t.named_items.select(F.col("case_id").alias("next_id"), "grp").distinct(), "next_id").withColumn("half", F.when(F.xxhash64("entity_id") % 2 == 0, "dev").otherwise("holdout"))
-    hits = truth.join(said, (F.col("next_objective") == said["objective"]) & (truth["grp"] == said["grp"]), "left")
-    total = truth.groupBy("half").agg(F.count("*").alias("n"))
-    found = hits.filter("threshold IS NOT NULL").groupBy("half", "threshold").agg(F.count("*").alias("hits"))
-    return found.join(total, "half").select("half", "threshold", F.round(F.col("hits") / F.col("n"), 4).alias("recall"))

@@ -17,6 +17,16 @@ from casework.sources.tables import Tables
 
 THRESHOLD = 0.15
 
+#: Weights that are compared: of objective, segment, nation, region and balance.
+GRID = {
+    "delivered": R.WEIGHTS,
+    "flat": (0.2, 0.2, 0.2, 0.2, 0.2),
+    "no objective": (0.0, 0.3, 0.3, 0.2, 0.2),
+    "objective alone": (1.0, 0.0, 0.0, 0.0, 0.0),
+    "place": (0.3, 0.1, 0.3, 0.2, 0.1),
+    "balance": (0.3, 0.1, 0.1, 0.1, 0.4),
+}
+
 
 def _sets(t: Tables) -> DataFrame:
     return t.named_items.select("case_id", F.col("grp").alias("element")).distinct()
@@ -231,3 +241,130 @@ def rule_compliance_floor(t: Tables) -> DataFrame:
     own = judged.select(F.col("case_id").alias("query_id"), "rule", F.col("held").alias("o"))
     rows = pairs.join(own, "query_id").join(judged.select("case_id", "rule", F.col("held").alias("s")), ["case_id", "rule"])
     return rows.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("o"), 5).alias("own"), F.round(F.avg("s"), 5).alias("stranger"), F.round(F.avg("o") - F.avg("s"), 5).alias("gap"))
+
+
+JACCARD = "round(common / CAST(n_said + n_held - common AS DOUBLE), 6)"
+SQL_ARMS = f"""
+, arm_rows AS (SELECT a.arm, a.query_id, a.rank, s.element, count(DISTINCT a.case_id) OVER (PARTITION BY a.arm, a.query_id) AS seen, k FROM arms_ a JOIN sets s USING (case_id) JOIN (SELECT arm, query_id, count(*) AS k FROM arms_ GROUP BY 1, 2 HAVING count(*) >= 3) USING (arm, query_id)),
+arm_said AS (SELECT arm, query_id, 'composed' AS variant, element FROM arm_rows GROUP BY 1, 2, 4 HAVING round(count(*) / max(k), 6) >= {THRESHOLD} UNION ALL SELECT arm, query_id, 'copied', element FROM arm_rows WHERE rank = 1),
+arm_each AS (SELECT arm, query_id, variant, {JACCARD} AS j FROM (SELECT s.arm, s.query_id, s.variant, count(h.element) AS common, count(*) AS n_said FROM arm_said s LEFT JOIN held h ON h.query_id = s.query_id AND h.element = s.element GROUP BY 1, 2, 3) JOIN n_held USING (query_id)),
+arm_scores AS (SELECT k.arm, k.query_id, coalesce(max(j) FILTER (WHERE variant = 'composed'), 0) AS composed, coalesce(max(j) FILTER (WHERE variant = 'copied'), 0) AS copied
+    FROM (SELECT arm, query_id FROM arms_ GROUP BY 1, 2 HAVING count(*) >= 3) k JOIN n_held USING (query_id) LEFT JOIN arm_each e ON e.arm = k.arm AND e.query_id = k.query_id GROUP BY 1, 2)
+"""
+SQL_SETS_HELD = ", sets AS (SELECT DISTINCT case_id, grp AS element FROM named_items), held AS (SELECT query_id, element FROM stated JOIN sets ON case_id = query_id), n_held AS (SELECT query_id, count(*) AS n_held FROM held GROUP BY 1)"
+SQL_GRID = " UNION ALL ".join(f"SELECT '{name}' AS arm, query_id, case_id, entity_id, objective = q_objective AS same, {q_retrieval.score_sql(w)} AS score FROM candidates JOIN stated ON entity_id <> q_entity_id" for name, w in GRID.items())
+
+
+@query(q_retrieval.SQL_QUERIES + SQL_SETS_HELD + f""", grid_pool AS (SELECT *, row_number() OVER (PARTITION BY arm, query_id ORDER BY score DESC, case_id) AS pr FROM ({SQL_GRID}) QUALIFY pr <= {q_retrieval.POOL}),
+    grid_staged AS (SELECT *, CASE WHEN NOT same THEN 2 WHEN row_number() OVER (PARTITION BY arm, query_id, entity_id, same ORDER BY pr) = 1 THEN 0 ELSE 1 END AS stage FROM grid_pool),
+    arms_ AS (SELECT arm, query_id, case_id, row_number() OVER (PARTITION BY arm, query_id ORDER BY stage, pr) AS rank FROM grid_staged QUALIFY rank <= {q_retrieval.K})
+    """ + SQL_ARMS + f""", grid_means AS (SELECT arm AS weights, CASE WHEN {H.format("'half|' || q_entity_id")} % 10 < 6 THEN 'dev' ELSE 'holdout' END AS half, count(*) AS n, round(avg(composed), 5) AS composed, round(avg(copied), 5) AS copied FROM arm_scores JOIN stated USING (query_id) GROUP BY 1, 2)
+    SELECT *, coalesce(weights = (SELECT weights FROM grid_means WHERE half = 'dev' ORDER BY composed DESC, weights LIMIT 1), false) AS chosen FROM grid_means""")
+def weight_sweep(t: Tables) -> DataFrame:
+    """Each of several weightings of the traits by the consensus of the neighbourhood it retrieves, on a development and a
+    held-out part of the entities; ``chosen`` is the best of the development part."""
+    asked = q_retrieval.stated_queries(t)
+    near = None
+    for name, weights in E.distinct_grid(GRID).items():
+        found = t.once(f"near {name}", lambda w=weights: R.diverse_neighbourhood(R.attribute_pool(asked, q_retrieval.candidates(t), q_retrieval.POOL, weights=w), q_retrieval.K).select("query_id", "case_id", "rank"))
+        part = found.withColumn("weights", F.lit(name))
+        near = part if near is None else near.unionByName(part)
+    scores = E.arms(near, _sets(t), _held(t), THRESHOLD, by="weights", least=3)
+    return E.sweep_table(scores, asked.select("query_id", E.half_of(F.col("q_entity_id")).alias("half")))
+
+
+@query(q_retrieval.SQL_NEAR + SQL_SETS_HELD + f""", firsts AS (SELECT query_id, case_id, same, rank AS pr FROM pool QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY rank) = 1),
+    firsts_same AS (SELECT query_id, case_id, rank AS pr FROM pool WHERE same QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY rank) = 1),
+    arms_ AS (SELECT 'delivered' AS arm, query_id, case_id, rank FROM near UNION ALL SELECT 'nearest', query_id, case_id, rank FROM pool WHERE rank <= {q_retrieval.K}
+        UNION ALL SELECT 'one per entity', query_id, case_id, row_number() OVER (PARTITION BY query_id ORDER BY pr) AS rank FROM firsts QUALIFY rank <= {q_retrieval.K}
+        UNION ALL SELECT 'same objective', query_id, case_id, row_number() OVER (PARTITION BY query_id ORDER BY pr) AS rank FROM firsts_same QUALIFY rank <= {q_retrieval.K}
+        UNION ALL (SELECT 'degraded', query_id, case_id, rank FROM near QUALIFY rank <= CASE WHEN avg(CAST(same AS DOUBLE)) OVER (PARTITION BY query_id) = 0 THEN 1 WHEN avg(CAST(same AS DOUBLE)) OVER (PARTITION BY query_id) < 0.9 THEN 5 ELSE 1000000 END))
+    """ + SQL_ARMS + """SELECT a.arm, count(*) AS n, round(avg(a.composed), 5) AS mean, round(avg(round(a.composed - b.composed, 6)), 5) AS difference, count(*) FILTER (WHERE round(a.composed - b.composed, 6) > 0) AS wins, count(*) FILTER (WHERE round(a.composed - b.composed, 6) < 0) AS losses
+    FROM arm_scores a JOIN arm_scores b ON b.query_id = a.query_id AND b.arm = 'delivered' GROUP BY 1""")
+def loo_ablation(t: Tables) -> DataFrame:
+    """What each step of choosing neighbours is worth: the consensus of other neighbourhoods against the delivered one, paired by query."""
+    near, pool = q_retrieval.neighbourhood(t), q_retrieval.pool(t)
+    parts = {
+        "delivered": near, "nearest": pool.filter(F.col("rank") <= q_retrieval.K), "one per entity": R.one_per_entity(pool, q_retrieval.K),
+        "same objective": R.one_per_entity(pool, q_retrieval.K, same_only=True), "degraded": R.degrade(near, least_purity=0.9, k_small=5),
+    }
+    every = None
+    for name, part in parts.items():
+        part = part.select("query_id", "case_id", "rank", F.lit(name).alias("arm"))
+        every = part if every is None else every.unionByName(part)
+    return E.against_arm(E.arms(every, _sets(t), _held(t), THRESHOLD, least=3), "delivered")
+
+
+@query(SQL_EVAL + f""", slot_sets AS (SELECT DISTINCT case_id, slot, grp AS element FROM named_items), held_s AS (SELECT query_id, slot, element FROM stated JOIN slot_sets ON case_id = query_id), n_held_s AS (SELECT query_id, slot, count(*) AS n_held FROM held_s GROUP BY 1, 2),
+    slot_rows AS (SELECT n.query_id, n.rank, s.slot, s.element, k FROM near n JOIN slot_sets s USING (case_id) JOIN (SELECT query_id, count(*) AS k FROM near GROUP BY 1) USING (query_id)),
+    slot_said AS (SELECT query_id, 'composed' AS variant, slot, element FROM slot_rows GROUP BY 1, 3, 4 HAVING round(count(*) / max(k), 6) >= {THRESHOLD} UNION ALL SELECT query_id, 'copy', slot, element FROM slot_rows WHERE rank = 1
+        UNION ALL SELECT query_id, 'ceiling', slot, element FROM top_case JOIN slot_sets USING (case_id)),
+    slot_scores AS (SELECT query_id, slot, variant, {JACCARD} AS j FROM (SELECT s.query_id, s.slot, s.variant, count(h.element) AS common, count(*) AS n_said FROM slot_said s LEFT JOIN held_s h ON h.query_id = s.query_id AND h.slot = s.slot AND h.element = s.element GROUP BY 1, 2, 3) JOIN n_held_s USING (query_id, slot))
+    SELECT v.variant, h.slot, count(*) AS n, round(count(j) / count(*), 5) AS present, round(avg(coalesce(j, 0)), 5) AS jaccard FROM n_held_s h CROSS JOIN (VALUES ('composed'), ('copy'), ('ceiling')) v(variant)
+        LEFT JOIN slot_scores s ON s.query_id = h.query_id AND s.slot = h.slot AND s.variant = v.variant GROUP BY 1, 2""")
+def loo_per_slot(t: Tables) -> DataFrame:
+    """The consensus, the nearest case copied and the best single neighbour, slot by slot."""
+    sets = t.named_items.select("case_id", "slot", F.col("grp").alias("element")).distinct()
+    near = q_retrieval.neighbourhood(t).select("query_id", "case_id", "rank")
+    rows = near.join(near.groupBy("query_id").agg(F.count("*").alias("k")), "query_id").join(sets, "case_id")
+    each = E.said_against_held(near.join(_sets(t), "case_id").select("query_id", "case_id", "element"), _held(t), ["query_id", "case_id"])
+    best = each.groupBy("query_id").agg(F.min_by("case_id", F.struct(-F.col("jaccard"), "case_id")).alias("case_id"))
+    parts = {
+        "composed": E.composed(rows, ["query_id", "slot"], F.count("*") / F.max("k"), F.lit(THRESHOLD)),
+        "copy": rows.filter("rank = 1"),
+        "ceiling": best.join(sets, "case_id"),
+    }
+    said = None
+    for name, part in parts.items():
+        part = part.select("query_id", "slot", "element", F.lit(name).alias("variant"))
+        said = part if said is None else said.unionByName(part)
+    held = sets.join(q_retrieval.stated_queries(t).select("query_id"), F.col("case_id") == F.col("query_id")).select("query_id", "slot", "element")
+    return E.per_slot(said, held)
+
+
+@query(SQL_WIDE + """SELECT row_number() OVER (ORDER BY system, query_id) AS place, query_id, q_objective AS objective, system, copy, high, n_held FROM wide JOIN stated USING (query_id) JOIN n_held USING (query_id) QUALIFY place <= 20""")
+def loo_worst(t: Tables) -> DataFrame:
+    """The twenty queries that the consensus serves worst (a report), with what the nearest case and the best neighbour reach there."""
+    sizes = _held(t).groupBy("query_id").agg(F.count("*").alias("n_held"))
+    rows = _wide(t).join(q_retrieval.stated_queries(t).select("query_id", F.col("q_objective").alias("objective")), "query_id").join(sizes, "query_id")
+    least = rows.orderBy("system", "query_id").limit(20)
+    return R.best(least.withColumn("report", F.lit(1)), ["report"], [F.asc("system"), F.asc("query_id")], 20, "place").select("place", "query_id", "objective", "system", "copy", "high", "n_held")
+
+
+@query(q_retrieval.SQL_NEAR + SQL_SETS_HELD + f""", earlier AS (SELECT q.case_id AS query_id, e.case_id, q.version - e.version AS back, e.objective <> q.objective AS changed FROM cases q JOIN stated s ON s.query_id = q.case_id JOIN cases e ON e.entity_id = q.entity_id AND e.version < q.version AND e.version >= q.version - {q_retrieval.K}),
+    previous AS (SELECT query_id, case_id, changed FROM earlier WHERE back = 1),
+    own AS (SELECT e.query_id, e.case_id, {q_retrieval.score_sql()} AS score FROM earlier e JOIN candidates USING (case_id) JOIN stated s ON s.query_id = e.query_id),
+    mixed AS (SELECT query_id, case_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM (SELECT query_id, case_id, score FROM pool UNION ALL SELECT query_id, case_id, score FROM own) QUALIFY rank <= {q_retrieval.K}),
+    had AS (SELECT query_id, element FROM previous JOIN sets USING (case_id)),
+    agreed AS (SELECT m.query_id, s.element FROM mixed m JOIN sets s USING (case_id) JOIN (SELECT query_id, count(*) AS k FROM mixed GROUP BY 1) USING (query_id) WHERE query_id IN (SELECT query_id FROM previous) GROUP BY 1, 2 HAVING round(count(*) / max(k), 6) >= {THRESHOLD}),
+    cold AS (SELECT n.query_id, s.element FROM near n JOIN sets s USING (case_id) JOIN (SELECT query_id, count(*) AS k FROM near GROUP BY 1) USING (query_id) WHERE query_id IN (SELECT query_id FROM previous) GROUP BY 1, 2 HAVING round(count(*) / max(k), 6) >= {THRESHOLD}),
+    renewed AS (SELECT * FROM agreed UNION SELECT h.query_id, h.element FROM had h WHERE EXISTS (SELECT 1 FROM mixed m JOIN sets s USING (case_id) WHERE m.query_id = h.query_id AND s.element = h.element AND NOT EXISTS (SELECT 1 FROM previous p WHERE p.query_id = m.query_id AND p.case_id = m.case_id))),
+    spoken AS (SELECT 'copy_previous' AS variant, * FROM had UNION ALL SELECT 'cold', * FROM cold UNION ALL SELECT 'history', * FROM agreed UNION ALL SELECT 'renewed', * FROM renewed
+        UNION ALL SELECT 'routed', r.* FROM renewed r WHERE query_id IN (SELECT query_id FROM previous WHERE NOT changed) UNION ALL SELECT 'routed', a.* FROM agreed a WHERE query_id IN (SELECT query_id FROM previous WHERE changed)),
+    n_had AS (SELECT query_id, count(*) AS n_had FROM had GROUP BY 1),
+    each_ AS (SELECT s.variant, s.query_id, count(*) AS n_said, count(h.element) AS common, count(p.element) AS again FROM spoken s LEFT JOIN held h ON h.query_id = s.query_id AND h.element = s.element LEFT JOIN had p ON p.query_id = s.query_id AND p.element = s.element GROUP BY 1, 2),
+    judged AS (SELECT v.variant, p.changed, coalesce({JACCARD}, 0) AS jaccard, coalesce(round(again / CAST(n_said + n_had - again AS DOUBLE), 6), 0) AS novelty, coalesce(round(n_said / CAST(n_held AS DOUBLE), 6), 0) AS size
+        FROM previous p JOIN n_held USING (query_id) JOIN n_had USING (query_id) CROSS JOIN (SELECT DISTINCT variant FROM spoken) v LEFT JOIN each_ e ON e.query_id = p.query_id AND e.variant = v.variant)
+    SELECT variant, coalesce(CAST(changed AS VARCHAR), 'all') AS changed, count(*) AS n, round(avg(jaccard), 5) AS jaccard, round(avg(novelty), 5) AS novelty, round(avg(size), 5) AS size FROM judged GROUP BY GROUPING SETS ((variant, changed), (variant))""")
+def loo_recurrent(t: Tables) -> DataFrame:
+    """Entities that come back: the next version foretold from the previous one, from others, from both, and by route. ``novelty`` is
+    the Jaccard with the previous version; that of ``copy_previous`` with the truth is what people renew."""
+    asked = q_retrieval.stated_queries(t)
+    history = t.once("history", lambda: E.own_history(t.cases, asked, q_retrieval.K))
+    goals = t.headers.select("case_id", "objective")
+    before = history.filter("back = 1").join(goals, "case_id").join(asked.select("query_id", "q_objective"), "query_id")
+    previous = t.once("previous", lambda: before.select("query_id", "case_id", (F.col("objective") != F.col("q_objective")).alias("changed")))
+    own = history.join(q_retrieval.candidates(t), "case_id").join(asked, "query_id").select("query_id", "case_id", R.attribute_score().alias("score"))
+    both = q_retrieval.pool(t).select("query_id", "case_id", "score").unionByName(own)
+    mixed = t.once("mixed", lambda: R.best(both, ["query_id"], [F.desc("score"), F.asc("case_id")], q_retrieval.K).select("query_id", "case_id"))
+    said = E.recurrent_variants(q_retrieval.neighbourhood(t), mixed, previous, _sets(t), THRESHOLD)
+    had = previous.join(_sets(t), "case_id").select("query_id", "element")
+    true, again = (E.said_against_held(said, other, ["query_id", "variant"]) for other in (_held(t), had))
+    both_held = previous.select("query_id", "changed").join(_held(t).select("query_id").distinct(), "query_id").join(had.select("query_id").distinct(), "query_id")
+    rows = both_held.crossJoin(F.broadcast(said.select("variant").distinct()))
+    rows = rows.join(true.select("query_id", "variant", "jaccard", F.round(F.col("n_said") / F.col("n_held"), 6).alias("size")), ["query_id", "variant"], "left")
+    rows = rows.join(again.select("query_id", "variant", F.col("jaccard").alias("novelty")), ["query_id", "variant"], "left")
+    out = rows.fillna(0.0, ["jaccard", "size", "novelty"]).groupingSets([[F.col("variant"), F.col("changed")], [F.col("variant")]], "variant", "changed").agg(
+        F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(c) for c in ("jaccard", "novelty", "size")]
+    )
+    return out.withColumn("changed", F.coalesce(F.col("changed").cast("string"), F.lit("all")))

@@ -38,12 +38,17 @@ stated AS (
            region AS q_region, balance AS q_balance
     FROM cases JOIN profiles USING (entity_id) WHERE case_id % 50 = 0)
 """
-SQL_SCORED = SQL_QUERIES + """
+
+
+def score_sql(weights: tuple[float, ...] = R.WEIGHTS) -> str:
+    """The score of a row that holds a case's traits and a query's."""
+    matches = [f"coalesce(CAST({c} = q_{c} AS DOUBLE), 0.5)" for c in R.TRAITS] + [f"coalesce(1.0 - least(abs(balance - q_balance), {R.SPAN}) / {R.SPAN}, 0.5)"]
+    return f"round(({' + '.join(f'{m} * {w}' for m, w in zip(matches, weights, strict=True))}) / {float(round(sum(weights), 9))}, 6)"
+
+
+SQL_SCORED = SQL_QUERIES + f"""
 , scored AS (
-    SELECT query_id, case_id, entity_id, objective = q_objective AS same, segment = q_segment AS same_segment,
-           round((coalesce(CAST(objective = q_objective AS DOUBLE), 0.5) * 0.45 + coalesce(CAST(segment = q_segment AS DOUBLE), 0.5) * 0.15
-                + coalesce(CAST(nation = q_nation AS DOUBLE), 0.5) * 0.20 + coalesce(CAST(region = q_region AS DOUBLE), 0.5) * 0.10
-                + coalesce(1.0 - least(abs(balance - q_balance), 5000.0) / 5000.0, 0.5) * 0.10) / 1.0, 6) AS score
+    SELECT query_id, case_id, entity_id, objective = q_objective AS same, segment = q_segment AS same_segment, {score_sql()} AS score
     FROM candidates JOIN stated ON entity_id <> q_entity_id)
 """
 SQL_POOL = SQL_SCORED + """
