@@ -126,27 +126,13 @@ SQL_CHECKS = f""", bands AS (SELECT family, unit, round(p05, 6) AS p05, round(p9
 def violations(t: Tables) -> DataFrame:
     """All checks of real cases against the bands mined from them, in one form."""
     rows = t.named_items
-    bands = M.quantity_bands(rows, ["family", "unit"], least=1)
-    per_slot = rows.groupBy("case_id", "slot").agg(F.count_distinct("product_id").alias("n"), (F.count("*") - F.count_distinct("family")).alias("repeats"))
-    slot_bands = per_slot.groupBy("slot").agg(*M.percentiles("n"))
-    repeat_bands = per_slot.groupBy("slot").agg(*M.percentiles("repeats"))
-    per_case = t.items.groupBy("case_id").agg(F.count_distinct("slot").alias("n"))
-    case_band = per_case.agg(*M.percentiles("n"))
-    count_off = per_case.crossJoin(F.broadcast(case_band)).filter("n < p05 OR n > p95")
     mixed = rows.groupBy("case_id", "line_group").agg(F.count_distinct("family").alias("n")).filter("n > 4").withColumn("most", F.lit(4))
     differ = rows.groupBy("case_id", "slot", "grp").agg(F.count_distinct("quantity").alias("n")).filter("n > 1").withColumn("most", F.lit(1))
-    parts = [
-        R.violation(R.outside(rows, bands, ["family", "unit"], "quantity"), "quantity_out_of_range", slot="slot", subject="family", value="quantity", low="p05", high="p95"),
-        R.violation(R.outside(per_slot, slot_bands, ["slot"], "n"), "items_per_slot", slot="slot", value="n", low="p05", high="p95"),
-        R.violation(R.outside(per_slot, repeat_bands, ["slot"], "repeats"), "repeated_product", slot="slot", value="repeats", low="p05", high="p95"),
-        R.violation(count_off, "slot_count", value="n", low="p05", high="p95"),
-        R.violation(mixed, "alternative_groups_mixed", subject="line_group", value="n", high="most"),
-        R.violation(differ, "quantities_differ", slot="slot", subject="grp", value="n", high="most"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return (
+        R.plausibility(rows, rows)
+        .unionByName(R.violation(mixed, "alternative_groups_mixed", subject="line_group", value="n", high="most"))
+        .unionByName(R.violation(differ, "quantities_differ", slot="slot", subject="grp", value="n", high="most"))
+    )
 
 
 @query(SQL_CHECKS + "SELECT case_id, kind, slot, subject, value, low, high FROM violations")
