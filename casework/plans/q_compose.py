@@ -28,9 +28,11 @@ def compose_plan(t: Tables) -> DataFrame:
     rows = t.once("neighbour_items", lambda: C.neighbour_items(near.select("query_id", "case_id"), t.named_items.select("case_id", "slot", "family", "unit", "quantity")))
     bands = M.quantity_bands(t.named_items, ["family", "unit"], least=30)
     ceilings = t.spark.createDataFrame([("u0", 50.0), ("u1", 30.0), ("u2", 28.0)], "unit string, ceiling double")
+    rules = t.spark.createDataFrame([("promo in RF", "PROMO", "RF"), ("standard", "STANDARD", None), ("economy in NO", "ECONOMY", "NO"), ("economy", "ECONOMY", None)], "rule string, family string, slot string")
     return proposal.compose_plan(
-        rows, near, bands, ceilings, share=0.3, penalty=0.1, required=[(None, "STANDARD"), ("AF", "ECONOMY")], never=[("RF", "PROMO")], base_unit="u0"
-    )
+        rows, near, bands, ceilings, share=0.3, penalty=0.1, required=[(None, "STANDARD"), ("AF", "ECONOMY")], never=[("RF", "PROMO")], base_unit="u0",
+        loose="NO", least_ratio=0.25, rules=rules,
+    )
 
 
 @query()

@@ -8,14 +8,34 @@ from statistics import median
 
 import pytest
 
-from casework.operators.proposal import compose_plan
+from casework.operators.proposal import compose_plan, settle_loose
 
 CEILINGS = {"g": 100.0, "pc": 6.0}
 BANDS = {("a", "g"): (10.0, 40.0), ("b", "pc"): (1.0, 3.0), ("c", "g"): (20.0, 90.0)}
 
 
-def looped(rows, near, share, floor, penalty, required, never, step):
+RULES = [("first", "a", None), ("second", "a", "X"), ("third", "b", "Y")]
+
+
+def settled(rows, loose):
+    """Items of the loose slot moved by the votes of the same query's cases."""
+    votes = defaultdict(lambda: defaultdict(set))
+    for q, c, s, f, _, _ in rows:
+        if s != loose:
+            votes[q, f][s].add(c)
+    out = []
+    for q, c, s, f, unit, quantity in rows:
+        if s == loose and votes[q, f]:
+            (first, slot), *rest = sorted((-len(cs), slot) for slot, cs in votes[q, f].items())
+            if -first >= 2 and -first + (rest[0][0] if rest else 0) >= 2:
+                s = slot
+        out.append((q, c, s, f, unit, quantity))
+    return out
+
+
+def looped(rows, near, share, floor, penalty, required, never, step, loose, least_ratio):
     out = []
+    rows = settled(rows, loose)
     queries = defaultdict(set)
     for q, c in near:
         queries[q].add(c)
@@ -43,6 +63,7 @@ def looped(rows, near, share, floor, penalty, required, never, step):
             for _, f in rest[: max(0, short)]:
                 reason[s, f] = "topped up"
         for s in slots:
+            amounts = {}
             order = sorted((x for x in reason if x[0] == s), key=lambda x: (["consensus", "required", "topped up"].index(reason[x]), -support[x], x[1]))
             for position, x in enumerate(order, 1):
                 units = defaultdict(list)
@@ -60,9 +81,15 @@ def looped(rows, near, share, floor, penalty, required, never, step):
                     low, high = BANDS[x[1], unit]
                     if not low <= quantity <= high:
                         quantity, change = min(max(quantity, low), high), "clamped" if change == "kept" else change
+                amounts[position, x] = [unit, quantity, change]
+            for (position, x), (unit, quantity, change) in amounts.items():
+                least = least_ratio * max((a[1] for a in amounts.values() if a[0] == unit and a[1] is not None), default=0)
+                if quantity is not None and quantity < least:
+                    quantity, change = least, "raised"
                 if quantity is not None and quantity > step:
                     quantity = round(quantity / step) * step
-                out.append((q, s, position, x[1], len(holds[x]), support[x], reason[x], unit, quantity, change))
+                names = [n for n, f, where in RULES if f == x[1] and where in (None, s)]
+                out.append((q, s, position, x[1], len(holds[x]), support[x], reason[x], unit, quantity, change, names))
     return out
 
 
@@ -70,7 +97,7 @@ def looped(rows, near, share, floor, penalty, required, never, step):
 def test_compose_plan(spark, share, floor, penalty):
     rng = random.Random(share)
     near = [(q, c) for q in range(12) for c in rng.sample(range(60), rng.choice([1, 2, 5, 9]))]
-    items = {c: [(rng.choice("XXY"), rng.choice("aabcd"), rng.choice(["g", "g", "pc"]), float(rng.choice([1, 2, 7, 12, 33, 60, 140]))) for _ in range(rng.choice([0, 2, 6]))] for c in range(60)}
+    items = {c: [(rng.choice("XXYZ"), rng.choice("aabcd"), rng.choice(["g", "g", "pc"]), float(rng.choice([1, 2, 7, 12, 33, 60, 140]))) for _ in range(rng.choice([0, 2, 6]))] for c in range(60)}
     rows = [(q, c, *item) for q, c in near for item in items[c]]
     required, never = [(None, "d"), ("Y", "b")], [("X", "c")]
     got = compose_plan(
@@ -79,7 +106,17 @@ def test_compose_plan(spark, share, floor, penalty):
         spark.createDataFrame([(*k, *v) for k, v in BANDS.items()], "family string, unit string, p05 double, p95 double"),
         spark.createDataFrame([*CEILINGS.items()], "unit string, ceiling double"),
         share=share, floor=floor, penalty=penalty, required=required, never=never, base_unit="g",
+        loose="Z", least_ratio=0.3, rules=spark.createDataFrame(RULES, "rule string, family string, slot string"),
     )
-    want = looped(rows, near, share, floor, penalty, required, never, 5.0)
+    want = looped(rows, near, share, floor, penalty, required, never, 5.0, "Z", 0.3)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert len({r[6] for r in want}) > 1 and len(want) > 10
+
+
+def test_a_plan_moves_by_clear_votes_only(spark):
+    rows = [(1, c, "X", "a", "g", 1.0) for c in (1, 2, 3)] + [(1, 4, "Y", "a", "g", 1.0), (1, 5, "Z", "a", "g", 1.0)]
+    rows += [(1, 1, "X", "b", "g", 1.0), (1, 2, "X", "b", "g", 1.0), (1, 3, "Y", "b", "g", 1.0), (1, 5, "Z", "b", "g", 1.0), (1, 5, "Z", "c", "g", 1.0), (2, 5, "Z", "a", "g", 1.0)]
+    df = spark.createDataFrame(rows, "query_id long, case_id long, slot string, family string, unit string, quantity double")
+    got = sorted(tuple(r) for r in settle_loose(df, "Z").filter("case_id = 5").select("query_id", "family", "slot").collect())
+    assert got == [(1, "a", "X"), (1, "b", "Z"), (1, "c", "Z"), (2, "a", "Z")]
+    assert settle_loose(df.limit(0), "Z").count() == 0
