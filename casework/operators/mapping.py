@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,33 @@ def map_items(components: DataFrame, catalogue: DataFrame, excluded: DataFrame)
     return joined.select("line_id", "alt_no", "comp_no", "component_index", "name", "product_id", F.coalesce("generic", F.lit(False)).alias("generic"), reason.alias("reason"))
 
 
+def mine_catalogue(names: DataFrame, catalogue: DataFrame, excluded: DataFrame, *, least_share: float, descriptors: Sequence[str] = (), refused: str = r"^\W*$|^\w$|\d", most_words: int = 6, name: str = "name") -> DataFrame:
+    """(key, n, state, canonical): every different folded name, how often it is written, and what becomes of it.
+
+    ``descriptor_only``: nothing but ``descriptors``, or empty; ``excluded``: see resolve_excluded, with the key it falls under;
+    ``exact``: a key of the ``catalogue`` (column key); ``prefix``: begins with the words of one, the longest; ``promoted``: none of these, but
+    at least ``least_share`` of all names, of at most ``most_words`` words and not of a ``refused`` shape: it may stand in the catalogue by its
+    commonest writing in lower case (ties: the first in order); else ``unmapped``. Null names are not counted.
+
+    Names are counted before anything else, so that all joins are between different names and keys, by equality."""
+    folded = fold_text(F.col(name))
+    written = names.filter(F.col(name).isNotNull()).groupBy(folded.alias("key"), F.lower(name).alias("written")).agg(F.count("*").alias("c"))
+    counted = written.groupBy("key").agg(F.sum("c").alias("n"), F.min_by("written", F.struct(-F.col("c"), "written")).alias("common"))
+    words = F.split("key", " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda j: F.array_join(F.slice(words, 1, j), " "))
+    known = catalogue.select(fold_text(F.col("key")).alias("start")).distinct()
+    begins = counted.select("key", F.explode(starts).alias("start")).join(known, "start").groupBy("key").agg(F.max_by("start", F.length("start")).alias("start"))
+    out = resolve_excluded(counted.select("key"), excluded, id_col="key", text_col="key").select(F.col("id").alias("key"), F.col("key").alias("under"))
+    rows = counted.join(begins, "key", "left").join(out, "key", "left").crossJoin(F.broadcast(counted.agg(F.sum("n").alias("all"))))
+    plain = F.forall(words, lambda w: (w == "") | w.isin(*descriptors)) if descriptors else F.col("key") == ""
+    fit = (F.col("n") >= F.lit(least_share) * F.col("all")) & (F.size(words) <= most_words) & ~F.col("key").rlike(refused)
+    state = F.when(plain, "descriptor_only").when(F.col("under").isNotNull(), "excluded").when(F.col("start") == F.col("key"), "exact")
+    state = state.when(F.col("start").isNotNull(), "prefix").when(fit, "promoted").otherwise("unmapped")
+    rows = rows.withColumn("state", state)
+    canonical = F.when(F.col("state") == "excluded", F.col("under")).when(F.col("state").isin("exact", "prefix"), F.col("start")).when(F.col("state") == "promoted", F.col("common"))
+    return rows.select("key", "n", "state", canonical.alias("canonical"))
+
+
 def match_free_text(texts: DataFrame, catalogue: DataFrame, *, id_col: str = "id", text_col: str = "text", splits: str = r"\s*(?:,|;|\.|\s+(?:and|y|et|und)\s+)\s*") -> DataFrame:
     """(id, pos, fragment, product_id, how): the fragments of a text against catalogue names: equal, else equal in the
     singular, else a catalogue name's words stand together in it (the longest counts); unmatched ones stay with how null.

@@ -28,6 +28,29 @@ def label_by_patterns(texts: DataFrame, rules: Sequence[tuple[str, str, int]], *
     return rows.select(key, F.array_join("l", ",").alias("labels"), F.get("l", F.lit(0)).alias("main"), (F.size("l") > 1).alias("compound"), (F.size("l") > 0).alias("covered"))
 
 
+def label_by_signals(texts: DataFrame, signals: Sequence[tuple[str, str, int]], *, key: str, text: str, most: int = 4, names: str | None = None, overrides: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(key, label, score): the label whose signals weigh most in a text. ``signals``: label, pattern (on the text in lower case), weight; several may have a label.
+
+    A signal counts its hits up to ``most`` times its weight. No hit gives ``unclassified``, two labels of the same highest score ``ambiguous``.
+    ``overrides``: pattern, label; the first that the column ``names`` matches decides instead, whatever the text says."""
+    weights: dict[str, list[Column]] = {}
+    for label, pattern, weight in signals:
+        weights.setdefault(label, []).append(F.least(F.regexp_count(F.lower(_text(text)), F.lit(pattern)), F.lit(most)) * weight)
+    scores = F.array_sort(F.array(*[F.struct((-sum(parts[1:], parts[0])).alias("less"), F.lit(label).alias("label")) for label, parts in sorted(weights.items())]))
+    named = [] if names is None else [F.when(_text(names).rlike(pattern), F.lit(label)) for pattern, label in overrides]
+    rows = texts.select(key, scores.alias("s"), (F.coalesce(*named) if named else F.lit(None).cast("string")).alias("named"))
+    first, tied = F.col("s")[0], F.col("s")[0]["less"] == F.get("s", F.lit(1))["less"]
+    label = F.when(F.col("named").isNotNull(), F.col("named")).when(first["less"] == 0, "unclassified").when(tied, "ambiguous").otherwise(first["label"])
+    return rows.select(key, label.alias("label"), (-first["less"]).alias("score"))
+
+
+def first_rule(rows: DataFrame, rules: Sequence[tuple[str, str, str]], *, column: str, other: str = "unmapped") -> DataFrame:
+    """The rows with ``class`` and ``reason`` of the first rule (pattern, class, reason) that the column matches, else ``other`` without a reason."""
+    first = F.coalesce(*[F.when(_text(column).rlike(p), F.struct(F.lit(k).alias("class"), F.lit(why).alias("reason"))) for p, k, why in rules])
+    held = rows.withColumn("__rule", first)
+    return held.withColumn("class", F.coalesce(F.col("__rule.class"), F.lit(other))).withColumn("reason", F.col("__rule.reason")).drop("__rule")
+
+
 def screen_terms(texts: DataFrame, terms: DataFrame, *, key: str, text: str, limit: int, mask: str = "***") -> DataFrame:
     """(key, mentions, terms, weight, dropped, redacted): texts that hold listed terms. ``terms``: term (lower case), weight.
 

@@ -56,6 +56,21 @@ def mapping_coverage(t: Tables) -> DataFrame:
     return _mapped(t).groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.count_distinct("line_id").alias("lines"))
 
 
+@query(SQL_MAPPED + """, started AS (SELECT DISTINCT CASE WHEN name LIKE 'red %' THEN name WHEN split_part(name, ' ', 1) IN ('small', 'large') THEN split_part(name, ' ', 1) END AS start FROM catalogue),
+    freq AS (SELECT name, count(*) AS n FROM mapped WHERE name IS NOT NULL GROUP BY 1), parts_ AS (SELECT name, string_split(name, ' ') AS w, unnest(range(1, len(string_split(name, ' ')) + 1)) AS j FROM freq),
+    longest AS (SELECT name, start FROM parts_ JOIN started ON start = array_to_string(w[1:j], ' ') QUALIFY row_number() OVER (PARTITION BY name ORDER BY j DESC) = 1),
+    stated_ AS (SELECT f.name, f.n, r.key, l.start, CASE WHEN f.name = 'old rod' THEN 'descriptor_only' WHEN r.key IS NOT NULL THEN 'excluded' WHEN l.start = f.name THEN 'exact' WHEN l.start IS NOT NULL THEN 'prefix'
+        WHEN f.n >= 0.0156 * (SELECT sum(n) FROM freq) THEN 'promoted' ELSE 'unmapped' END AS state FROM freq f LEFT JOIN resolved r USING (name) LEFT JOIN longest l ON l.name = f.name)
+    SELECT name AS key, n, state, CASE WHEN state = 'excluded' THEN stated_.key WHEN state IN ('exact', 'prefix') THEN start WHEN state = 'promoted' THEN name END AS canonical FROM stated_""")
+def mine_catalogue(t: Tables) -> DataFrame:
+    """The names in item lines against a catalogue that has only begun: which it knows, which stay out, which are frequent enough to enter."""
+    names = P.promote_embedded_quantity(P.parse_components(q_parse.written_lines(t))).select("name")
+    head = F.split_part("name", F.lit(" "), F.lit(1))
+    begun = F.when(head == "red", F.col("name")).when(head.isin("small", "large"), head)
+    started = t.catalogue.select(begun.alias("key")).filter("key IS NOT NULL").distinct()
+    return M.mine_catalogue(names, started, _excluded(t), least_share=0.0156, descriptors=("old", "rod"))
+
+
 #: What the entity of a case writes about it: names in the plural, whole, within more words, and unknown ones.
 SQL_WISHES = """
 , wishes AS (SELECT case_id AS id, arg_min(name, (line, product_id)) AS a, arg_max(name, (line, product_id)) AS b FROM items JOIN catalogue USING (product_id) GROUP BY 1),

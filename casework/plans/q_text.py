@@ -85,12 +85,7 @@ SIGNALS = {n: (f"(^|[^a-z])({words})([^a-z]|$)", 2) for n, words in {"en": "the|
     top AS (SELECT doc_id, h.label AS label, h.score AS score, row_number() OVER w AS r, lead(h.score) OVER w AS second FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY h.score DESC, h.label))
     SELECT doc_id, CASE WHEN score = 0 THEN 'unclassified' WHEN score = second THEN 'ambiguous' ELSE label END AS label, CAST(score AS INTEGER) AS score FROM top WHERE r = 1""")
 def signal_classify(t: Tables) -> DataFrame:
-    scores = [F.struct((F.least(F.regexp_count(F.lower(body()), F.lit(p)), F.lit(4)) * w).alias("score"), F.lit(n).alias("label")) for n, (p, w) in SIGNALS.items()]
-    ordered = F.array_sort(F.array(*scores), lambda x, y: F.when(x["score"] != y["score"], y["score"] - x["score"]).when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0))
-    rows = t.documents.select("doc_id", ordered.alias("s"))
-    first, second = F.col("s")[0], F.col("s")[1]
-    label = F.when(first["score"] == 0, "unclassified").when(first["score"] == second["score"], "ambiguous").otherwise(first["label"])
-    return rows.select("doc_id", label.alias("label"), first["score"].alias("score"))
+    return X.label_by_signals(t.documents, [(n, p, w) for n, (p, w) in SIGNALS.items()], key="doc_id", text="text")
 
 
 HEAD = r"^([A-Za-z]+[.:])\s+(.+)$"
@@ -107,19 +102,18 @@ def header_split(t: Tables) -> DataFrame:
     return rows.filter("head <> ''")
 
 
-HEAD_RULES = [("^[A-Z]{2,}", "section"), ("^(The|And|Of|In|To)", "slot"), (":$", "field")]
+#: Pattern of a head, its class, and why; the first that fits counts.
+HEAD_RULES = [("^[A-Z]{2,}", "section", "capitals"), ("^(The|And|Of|In|To)", "slot", "frequent word"), (":$", "field", "colon")]
 
 
-def head_class(head: Column) -> Column:
-    return F.coalesce(*[F.when(head.rlike(p), F.lit(k)) for p, k in HEAD_RULES], F.lit("unmapped"))
+SQL_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(head, '{p}') THEN '{k}'" for p, k, _ in HEAD_RULES) + " ELSE 'unmapped' END"
+SQL_WHY = "CASE " + " ".join(f"WHEN regexp_matches(head, '{p}') THEN '{why}'" for p, _, why in HEAD_RULES) + " END"
 
 
-SQL_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(head, '{p}') THEN '{k}'" for p, k in HEAD_RULES) + " ELSE 'unmapped' END"
-
-
-@query(SQL_LINES + f", heads AS (SELECT doc_id, pos, regexp_extract(line, '{HEAD}', 1) AS head FROM lines) SELECT doc_id, pos, {SQL_CLASS} AS class FROM heads WHERE head <> ''")
+@query(SQL_LINES + f", heads AS (SELECT doc_id, pos, regexp_extract(line, '{HEAD}', 1) AS head FROM lines) SELECT doc_id, pos, {SQL_CLASS} AS class, {SQL_WHY} AS reason FROM heads WHERE head <> ''")
 def header_classify(t: Tables) -> DataFrame:
-    return _lines(t).select("doc_id", "pos", F.regexp_extract("line", HEAD, 1).alias("head")).filter("head <> ''").select("doc_id", "pos", head_class(F.col("head")).alias("class"))
+    heads = _lines(t).select("doc_id", "pos", F.regexp_extract("line", HEAD, 1).alias("head")).filter("head <> ''")
+    return X.first_rule(heads, HEAD_RULES, column="head").select("doc_id", "pos", "class", "reason")
 
 
 @query(SQL_LINES + f", heads AS (SELECT doc_id, pos, line, nullif(regexp_extract(line, '{HEAD}', 1), '') AS head FROM lines), carried AS (SELECT doc_id, pos, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), 'preamble') AS section FROM heads) SELECT doc_id, section, count(*) AS n_lines, min(pos) AS first_pos FROM carried GROUP BY 1, 2")
@@ -133,7 +127,8 @@ def segment_document(t: Tables) -> DataFrame:
 @query(SQL_LINES + f", heads AS (SELECT doc_id, regexp_extract(line, '{HEAD}', 1) AS head FROM lines) SELECT head, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS example, {SQL_CLASS} AS class FROM heads WHERE head <> '' GROUP BY head")
 def vocabulary_census(t: Tables) -> DataFrame:
     heads = _lines(t).select("doc_id", F.regexp_extract("line", HEAD, 1).alias("head")).filter("head <> ''")
-    return heads.groupBy("head").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("example")).withColumn("class", head_class(F.col("head")))
+    counted = heads.groupBy("head").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("example"))
+    return X.first_rule(counted, HEAD_RULES, column="head").drop("reason")
 
 
 @query(SQL_LINES + """SELECT round(avg(CAST(tables AS DOUBLE)), 6) AS tables, round(avg(CAST(blank AS DOUBLE)), 6) AS blank, round(avg(CAST(shout AS DOUBLE)), 6) AS shout, round(avg(n), 6) AS n_lines
@@ -164,11 +159,6 @@ def grouping_key(t: Tables) -> DataFrame:
     return t.catalogue.select("product_id", F.array_join(F.array_sort(words), " ").alias("key"))
 
 
-@query("SELECT name AS term, count(*) AS n FROM (SELECT split_part(lower(name), ' ', 2) AS name FROM catalogue) GROUP BY 1")
-def mine_catalogue(t: Tables) -> DataFrame:
-    return t.catalogue.groupBy(F.split_part(F.lower("name"), F.lit(" "), F.lit(2)).alias("term")).agg(F.count("*").alias("n"))
-
-
 TERMS = [("idiot", 2), ("moron", 2), ("clown", 1), ("stupid", 1), ("license", 1), ("licensed", 1)]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 from casework.operators import text as X
+from casework.operators.mapping import mine_catalogue
 
 
 def texts(spark, *rows):
@@ -60,3 +61,30 @@ def test_canonical_units(spark):
     raw = spark.createDataFrame([("Grams.",), ("kilo",), ("kilo",), ("cups",), (" . ",), (None,)], "raw string")
     got = {r.raw: tuple(r)[1:] for r in X.canonical_units(raw, spellings).collect()}
     assert got == {"Grams.": ("g", 1.0, True, None, 1), "kilo": ("g", 1000.0, True, None, 2), "cups": ("cups", None, False, "unlisted", 1), " . ": ("", None, False, "empty", 1), None: ("", None, False, "empty", 1)}
+
+
+def test_labels_by_signals(spark):
+    signals = [("b", "x", 2), ("a", "y", 1), ("a", "z", 1)]
+    df = spark.createDataFrame([(0, "x y", ""), (1, "Y z", "f"), (2, "x y z", None), (3, "none", "f"), (4, None, "f"), (5, "", "doc b"), (6, "x x x x x x", "f")], "id long, t string, file string")
+    got = rows_of(X.label_by_signals(df, signals, key="id", text="t", most=3, names="file", overrides=[("^doc", "d"), ("b", "e")]))
+    assert got == {0: ("b", 2), 1: ("a", 2), 2: ("ambiguous", 2), 3: ("unclassified", 0), 4: ("unclassified", 0), 5: ("d", 0), 6: ("b", 6)}
+    assert rows_of(X.label_by_signals(df, [("only", "x", 1)], key="id", text="t"))[0] == ("only", 1)
+
+
+def test_first_rule_with_its_reason(spark):
+    got = X.first_rule(texts(spark, "ABC:", "abc:", "abc", None, ""), [("^[A-Z]", "section", "capital"), (":$", "field", "colon")], column="t").select("id", "class", "reason")
+    assert rows_of(got) == {0: ("section", "capital"), 1: ("field", "colon"), 2: ("unmapped", None), 3: ("unmapped", None), 4: ("unmapped", None)}
+    assert X.first_rule(texts(spark, "a"), [("a", "k", "why")], column="t").columns == ["id", "t", "class", "reason"]
+
+
+def test_catalogue_is_mined(spark):
+    names = ["Red Pear"] * 3 + ["red  pear"] + ["Plum"] * 3 + ["PLUM"] + ["plum jam sweet"] + ["Kiwi"] * 4 + ["kíwi"] + ["zinc pill"] * 5 + ["12 pears"] * 9 + ["x"] * 9 + ["big"] * 9 + ["", None, "rare thing"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    keys = spark.createDataFrame([("Plum",), ("plum jam",), ("pear",)], "key string")
+    excluded = spark.createDataFrame([("Zinc", "zinc")], "key string, token string")
+    got = {r.key: tuple(r)[1:] for r in mine_catalogue(df, keys, excluded, least_share=0.08, descriptors=("big",)).collect()}
+    assert got == {
+        "red pear": (4, "promoted", "red pear"), "plum": (4, "exact", "plum"), "plum jam sweet": (1, "prefix", "plum jam"), "kiwi": (5, "promoted", "kiwi"), "zinc pill": (5, "excluded", "Zinc"),
+        "12 pears": (9, "unmapped", None), "x": (9, "unmapped", None), "big": (9, "descriptor_only", None), "": (1, "descriptor_only", None), "rare thing": (1, "unmapped", None),
+    }
+    assert mine_catalogue(df.limit(0), keys, excluded, least_share=0.1).count() == 0
