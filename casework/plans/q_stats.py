@@ -122,7 +122,16 @@ def body_estimates(t: Tables) -> DataFrame:
     return t.catalogue.select("product_id", share.alias("share"), F.when(scale > 0, F.round(price / (scale * scale), 6)).alias("index_"))
 
 
-@query()
+SAID_JACCARD = "len(list_intersect({0}, said)) / CAST(len({0}) + len(said) - len(list_intersect({0}, said)) AS DOUBLE)"
+
+
+@query(f""", wide AS (SELECT case_id, list(DISTINCT grp) AS groups FROM named_items GROUP BY 1),
+    shares AS (SELECT objective, grp, round(count(DISTINCT case_id) / max(n), 6) AS share FROM named_items JOIN cases USING (case_id) JOIN (SELECT objective, count(*) AS n FROM cases GROUP BY 1) USING (objective) GROUP BY 1, 2),
+    tops AS (SELECT objective, list(grp) AS top FROM (SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY objective ORDER BY share DESC, grp) <= 4) GROUP BY 1),
+    rows_ AS (SELECT c.objective, w.groups AS copy, f.groups AS oldest, n.groups AS truth, top FROM cases c JOIN cases x ON x.entity_id = c.entity_id AND x.version = c.version + 1 JOIN cases o ON o.entity_id = c.entity_id AND o.version = 1
+        JOIN wide w ON w.case_id = c.case_id JOIN wide f ON f.case_id = o.case_id JOIN wide n ON n.case_id = x.case_id JOIN tops ON tops.objective = c.objective),
+    said AS (SELECT objective, truth, copy, 'copy' AS variant, copy AS said FROM rows_ UNION ALL SELECT objective, truth, copy, 'oldest', oldest FROM rows_ UNION ALL SELECT objective, truth, copy, 'prevalent', top FROM rows_)
+    SELECT variant, objective, count(*) AS n, round(avg({SAID_JACCARD.format('truth')}), 4) AS jaccard, round(avg(len(list_intersect(truth, said)) / CAST(len(truth) AS DOUBLE)), 4) AS recall, round(avg(1 - {SAID_JACCARD.format('copy')}), 4) AS novelty FROM said GROUP BY 1, 2""")
 def loo_report(t: Tables) -> DataFrame:
     """Three predictions of every case's next version - itself, its entity's first version, the most prevalent groups of
     its objective - by mean Jaccard, recall and novelty per objective."""
