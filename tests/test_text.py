@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
+
+import regex
+import xxhash
 
 from casework.operators import text as X
 from casework.operators.mapping import mine_catalogue
@@ -88,3 +92,22 @@ def test_catalogue_is_mined(spark):
         "12 pears": (9, "unmapped", None), "x": (9, "unmapped", None), "big": (9, "descriptor_only", None), "": (1, "descriptor_only", None), "rare thing": (1, "unmapped", None),
     }
     assert mine_catalogue(df.limit(0), keys, excluded, least_share=0.1).count() == 0
+
+
+def test_hashed_words_of_whole_documents(spark):
+    """Every document's buckets, counted in plain Python with the same hash."""
+    from casework.plans.registry import queries
+
+    folder = "/root/testdata/sf0.001"
+    want = {}
+    for row in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        cells = {}
+        for word in regex.split(r"[^\p{L}]+", (row.text or "").lower()):
+            if word:
+                h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+                cells[h % 64] = cells.get(h % 64, 0) + (1 if (h >> 20) % 2 == 0 else -1)
+        norm = math.sqrt(sum(v * v for v in cells.values()))
+        want |= {(row.doc_id, b): v / norm for b, v in cells.items() if v}
+    got = {(r.doc_id, r.bucket): r.weight for r in queries()["hashing_embedding"](spark, folder).collect()}
+    assert got.keys() == want.keys() and len(want) > 1000
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
