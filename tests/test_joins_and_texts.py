@@ -210,3 +210,12 @@ def test_extract_measure_rows(spark):
     text = "Iron 12,5 ug/dl 10 - 60\nzinc 60-10 12\nSodium 130 - 145 150\nnote 5\nHdl 9 mg/dl 10-60"
     got = extract.extract_measure_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string"), enough=3).orderBy("pos").collect()
     assert [(r.id, r.pos, r["name"], r.value, r.unit, r.level, r.unreliable) for r in got] == [(1, 0, "iron", 12.5, "ug/dl", 2, False), (1, 2, "sodium", 150.0, None, 3, False), (1, 4, "hdl", 9.0, "mg/dl", 1, False)]
+
+
+def test_votes_move_each_shingle_once(spark):
+    rows = spark.createDataFrame([(i, "xyz"[i % 3], f"s{k}") for i in range(9) for k in range(i % 3, 6)] + [(1, "y", "s5"), (30, None, "s0")], "d long, o string, s string")
+    sizes = spark.createDataFrame([(i, 100) for i in range(9)], "d long, size long")
+    votes = L.owned_votes(rows, doc="d", owner="o", shingle="s", least=1, sizes=sizes)
+    assert {tuple(r) for r in votes.collect()} == {(i, "y", 1, 0.01) for i in (0, 3, 6)}
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("hashpartitioning(s#") == 1
