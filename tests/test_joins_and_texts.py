@@ -219,3 +219,13 @@ def test_votes_move_each_shingle_once(spark):
     assert {tuple(r) for r in votes.collect()} == {(i, "y", 1, 0.01) for i in (0, 3, 6)}
     plan = votes._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("hashpartitioning(s#") == 1
+
+
+def test_cross_entity_pairs_are_all_pairs_of_a_day(spark, tmp_path):
+    from casework.plans.q_joins import cross_entity_pairs
+    from casework.sources.tables import Tables
+
+    rows = [(i, i % 7, "ab"[i % 2], f"1995-01-0{1 + i % 3}", 1.0) for i in range(90)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {(a, b, oa == ob) for a, ea, oa, da, _ in rows for b, eb, ob, db, _ in rows if a < b and da == db and ea != eb}
+    assert {tuple(r) for r in cross_entity_pairs(Tables(spark, str(tmp_path))).collect()} == want
