@@ -3,7 +3,11 @@ products of a neighbourhood, with everything that can be counted beforehand join
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby, islice
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,44 +49,56 @@ def rotate(current: DataFrame, repertoire: DataFrame, habits: DataFrame, refused
     the best placed of the same family and role that is neither in the plan nor refused nor used already for this plan; so line-mates, which share a role,
     keep sharing it. ``fate``: renewed, anchor, rare (fewer than ``least_n`` cases known), budget, or none (no substitute).
 
-    The order matters within a plan, so a plan is one group of a grouped function, with as many candidates as it can need: of a family and role
-    the products in the plan, those refused and those used together are fewer than twice the plan's size plus the refusals, so the best of one more than
-    that always hold the choice, and no more are joined."""
-    w = Window.partitionBy("family", "role").orderBy("place", "product")
-    ranked = repertoire.select("family", "role", "product", F.row_number().over(w).alias("nth"))
+    The order matters within a plan, so a plan's rows are read in order by one task, each with as many candidates as it can need: of a family and
+    role the products in the plan, those refused and those used together are fewer than twice the plan's size plus the refusals, so the best of one
+    more than that always hold the choice. They are listed once for each family and role, and a row takes the beginning of its list."""
     sizes = current.groupBy("query_id").agg(F.count("*").alias("size"))
-    turned_down = refused.select("query_id", "product").distinct()
-    no = turned_down.groupBy("query_id").agg(F.count("*").alias("no"))
-    need = sizes.join(no, "query_id", "left").select("query_id", (2 * F.col("size") + F.coalesce("no", F.lit(0)) + 1).alias("need"))
-    wanted = current.select("query_id", "family", "role").distinct().join(need, "query_id")
-    met = wanted.join(ranked, ["family", "role"]).filter(F.col("nth") <= F.col("need")).join(turned_down, ["query_id", "product"], "left_anti")
-    options = met.groupBy("query_id", "family", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "product"))), lambda x: x["product"]).alias("options"))
-    rows = current.join(habits.select("product", "persistence", "n", "anchor"), "product", "left").join(options, ["query_id", "family", "role"], "left")
+    turned_down = refused.filter("product IS NOT NULL").groupBy("query_id").agg(F.collect_set("product").alias("turned_down"))
+    plans = sizes.join(turned_down, "query_id", "left").withColumn("turned_down", F.coalesce("turned_down", F.array().cast(turned_down.schema["turned_down"].dataType)))
+    plans = plans.select("query_id", "turned_down", (2 * F.col("size") + F.size("turned_down") + 1).cast("int").alias("need"))
+    asked = current.join(plans.select("query_id", "need"), "query_id")
+    most = asked.groupBy("family", "role").agg(F.max("need").alias("most"))
+    w = Window.partitionBy("family", "role").orderBy("place", "product")
+    ranked = repertoire.select("family", "role", "product", F.row_number().over(w).alias("nth")).join(most, ["family", "role"]).filter("nth <= most")
+    listed = ranked.groupBy("family", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "product"))), lambda x: x["product"]).alias("listed"))
+    free = F.filter(F.slice("listed", F.lit(1), F.col("need")), lambda p: ~F.array_contains("turned_down", p))
+    known = habits.select("product", F.col("persistence").alias("kept"), F.col("n").alias("cases"), "anchor")
+    rows = current.join(known, "product", "left").join(plans, "query_id").join(listed, ["family", "role"], "left").select(
+        "query_id", "slot", "line_no", "product", "kind", F.coalesce(F.col("kept").cast("double"), F.lit(0.0)).alias("persistence"), (F.coalesce("cases", F.lit(0)) < least_n).alias("rare"), F.coalesce("anchor", F.lit(False)).alias("anchor"), free.alias("options")
+    )
+    last = [F.asc_nulls_last(c) for c in ("slot", "line_no", "product")]
+    dealt = rows.repartition("query_id").sortWithinPartitions("query_id", "persistence", *last)
     shares = dict(budgets)
 
-    def turn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(persistence=frame["persistence"].fillna(0.0), n=frame["n"].fillna(0)).sort_values(["persistence", "slot", "line_no", "product"])
-        left = {kind: round(share * (frame["kind"] == kind).sum()) for kind, share in shares.items()}
-        present, changes = set(frame["product"]), []
-        for row in frame.itertuples(index=False):
+    def turn(plan: list[tuple]) -> Iterator[tuple]:
+        kinds = [kind for _, _, _, _, kind, *_ in plan]
+        left = {kind: round(share * kinds.count(kind)) for kind, share in shares.items()}
+        present = {product for _, _, _, product, *_ in plan}
+        for query, slot, line_no, product, kind, _, rare, anchor, options in plan:
             new, fate = None, "none"
-            if row.anchor is True:
+            if anchor:
                 fate = "anchor"
-            elif row.n < least_n:
+            elif rare:
                 fate = "rare"
-            elif left.get(row.kind, 0) <= 0:
+            elif left.get(kind, 0) <= 0:
                 fate = "budget"
             else:
-                new = next((p for p in (row.options if row.options is not None else ()) if p not in present), None)
+                new = next((p for p in (options if options is not None else ()) if p not in present), None)
                 if new is not None:
                     fate = "renewed"
-                    left[row.kind] -= 1
+                    left[kind] -= 1
                     present.add(new)
-            changes.append((row.query_id, row.slot, row.line_no, row.product, new, fate))
-        out = pd.DataFrame(changes, columns=["query_id", "slot", "line_no", "old", "new", "fate"])
-        return out.assign(new=out["new"].astype("Int64"))
+            yield query, slot, line_no, product, new, fate
+
+    def plans_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        changed = (change for _, plan in groupby(read, key=lambda row: row[0]) for change in turn(list(plan)))
+        while part := list(islice(changed, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds_out, strict=True)], names_out)
 
-    return rows.groupBy("query_id").applyInPandas(turn, "query_id long, slot string, line_no int, old long, new long, fate string")
+    names_out = ["query_id", "slot", "line_no", "old", "new", "fate"]
+    kinds_out = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    return dealt.mapInArrow(plans_in_order, "query_id long, slot string, line_no int, old long, new long, fate string")
 
 
 def compound_partition(joined: DataFrame, *, share: float = 0.5, least: int = 1, alternatives: DataFrame | None = None) -> DataFrame:

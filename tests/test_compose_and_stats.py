@@ -156,3 +156,18 @@ def test_bootstrap_of_a_mean(spark):
     spread = 1.96 * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values) / len(values))
     assert got.n == 300 and got.mean == pytest.approx(mean)
     assert got.low == pytest.approx(mean - spread, abs=0.3 * spread) and got.high == pytest.approx(mean + spread, abs=0.3 * spread)
+
+
+def test_rotate_lists_candidates_once(spark):
+    """Candidates come from one list for each family and role, and no grouped function is started for each plan."""
+    from casework.operators import compose
+
+    current = spark.createDataFrame([(q, "s", n, n, "f", "r", "main") for q in range(5) for n in range(4)], "query_id long, slot string, line_no int, product long, family string, role string, kind string")
+    places = spark.range(400).selectExpr("id AS product", "'f' AS family", "'r' AS role", "id AS place")
+    habits = spark.range(400).selectExpr("id AS product", "id / 400 AS persistence", "5 AS n", "false AS anchor")
+    refused = spark.createDataFrame([(0, 4), (0, 5), (1, 4)], "query_id long, product long")
+    out = compose.rotate(current, places, habits, refused, budgets={"main": 0.5})
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    renewed = {(r.query_id, r.old): r.new for r in out.collect() if r.fate == "renewed"}
+    assert renewed == {(0, 0): 6, (0, 1): 7, (1, 0): 5, (1, 1): 6} | {(q, n): 4 + n for q in (2, 3, 4) for n in (0, 1)}
+    assert out.filter("fate = 'budget'").count() == 10
