@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from casework.operators import evaluate as E
 from casework.operators import retrieve as R
 
@@ -134,3 +136,18 @@ def test_slots_by_plain_loop(spark):
     said_df = spark.createDataFrame([(q, v, s, e) for (v, q, s), es in said.items() for e in es], "query_id int, variant string, slot string, element string")
     found = {(r.variant, r.slot): (r.n, r.present, r.jaccard) for r in E.per_slot(said_df, held_df).collect()}
     assert found == {("v", "am"): (2, 1.0, 0.25), ("v", "pm"): (1, 0.0, 0.0), ("w", "am"): (2, 0.0, 0.0), ("w", "pm"): (1, 1.0, 1.0)}
+
+
+def test_divided_bands_hold_the_same_best(spark, monkeypatch):
+    """With cells of few cases the bands are divided several times; what is retrieved stays that of all pairs."""
+    monkeypatch.setattr(R, "FULL", 2)
+    rng = random.Random(11)
+    facts = {e: (rng.choice(["a", "b"]), rng.choice(["x", None]), "r", rng.choice([None, -300.0, 0.0, round(rng.uniform(-999, 9999), 2)])) for e in range(300)}
+    cases = [(i, i % 300, rng.choice("op"), *facts[i % 300]) for i in range(1500)]
+    columns = "case_id long, entity_id long, objective string, segment string, nation string, region string, balance double"
+    candidates = spark.createDataFrame(cases, columns)
+    queries = candidates.filter("case_id % 25 = 0").select(F.col("case_id").alias("query_id"), *[F.col(c).alias("q_" + c) for c in ("entity_id", "objective", "segment", "nation", "region", "balance")])
+    found = R.attribute_pool(queries, candidates, 12)
+    pairs = queries.join(candidates, queries.q_entity_id != candidates.entity_id).select("query_id", "case_id", R.attribute_score().alias("score"))
+    want = R.best(pairs, ["query_id"], [F.desc("score"), F.asc("case_id")], 12)
+    assert sorted(map(tuple, found.select("query_id", "case_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
