@@ -107,3 +107,24 @@ def test_statistics(spark):
     assert (out.n, out.w_plus, out.w_minus) == (4, 8.0, 2.0)
     band = [stats.bootstrap_mean(rows.withColumn("k", F.col("y")), "y", "k", replicates=20, seed=1).first() for _ in range(2)]
     assert band[0] == band[1] and band[0].low <= band[0].mean <= band[0].high
+
+
+def test_vector_scores_hold_the_best_the_least_and_all_ties(spark):
+    import random
+
+    from casework.functions.columns import cosine
+    from casework.operators import retrieve as R
+
+    rng = random.Random(4)
+    vec = lambda: [float(rng.randrange(-2, 3)) for _ in range(3)]
+    odd = [(900, "a", None), (901, "a", [0.0, 0.0, 0.0]), (902, None, [1.0, 1.0, 0.0]), (903, "b", [1.0, None, 0.0]), (904, "b", [1.0, 2.0]), (None, "a", [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame([(i, rng.choice("ab"), vec()) for i in range(500)] + odd, "vec_id long, label string, embedding array<float>")
+    q = v.filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "label AS q_label", "embedding AS q_embedding")
+    every = q.join(v, q.query_id != v.vec_id).select("query_id", "vec_id", (F.col("label") == F.col("q_label")).alias("same"), F.round(cosine(F.col("embedding"), F.col("q_embedding")), 6).alias("cosine"))
+    found = R.vector_scores(q, v, 10)
+    assert found.count() < every.count()
+    for order in ([F.desc("cosine"), F.asc("vec_id")], [F.desc("same"), F.desc("cosine"), F.asc("vec_id")]):
+        one, other = (sorted(map(repr, R.best(x, ["query_id"], order, 10).collect())) for x in (found, every))
+        assert one == other
+    one, other = (sorted(map(repr, R.hybrid_topk(x, 10, 0.6).collect())) for x in (found, every))
+    assert one == other
