@@ -3,6 +3,7 @@ by running counts over the tokens of a line."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,10 @@ from pyspark.sql.window import Window
 
 from casework.functions.columns import fold_text
 from casework.functions.lexicon import CHOICES, TOGETHER, word_table
+from casework.sources.storage import written
+
+#: Lines that a task reads at most in the mean.
+LINES_PER_TASK = 20_000
 
 #: Tokens: a time of day, a simple fraction, a share, a number, a quarter sign, a word, a mark that separates.
 TOKEN = r"\d{1,2}:\d{2}(?!\d)|(?<![\d/])[1-9]/[2-9](?![\d/])|\d+(?:[.,]\d+)?%|\d+(?:[.,]\d+)?|[½¼¾]|\p{L}+(?:['’-]\p{L}+)*|[/+,:–-]"
@@ -32,7 +37,10 @@ def _number(token: Column) -> Column:
 def _tokens(lines: DataFrame, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each token of each line: pos, tok, folded, roles, value (of a number), unit. Equal rows of the table are lines of
     their own, told apart by a number."""
-    copies = lines.filter(F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("line_id"), F.col(text_col).alias("line")).agg(F.count("*").cast("int").alias("n"))
+    # Lines are counted and dealt before they become tokens: the tables of a task and all its sorts then fit its memory, whatever the number of lines.
+    lines = written(lines.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), F.col(text_col).alias("line")))
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() / LINES_PER_TASK))
+    copies = lines.repartition(tasks, "line_id", "line").groupBy("line_id", "line").agg(F.count("*").cast("int").alias("n"))
     rows = copies.select("line_id", "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
     # What stands in brackets behind an amount is what it is an amount of; any other bracket is a note.
     opened = F.regexp_replace("line", r"(\d\s*\p{L}+\s*)\(([^()]*)\)", "$1$2")

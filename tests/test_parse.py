@@ -110,3 +110,14 @@ def test_words_are_an_argument(spark):
 def test_empty(spark, step):
     rows = spark.createDataFrame([], "line_id long, line string")
     assert step(parse_components(rows)).count() == 0
+
+
+def test_lines_are_dealt_by_their_number(spark, monkeypatch):
+    from casework.operators import parse
+
+    monkeypatch.setattr(parse, "LINES_PER_TASK", 5)
+    lines = spark.range(200).selectExpr("id AS line_id", "'10 g arroz' AS line")
+    found = parse.parse_components(lines)
+    assert "hashpartitioning(line_id" in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert ", 40), REPARTITION_BY_NUM" in plan
+    assert found.count() == 200
