@@ -20,10 +20,10 @@ ORDER = 3
 STEPS = np.unique(np.concatenate([[1, 2, 3]] + [[1 << k, 3 << (k - 1)] for k in range(2, 62)])).astype(np.int64)
 #: What a level stands for: the middle of its counts; level 0 is no entry.
 MEANS = np.concatenate([[0.0], (STEPS + np.concatenate((STEPS[1:] - 1, STEPS[-1:]))) / 2])
-#: Pair and triple counts begin at 2: one that occurs once says no more than its parts do.
-LEAST = {1: 1, 2: 2, 3: 2}
+#: The least count that is entered, by order: what occurs once is part of the model too.
+LEAST = {1: 1, 2: 1, 3: 1}
 CHARS = 1 << 22  # of text that a task counts or scores at a time
-BUCKET_CHARS = 1 << 23  # of text for each bucket of keys
+BUCKET_CHARS = 1 << 22  # of text for each bucket of keys
 FREQUENT = 1 << 18
 _START, _END = mixed(np.array([1 << 50, 1 << 51], np.uint64))
 #: Prior weights of the shorter history that are tried for pairs and triples.
@@ -68,6 +68,16 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Keys in order as their differences, byte plane by byte plane: the planes that hold zeros take next to nothing once compressed."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The keys that were packed."""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _spots(keys: np.ndarray, levels: np.ndarray | int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The word of its region that a key has at a level, and the four bits there."""
     x = mixed(keys + np.asarray(levels).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -114,34 +124,27 @@ class Part:
         return out
 
 
-def _counted(docs: DataFrame, buckets: int, orders: tuple[int, ...], pairs: list[Broadcast] | None = None) -> DataFrame:
-    """The n-grams of all texts with their counts: (order, bucket, keys, counts), packed as sorted arrays.
+def _counted(docs: DataFrame, buckets: int, orders: tuple[int, ...]) -> DataFrame:
+    """The n-grams of all texts with their counts: (order, bucket, keys, counts), as sorted arrays, the keys packed.
 
-    Counts are combined over some megabytes of text in the task before anything is shuffled, and again by bucket. A triple is left
-    out at once when one of its two pairs has no entry in ``pairs``, for then it cannot occur twice."""
+    Counts are combined over some megabytes of text in the task before anything is shuffled, and again by bucket."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [p.value for p in pairs or []]
         edges = np.arange(buckets + 1)
         for batch in batches:
             texts = batch["text"].tolist()
             for low, high in chunks(texts, CHARS):
                 tokens = Tokens.of(texts[low:high])
                 for order in orders:
-                    ends = tokens.whole(order)
-                    for part in parts:
-                        here = bucket_of(tokens.keys[2], buckets)
-                        absent = (here >= part.low) & (here < part.low + len(part.bits) // part.words) & (part.levels(tokens.keys[2]) == 0)
-                        ends &= ~(absent | np.concatenate(([False], absent[:-1])))
-                    keys, counts = np.unique(tokens.keys[order][ends], return_counts=True)
+                    keys, counts = np.unique(tokens.keys[order][tokens.whole(order)], return_counts=True)
                     cuts = np.searchsorted(bucket_of(keys, buckets), edges)
                     full = np.flatnonzero(np.diff(cuts))
-                    rows = [(keys[cuts[b] : cuts[b + 1]].tobytes(), counts[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes()) for b in full]
+                    rows = [(packed(keys[cuts[b] : cuts[b + 1]]), counts[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes()) for b in full]
                     yield pd.DataFrame({"order": order, "bucket": full, "keys": [k for k, _ in rows], "counts": [c for _, c in rows]})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         order, bucket = (int(group[c].iloc[0]) for c in ("order", "bucket"))
-        keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
+        keys = np.concatenate([unpacked(k) for k in group["keys"]])
         counts = np.frombuffer(b"".join(group["counts"]), np.uint32).astype(np.int64)
         by = np.argsort(keys, kind="stable")
         firsts = np.flatnonzero(np.concatenate(([True], keys[by][1:] != keys[by][:-1])))
@@ -149,11 +152,11 @@ def _counted(docs: DataFrame, buckets: int, orders: tuple[int, ...], pairs: list
         total, stay = int(counts.sum()), counts >= LEAST[order]
         keys, counts = keys[stay], counts[stay]
         entries = int((np.searchsorted(STEPS, counts, side="right") - np.searchsorted(STEPS, LEAST[order], side="right") + 1).sum())
-        row = {"order": order, "bucket": bucket, "keys": keys.tobytes(), "counts": counts.tobytes(), "n_keys": len(keys), "total": total, "entries": entries}
+        row = {"order": order, "bucket": bucket, "keys": packed(keys), "counts": counts.tobytes(), "n_keys": len(keys), "total": total, "entries": entries}
         return pd.DataFrame([row])
 
-    packed = docs.mapInPandas(count, "order int, bucket int, keys binary, counts binary")
-    return packed.groupBy("order", "bucket").applyInPandas(merge, "order int, bucket int, keys binary, counts binary, n_keys long, total long, entries long")
+    some = docs.mapInPandas(count, "order int, bucket int, keys binary, counts binary")
+    return some.groupBy("order", "bucket").applyInPandas(merge, "order int, bucket int, keys binary, counts binary, n_keys long, total long, entries long")
 
 
 def _parts(counted: DataFrame, order: int, buckets: int, bits_per_entry: int, most_bytes: int) -> Iterator[tuple[Broadcast, int]]:
@@ -166,7 +169,7 @@ def _parts(counted: DataFrame, order: int, buckets: int, bits_per_entry: int, mo
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [
-                region(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64), order, words).tobytes()
+                region(unpacked(k), np.frombuffer(c, np.int64), order, words).tobytes()
                 for k, c in zip(batch["keys"], batch["counts"], strict=True)
             ]
             yield pd.DataFrame({"bucket": batch["bucket"], "bits": made})
@@ -319,7 +322,7 @@ def lm_scores(
     """One row per document: doc_id, held_out (not ``learn``), n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words (see WORD; A-Z lower-cased) and one end. All words, pairs and triples of the texts where ``learn`` holds are
-    counted; pairs and triples count from two occurrences on. Counts are quantised to levels and entered into a Bloom filter,
+    counted, those that occur once too. Counts are quantised to levels and entered into a Bloom filter,
     a key once for each level up to its own, so that asking level by level until one misses gives its count; the filter never
     says too little. ``score`` is the log10 probability of the text: relative counts of triples, smoothed with those of
     pairs, those with those of words (see Model.logs); the two prior weights are those, of a fixed grid, under which
@@ -346,13 +349,10 @@ def lm_scores(
     documents, chars = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(16, -(-chars // BUCKET_CHARS))  # what a task merges of one bucket does not grow with the data
 
-    counted = stored(_counted(train.select("text"), buckets, (1, 2)))
+    # Triples apart, so that a task never holds, and the steps after never read, more than they need.
+    counted, triples = (stored(_counted(train.select("text"), buckets, orders)) for orders in ((1, 2), (3,)))
     at_once = max(1, most_bytes // 8)
-    singles, pairs = (list(_parts(counted, order, buckets, bits_per_entry, at_once)) for order in (1, 2))
-    # The first group is enough: pairs it cannot answer for leave their triples in, to be counted like the others.
-    triples = _counted(train.select("text"), buckets, (3,), _groups(pairs, most_bytes)[0])
-    threes = list(_parts(stored(triples), 3, buckets, bits_per_entry, at_once))
-    groups = _groups([*singles, *pairs, *threes], most_bytes)
+    groups = _groups([part for order in range(1, ORDER + 1) for part in _parts(triples if order == 3 else counted, order, buckets, bits_per_entry, at_once)], most_bytes)
 
     words = stored(counted.filter("order = 1").select("keys", "counts").mapInPandas(_unpacked, "key long, n long"))
     different, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -397,4 +397,4 @@ def lm_scores(
 def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
-            yield pd.DataFrame({"key": np.frombuffer(keys, np.int64), "n": np.frombuffer(counts, np.int64)})
+            yield pd.DataFrame({"key": unpacked(keys).view(np.int64), "n": np.frombuffer(counts, np.int64)})

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casework.llm.language_model import LEAST, MEANS, PRIORS, STEPS, Part, lm_scores, region
+from casework.llm.language_model import LEAST, MEANS, PRIORS, STEPS, Part, lm_scores, packed, region, unpacked
 from casework.llm.lexical_search import lexical_search
 from casework.llm.spelling import near_words, spelling_variants
 
@@ -199,6 +199,18 @@ def test_lm_scores(spark):
     assert {i: round(r.score, 9) for i, r in parted.items()} == {i: round(r.score, 9) for i, r in got.items()}
 
 
+def test_what_occurs_once_is_learned(spark):
+    """Pairs and triples of one occurrence are in the model: a learned order of words is likelier than another one."""
+    docs = [(i, f"u{i} v{i} w{i} x{i}") for i in range(40)] + [(100, "u3 v3 w3 x3"), (101, "x3 v3 u3 w3")]
+    got = {r.doc_id: r.score for r in lm_scores(docs_of(spark, docs), learn=F.col("doc_id") < 40, tune=F.col("doc_id") < 10).collect()}
+    assert got[100] > got[101] + 0.5
+
+
+def test_packed_keys():
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64))
+    assert (unpacked(packed(keys)) == keys).all() and unpacked(packed(keys[:0])).tolist() == []
+
+
 def test_lm_scores_of_odd_rows(spark):
     options = {"learn": F.col("doc_id") % 2 == 0, "tune": F.col("doc_id") % 4 == 0}
     got = lm_scores(docs_of(spark, ODD), **options).collect()
