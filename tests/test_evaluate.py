@@ -151,3 +151,16 @@ def test_divided_bands_hold_the_same_best(spark, monkeypatch):
     pairs = queries.join(candidates, queries.q_entity_id != candidates.entity_id).select("query_id", "case_id", R.attribute_score().alias("score"))
     want = R.best(pairs, ["query_id"], [F.desc("score"), F.asc("case_id")], 12)
     assert sorted(map(tuple, found.select("query_id", "case_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_equal_cases_meet_a_query_no_oftener_than_it_needs(spark):
+    """Cases of equal traits and balance tie for every query: the first by id are kept before the join, own cases beside them."""
+    rows = [(i, i % 400 if i % 2 else 7, "o", "s", "n", "r", 100.0 if i % 3 else None) for i in range(3000)]
+    candidates = spark.createDataFrame(rows, "case_id long, entity_id long, objective string, segment string, nation string, region string, balance double")
+    queries = candidates.filter("case_id IN (0, 1, 4, 2999)").select(F.col("case_id").alias("query_id"), F.col("entity_id").alias("q_entity_id"), *[F.col(c).alias("q_" + c) for c in (*R.TRAITS, "balance")])
+    found = R.attribute_pool(queries, candidates, 12)
+    pairs = queries.join(candidates, queries.q_entity_id != candidates.entity_id).select("query_id", "case_id", R.attribute_score().alias("score"))
+    want = R.best(pairs, ["query_id"], [F.desc("score"), F.asc("case_id")], 12)
+    assert sorted(map(tuple, found.select("query_id", "case_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "nth" in plan
