@@ -1,14 +1,12 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts."""
+"""Language-model scores from log-frequency Bloom filters of quantised n-gram counts, one for each bucket of n-grams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,10 @@ MEANS = np.concatenate([[0.0], (STEPS + np.concatenate((STEPS[1:] - 1, STEPS[-1:
 LEAST = {1: 1, 2: 1, 3: 1}
 CHARS = 1 << 22  # of text that a task counts or scores at a time
 BUCKET_CHARS = 1 << 22  # of text for each bucket of keys
-FREQUENT = 1 << 18
+#: The bits of a key that tell n-grams apart, by order: the 48 highest of pairs and triples, which move in three quarters of the bytes.
+KEPT = {1: np.uint64(2**64 - 1), 2: np.uint64(2**64 - 2**16), 3: np.uint64(2**64 - 2**16)}
+#: Marks of a text in its chunk.
+HELD_OUT, TUNE, NO_ID = 1, 2, 4
 _START, _END = mixed(np.array([1 << 50, 1 << 51], np.uint64))
 #: Prior weights of the shorter history that are tried for pairs and triples.
 PRIORS = [(float(a), float(b)) for a in (1, 10, 100, 1000, 10_000, 100_000) for b in (1, 10, 100, 1000)]
@@ -62,6 +63,11 @@ class Tokens:
             ends[self.starts + k] = False
         return ends
 
+    def different(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places at which n-grams of that order end, their different keys in order, and which of these each place has."""
+        ends = np.flatnonzero(self.whole(order))
+        return ends, *np.unique(self.keys[order][ends] & KEPT[order], return_inverse=True)
+
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Keys in order fall into buckets in order."""
@@ -124,85 +130,138 @@ class Part:
         return out
 
 
-def _counted(docs: DataFrame, buckets: int, orders: tuple[int, ...]) -> DataFrame:
-    """The n-grams of all texts with their counts: (order, bucket, keys, counts), as sorted arrays, the keys packed.
+def _chunked(rows: DataFrame) -> DataFrame:
+    """The texts some megabytes in a row: (marks, ids, texts, bytes, learned), the latter two how much text that is and how many
+    of its texts are learned from."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks: list[int] = []
+        ids: list[int] = []
+        texts: list[str] = []
 
-    Counts are combined over some megabytes of text in the task before anything is shuffled, and again by bucket."""
+        def full() -> pd.DataFrame:
+            learned = sum(not m & HELD_OUT for m in marks)
+            out = pd.DataFrame({"marks": [marks[:]], "ids": [ids[:]], "texts": [texts[:]], "bytes": [held], "learned": [learned]})
+            for part in (marks, ids, texts):
+                part.clear()
+            return out
+
+        held = 0
+        for batch in batches:
+            for mark, own, text, size in zip(batch["mark"], batch["id"], batch["text"], batch["bytes"], strict=True):
+                marks.append(mark)
+                ids.append(own)
+                texts.append(text)
+                held += size
+                if held >= CHARS:
+                    yield full()
+                    held = 0
+        if texts:
+            yield full()
+
+    mark = F.when(F.col("held_out"), HELD_OUT).otherwise(0) + F.when(F.col("tune"), TUNE).otherwise(0) + F.when(F.col("doc_id").isNull(), NO_ID).otherwise(0)
+    known = rows.select(mark.alias("mark"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text", F.octet_length("text").cast("long").alias("bytes"))
+    return known.mapInPandas(gather, "marks array<int>, ids array<long>, texts array<string>, bytes long, learned long")
+
+
+def _asked(chunked: DataFrame, buckets: int) -> DataFrame:
+    """The different n-grams of each chunk by bucket: (chunk, order, bucket, keys, counts), the keys packed in order, with how often
+    each occurs in what is learned from; 0 where it is only asked for."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = np.arange(buckets + 1)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for low, high in chunks(texts, CHARS):
-                tokens = Tokens.of(texts[low:high])
-                for order in orders:
-                    keys, counts = np.unique(tokens.keys[order][tokens.whole(order)], return_counts=True)
+            for chunk, marks, texts in zip(batch["chunk"], batch["marks"], batch["texts"], strict=True):
+                tokens = Tokens.of(list(texts))
+                learned = np.repeat(np.asarray(marks) & HELD_OUT == 0, tokens.counts)
+                for order in range(1, ORDER + 1):
+                    ends, keys, which = tokens.different(order)
+                    counts = np.bincount(which, weights=learned[ends], minlength=len(keys)).astype(np.uint32)
                     cuts = np.searchsorted(bucket_of(keys, buckets), edges)
                     full = np.flatnonzero(np.diff(cuts))
-                    rows = [(packed(keys[cuts[b] : cuts[b + 1]]), counts[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes()) for b in full]
-                    yield pd.DataFrame({"order": order, "bucket": full, "keys": [k for k, _ in rows], "counts": [c for _, c in rows]})
+                    rows = [(packed(keys[cuts[b] : cuts[b + 1]]), counts[cuts[b] : cuts[b + 1]].tobytes()) for b in full]
+                    yield pd.DataFrame({"chunk": chunk, "order": order, "bucket": full, "keys": [k for k, _ in rows], "counts": [c for _, c in rows]})
+
+    return chunked.select("chunk", "marks", "texts").mapInPandas(count, "chunk long, order int, bucket int, keys binary, counts binary")
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
+
+def _answered(asked: DataFrame, buckets: int, bits_per_entry: int, most_bytes: int) -> DataFrame:
+    """What is asked, in the order of the keys: (chunk, order, bucket, found, total, different). ``found`` holds the counts of words and the
+    levels of pairs and triples; total and different, how many occurrences and different n-grams are learned, stand in
+    one row of each bucket. A bucket's filter has as many bits as its entries need, and lives only in the task that has the bucket."""
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
         order, bucket = (int(group[c].iloc[0]) for c in ("order", "bucket"))
-        keys = np.concatenate([unpacked(k) for k in group["keys"]])
+        pieces = [unpacked(k) for k in group["keys"]]
+        stops = np.cumsum([len(p) for p in pieces])
+        flat = np.concatenate(pieces)
         counts = np.frombuffer(b"".join(group["counts"]), np.uint32).astype(np.int64)
-        by = np.argsort(keys, kind="stable")
-        firsts = np.flatnonzero(np.concatenate(([True], keys[by][1:] != keys[by][:-1])))
-        keys, counts = keys[by][firsts], np.add.reduceat(counts[by], firsts)
-        total, stay = int(counts.sum()), counts >= LEAST[order]
-        keys, counts = keys[stay], counts[stay]
-        entries = int((np.searchsorted(STEPS, counts, side="right") - np.searchsorted(STEPS, LEAST[order], side="right") + 1).sum())
-        row = {"order": order, "bucket": bucket, "keys": packed(keys), "counts": counts.tobytes(), "n_keys": len(keys), "total": total, "entries": entries}
-        return pd.DataFrame([row])
-
-    some = docs.mapInPandas(count, "order int, bucket int, keys binary, counts binary")
-    return some.groupBy("order", "bucket").applyInPandas(merge, "order int, bucket int, keys binary, counts binary, n_keys long, total long, entries long")
-
-
-def _parts(counted: DataFrame, order: int, buckets: int, bits_per_entry: int, most_bytes: int) -> Iterator[tuple[Broadcast, int]]:
-    """The filter of the n-grams of one order, sent to the workers in parts of at most ``most_bytes``, with their sizes. A part
-    is on the driver only until it is sent."""
-    own = counted.filter(F.col("order") == order)
-    words = max(1, -(-int(own.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]) * bits_per_entry // (64 * buckets)))
-    each = max(1, most_bytes // (8 * words))
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by = np.argsort(flat, kind="stable")
+        new = np.concatenate(([True], flat[by][1:] != flat[by][:-1]))
+        keys, sums = flat[by][new], np.add.reduceat(counts[by], np.flatnonzero(new))
+        learned = sums >= LEAST[order]
+        if order == 1:
+            found = np.empty(len(flat), np.int64)
+            found[by] = sums[np.cumsum(new) - 1]
+        else:
+            keys, own = keys[learned], sums[learned]
+            first = np.searchsorted(STEPS, LEAST[order], side="right")
+            entries = int((np.searchsorted(STEPS, own, side="right") - first + 1).sum())
+            words = max(1, -(-entries * bits_per_entry // 64))
+            part = Part(order, buckets, bucket, words, region(keys, own, order, words))
+            step = max(1, most_bytes // 8)
+            found = np.concatenate([part.levels(flat[low : low + step]) for low in range(0, len(flat), step)])
+        out = pd.DataFrame({"chunk": group["chunk"], "order": order, "bucket": bucket, "found": [x.tobytes() for x in np.split(found, stops[:-1])], "total": 0, "different": 0})
+        out.iloc[0, [4, 5]] = int(sums[learned].sum()), int(learned.sum())
+        return out
+
+    return asked.groupBy("order", "bucket").applyInPandas(answer, "chunk long, order int, bucket int, found binary, total long, different long")
+
+
+def _levelled(chunked: DataFrame, answers: DataFrame, mass: float) -> DataFrame:
+    """A row for each text: id, no_id (it is null), held_out, tune, n_tokens, n_known, base_score, and the levels of the n-grams that end at each
+    of its places, order by order, 0 where none does."""
+
+    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [
-                region(unpacked(k), np.frombuffer(c, np.int64), order, words).tobytes()
-                for k, c in zip(batch["keys"], batch["counts"], strict=True)
-            ]
-            yield pd.DataFrame({"bucket": batch["bucket"], "bits": made})
-
-    for low in range(0, buckets, each):
-        high = min(buckets, low + each)
-        bits = np.zeros((high - low) * words, np.uint64)
-        for row in own.filter(F.col("bucket").between(low, high - 1)).select("bucket", "keys", "counts").mapInPandas(build, "bucket int, bits binary").collect():
-            at = (row["bucket"] - low) * words
-            bits[at : at + words] = np.frombuffer(row["bits"], np.uint64)
-        yield counted.sparkSession.sparkContext.broadcast(Part(order, buckets, low, words, bits)), bits.nbytes
-
-
-def _groups(parts: list[tuple[Broadcast, int]], most_bytes: int) -> list[list[Broadcast]]:
-    """Parts that a worker loads together: never more than ``most_bytes``, but for a single part."""
-    groups: list[list[Broadcast]] = []
-    held = 0
-    for part, size in parts:
-        if not groups or held + size > most_bytes:
-            groups.append([])
-            held = 0
-        groups[-1].append(part)
-        held += size
-    return groups
-
-
-def _levels(tokens: Tokens, parts: list[Part]) -> np.ndarray:
-    """A row for each order: the level of the n-gram that ends at each place, 0 where none does."""
-    out = np.zeros((ORDER, len(tokens.keys[1])), np.uint8)
-    for part in parts:
-        ends = np.flatnonzero(tokens.whole(part.order))
-        out[part.order - 1][ends] += part.levels(tokens.keys[part.order][ends])
-    return out
+            for marks, ids, texts, found in zip(batch["marks"], batch["ids"], batch["texts"], batch["found"], strict=True):
+                tokens = Tokens.of(list(texts))
+                data, at = b"".join(found), 0
+                counts = np.zeros(len(tokens.keys[1]), np.int64)
+                levels = np.zeros((ORDER, len(counts)), np.uint8)
+                for order in range(1, ORDER + 1):
+                    ends, keys, which = tokens.different(order)
+                    own = np.frombuffer(data, np.int64 if order == 1 else np.uint8, len(keys), at)
+                    at += own.nbytes
+                    if order == 1:
+                        counts[ends] = own[which]
+                        own = np.searchsorted(STEPS, own, side="right").astype(np.uint8)
+                    levels[order - 1][ends] = own[which]
+                base = np.log10((counts + 0.1) / mass)
+                base[tokens.starts] = 0
+                marks = np.asarray(marks)
+                stops = tokens.starts + tokens.counts
+                yield pd.DataFrame({
+                    "id": ids, "no_id": marks & NO_ID > 0, "held_out": marks & HELD_OUT > 0, "tune": marks & TUNE > 0, "n_tokens": tokens.counts - 1,
+                    "n_known": np.add.reduceat((counts > 0).astype(np.int64), tokens.starts), "base_score": np.add.reduceat(base, tokens.starts),
+                    "levels": [levels[:, a:b].tobytes() for a, b in zip(tokens.starts, stops, strict=True)],
+                })
+
+    found = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("order", "bucket", "found"))).alias("found"))
+    together = chunked.hint("merge").join(found.withColumn("found", F.col("found.found")), "chunk")
+    return together.select("marks", "ids", "texts", "found").mapInPandas(
+        level, "id long, no_id boolean, held_out boolean, tune boolean, n_tokens long, n_known long, base_score double, levels binary"
+    )
+
+
+def _by_texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(rows, levels, starts) of some texts at a time."""
+    for batch in batches:
+        for low, high in chunks(batch["levels"].tolist(), ORDER * CHARS // 8):
+            rows = batch.iloc[low:high]
+            each = [np.frombuffer(x, np.uint8).reshape(ORDER, -1) for x in rows["levels"]]
+            stops = np.cumsum([x.shape[1] for x in each])
+            yield rows, np.concatenate(each, axis=1), np.concatenate(([0], stops[:-1]))
 
 
 @dataclass(frozen=True)
@@ -237,85 +296,26 @@ class Model:
             yield np.log10(p)
 
 
-def _tuned(model: Model, docs: DataFrame, groups: list[list[Broadcast]]) -> Model:
-    """The model with the prior weights under which these texts, each taken out of the counts, are likeliest."""
+def _tuned(model: Model, texts: DataFrame) -> Model:
+    """The model with the prior weights under which these texts, each taken out of the counts, are likeliest; texts: (levels)."""
 
-    def sums(rows: Iterator[tuple[pd.DataFrame, np.ndarray, Tokens]]) -> Iterator[pd.DataFrame]:
-        for _, levels, tokens in rows:
-            found = [float(x.sum()) for x in model.logs(levels, tokens.starts, PRIORS, own=1)]
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, levels, starts in _by_texts(batches):
+            found = [float(x.sum()) for x in model.logs(levels, starts, PRIORS, own=1)]
             yield pd.DataFrame({"prior": range(len(found)), "log": found})
 
-    likely = {r["prior"]: r["log"] for r in _with_levels(docs, groups, sums, "prior int, log double").groupBy("prior").agg(F.sum("log").alias("log")).collect()}
+    likely = {r["prior"]: r["log"] for r in texts.mapInPandas(sums, "prior int, log double").groupBy("prior").agg(F.sum("log").alias("log")).collect()}
     best = max(range(len(PRIORS)), key=lambda i: (likely.get(i, 0.0), -i))
     return Model(model.tokens, model.different, model.documents, PRIORS[best])
 
 
-def _with_levels(docs: DataFrame, groups: list[list[Broadcast]], then, schema: str) -> DataFrame:
-    """``then`` over (rows, levels, tokens) of some texts at a time; docs: (doc_id, held_out, text).
-
-    One group of filter parts is asked in the same pass. Of more, each has a pass of its own, in
-    which levels are stored by row; they are added up, as only one part can hold a key, and ``then`` follows."""
-
-    def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for low, high in chunks(batch["text"].tolist(), CHARS):
-                yield batch.iloc[low:high]
-
-    def asked(batches: Iterator[pd.DataFrame], group: list[Broadcast]) -> Iterator[tuple[pd.DataFrame, np.ndarray, Tokens]]:
-        parts = [p.value for p in group]
-        for rows in texts_of(batches):
-            tokens = Tokens.of(rows["text"].tolist())
-            yield rows, _levels(tokens, parts), tokens
-
-    if len(groups) == 1:
-        return docs.mapInPandas(lambda batches: then(asked(batches, groups[0])), schema)
-
-    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()))
-
-    def levels_of(group: list[Broadcast]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows, levels, tokens in asked(batches, group):
-                stops = np.cumsum(tokens.counts)
-                yield pd.DataFrame({"row": rows["row"], "levels": [levels[:, a:b].tobytes() for a, b in zip(stops - tokens.counts, stops, strict=True)]})
-
-        return run
-
-    passes = [stored(numbered.mapInPandas(levels_of(g), "row long, levels binary")) for g in groups]
-    together = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.collect_list("levels").alias("levels"))  # one entry for each group of parts
-
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, Tokens]]:
-        for rows in texts_of(batches):
-            tokens = Tokens.of(rows["text"].tolist())
-            each = [sum(np.frombuffer(x, np.uint8) for x in held).astype(np.uint8).reshape(ORDER, -1) for held in rows["levels"]]
-            yield rows, np.concatenate(each, axis=1), tokens
-
-    return numbered.join(together.hint("merge"), "row").mapInPandas(lambda batches: then(added(batches)), schema)
-
-
-def _frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words (key, n), at most FREQUENT of them, in the order of their keys."""
-    by_size = words.groupBy(F.floor(F.log2("n") * 8).alias("size")).count().collect()
-    cut, held = None, 0
-    for row in sorted(by_size, key=lambda r: -r["size"]):
-        held += row["count"]
-        if held > FREQUENT:
-            break
-        cut = row["size"]
-    if cut is None:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    rows = words.filter(F.floor(F.log2("n") * 8) >= cut).toPandas()
-    keys = rows["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows["n"].to_numpy(np.float64)[order]
-
-
 def lm_scores(
     docs: DataFrame,
     learn: Column,
     tune: Column,
     *,
     bits_per_entry: int = 12,
-    most_bytes: int = 1 << 27,
+    most_bytes: int = 1 << 24,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -327,12 +327,13 @@ def lm_scores(
     says too little. ``score`` is the log10 probability of the text: relative counts of triples, smoothed with those of
     pairs, those with those of words (see Model.logs); the two prior weights are those, of a fixed grid, under which
     the texts where ``tune`` holds are likeliest when each is taken out of the counts. As counts are quantised the
-    probabilities of all words after a history do not add up to exactly one. ``base_score`` uses words only, with exact counts:
-    frequent words by a table of at most 2**18, the others by a join on their hash.
+    probabilities of all words after a history do not add up to exactly one. Words are counted exactly, for ``base_score`` and for ``score``.
 
-    The filter of each order is a row of regions, one for each bucket of keys, with as many bits as its entries need, so that
-    chance hits stay as rare (about one in a hundred) however many n-grams there are. At most ``most_bytes`` are broadcast
-    at a time; a larger filter goes round in parts, with the same scores. Words are told apart by 64-bit hashes.
+    Texts go in chunks of some megabytes. The different n-grams of a chunk are dealt to buckets of keys, as many as the text asks for,
+    whether they are learned or only asked for; a bucket adds up the counts, fills its own filter, with so many bits for each entry that chance
+    hits stay as rare (about one in a hundred) however many n-grams there are, and sends each chunk the levels in the order in
+    which it asked. So each n-gram of a chunk moves once and its level back, no task holds more than one bucket or chunk, and nothing but
+    sums reaches the driver. ``most_bytes`` of keys are asked at a time. Words are told apart by 64-bit hashes, pairs and triples by 48 bits.
 
     Defined results: a null text counts as empty, an empty text is one end; where ``learn`` or ``tune`` is null it is
     false; rows that repeat an id are scored each; without any training text every score is 0; an empty
@@ -344,57 +345,21 @@ def lm_scores(
         F.coalesce(tune, F.lit(False)).alias("tune"),
         plain_text(text_col).alias("text"),
     )
-    spark = docs.sparkSession
-    train = rows.filter(~F.col("held_out"))
-    documents, chars = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = max(16, -(-chars // BUCKET_CHARS))  # what a task merges of one bucket does not grow with the data
-
-    # Triples apart, so that a task never holds, and the steps after never read, more than they need.
-    counted, triples = (stored(_counted(train.select("text"), buckets, orders)) for orders in ((1, 2), (3,)))
-    at_once = max(1, most_bytes // 8)
-    groups = _groups([part for order in range(1, ORDER + 1) for part in _parts(triples if order == 3 else counted, order, buckets, bits_per_entry, at_once)], most_bytes)
-
-    words = stored(counted.filter("order = 1").select("keys", "counts").mapInPandas(_unpacked, "key long, n long"))
-    different, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = rows.select("doc_id", "held_out", "text")
-    model = _tuned(Model(tokens, different, documents), rows.filter("tune AND NOT held_out").select("doc_id", "held_out", "text"), groups)
-    frequent = spark.sparkContext.broadcast(_frequent(words))
-    mass = model.mass
-
-    def score(parts: Iterator[tuple[pd.DataFrame, np.ndarray, Tokens]]) -> Iterator[pd.DataFrame]:
-        keys, n = frequent.value
-        for rows, levels, tokens in parts:
-            total = np.add.reduceat(next(model.logs(levels, tokens.starts, [model.priors])), tokens.starts)
-            flat = tokens.keys[1]
-            at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
-            known = (keys[at] == flat) if len(keys) else np.zeros(len(flat), bool)
-            base = np.zeros(len(flat))
-            base[known] = np.log10((n[at[known]] + 0.1) / mass)
-            rare = ~known
-            rare[tokens.starts] = False
-            stops = tokens.starts + tokens.counts
-            yield pd.DataFrame({
-                "doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"], "n_tokens": tokens.counts - 1,
-                "n_known": np.add.reduceat(known.astype(np.int64), tokens.starts), "base": np.add.reduceat(base, tokens.starts), "score": total,
-                "rare": [flat[a:b][rare[a:b]].view(np.int64) for a, b in zip(tokens.starts, stops, strict=True)],
-            })
-
-    scored = _with_levels(texts, groups, score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("key")).join(words.hint("merge"), "key", "left")
-    more = rare.groupBy("row").agg(F.count("n").alias("more_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(mass))).alias("more"))
-    return scored.join(more.hint("merge"), "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
-
-
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
-            yield pd.DataFrame({"key": unpacked(keys).view(np.int64), "n": np.frombuffer(counts, np.int64)})
+    # Numbers are given once, as the rows are written, and read back as data: no two chunks share one.
+    chunked = stored(_chunked(rows).withColumn("chunk", F.monotonically_increasing_id()))
+    size, documents = chunked.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "learned")]).first()
+    buckets = max(16, -(-size // BUCKET_CHARS))  # what a task merges of one bucket does not grow with the data
+    answers = stored(_answered(_asked(chunked, buckets), buckets, bits_per_entry, most_bytes))
+    tokens, different = answers.filter("order = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "different")]).first()
+
+    known = Model(tokens, different, documents)
+    found = stored(_levelled(chunked, answers.select("chunk", "order", "bucket", "found"), known.mass))
+    model = _tuned(known, found.filter("tune AND NOT held_out").select("levels"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, levels, starts in _by_texts(batches):
+            total = np.add.reduceat(next(model.logs(levels, starts, [model.priors])), starts)
+            yield part.drop(columns="levels").assign(train_tokens=tokens, score=total)
+
+    scores = found.drop("tune").mapInPandas(score, "id long, no_id boolean, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scores.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -217,3 +217,16 @@ def test_lm_scores_of_odd_rows(spark):
     assert len(got) == len(ODD) and all(r.held_out for r in got if r.doc_id is None) and all(r.score <= 0 for r in got)
     assert {(r.score, r.base_score, r.train_tokens) for r in lm_scores(docs_of(spark, ODD), learn=F.lit(False), tune=F.lit(True)).collect()} == {(0.0, 0.0, 0)}
     assert lm_scores(docs_of(spark, []), **options).count() == 0
+
+
+def test_lm_scores_keep_the_model_off_the_driver(spark, monkeypatch):
+    """Counts are asked for where they are added up: nothing is broadcast, however much is learned. Ids stay whole beside null ones."""
+
+    def refuse(*args):
+        raise AssertionError("the model went through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    docs = [(2**62 + i, f"u{i % 7} v{i % 5} w{i}") for i in range(60)] + [(None, "u1 v1 w1")]
+    options = {"learn": F.coalesce(F.col("doc_id") % 5 != 0, F.lit(False)), "tune": F.col("doc_id") % 3 == 1}
+    got = lm_scores(docs_of(spark, docs).coalesce(1), **options).collect()
+    assert sorted(map(repr, (r.doc_id for r in got))) == sorted(repr(i) for i, _ in docs)
