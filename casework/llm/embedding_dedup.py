@@ -45,7 +45,7 @@ def _signs(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     return (on.reshape(len(x), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)
 
 
-def _roots(near: np.ndarray, count: int) -> np.ndarray:
+def roots_of_links(near: np.ndarray, count: int) -> np.ndarray:
     """For links as pairs of row numbers, the first row of each row's component: least neighbours until nothing changes."""
     root = np.arange(count)
     while len(near):
@@ -78,7 +78,7 @@ def _bucket_links(ids: np.ndarray, members: np.ndarray, left: np.ndarray, x: np.
                 u, v = u[exact], v[exact]
                 np.add.at(far, u, members[v])
                 np.add.at(far, v, members[u])
-                root = _roots(np.stack((root[u], root[v]), 1), len(ids))[root]
+                root = roots_of_links(np.stack((root[u], root[v]), 1), len(ids))[root]
     some = np.flatnonzero(far)
     if not len(some):
         return None

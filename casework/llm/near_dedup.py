@@ -10,11 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.alike import rare_cells, settled
 from casework.llm.common import cut, plain_text, stored
 from casework.llm.components import connected_components
+from casework.llm.embedding_dedup import roots_of_links
 from casework.llm.wordhash import chunks, mixed, shingle_hashes, word_hashes
 
+#: A block of a crowd: about so many rows, of so many shingles together at most.
+SIDE, SIDE_CELLS = 512, 1 << 19
+#: Shingles of a block that are counted at a time.
+COLUMNS = 1 << 12
+
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     """For each text its distinct shingles of ``size`` lower-cased words, hashed and sorted; a text with fewer words
@@ -162,14 +167,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, *, size: int, percent: int) ->
 
 
 def _cells(texts: DataFrame, size: int) -> DataFrame:
-    """(node, component, cells): the hashed shingle set of each text."""
+    """(rep, size, cells): the hashed shingle set of each text."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cells = [s.view(np.int64) for s in shingle_sets(batch["text"].tolist(), size)]
-            yield pd.DataFrame({"node": batch["rep"], "component": batch["component"], "cells": cells})
+            yield pd.DataFrame({"rep": batch["rep"], "size": [len(c) for c in cells], "cells": cells})
+
+    return texts.select("rep", "text").mapInPandas(sets, "rep long, size long, cells array<long>")
+
+
+def common_cells(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of ``one`` shares with each of ``two``, by products of 0-1 matrices of some columns at a time."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (one, two)]
+    known = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(one), len(two)), np.float32)
+    at = []
+    for (cells, owner), rows in zip(sides, (len(one), len(two)), strict=True):
+        spot = np.searchsorted(known, cells)
+        spot[spot == len(known)] = 0
+        held = known[spot] == cells if len(known) else np.zeros(len(cells), bool)
+        order = np.argsort(spot[held], kind="stable")
+        at.append((spot[held][order], owner[held][order], rows))
+    for low in range(0, len(known), COLUMNS):
+        width = min(COLUMNS, len(known) - low)
+        ones = []
+        for spot, owner, rows in at:
+            part = slice(*np.searchsorted(spot, (low, low + width)))
+            ones.append(np.zeros((rows, width), np.float32))
+            ones[-1][owner[part], spot[part] - low] = 1
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def _met(at_region: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components: all pairs of rows (tree, region, rep, component) that share a region but not a component
+    are compared on their whole sets (rep, size, cells).
 
-    return texts.select("rep", "component", "text").mapInPandas(sets, "node long, component long, cells array<long>")
+    The rows of a region's largest component need not meet each other, only the rest of the region, and the rest itself. Both
+    are dealt into blocks of bounded size by a hash; a task gets two blocks, and returns no more links than it has rows."""
+    sized = at_region.join(sets.select("rep", "size").hint("merge"), "rep")
+    each = sized.groupBy("tree", "region", "component").agg(F.count("*").alias("n"), F.sum("size").alias("cells"))
+    whole = each.groupBy("tree", "region").agg(
+        F.max(F.struct("n", "cells", "component")).alias("most"), F.sum("n").alias("n"), F.sum("cells").alias("cells")
+    )
+    blocks = lambda n, cells: F.greatest(F.ceil(n / SIDE), F.ceil(cells / SIDE_CELLS))
+    dealt = whole.select(
+        "tree", "region", F.col("most.component").alias("largest"), blocks(F.col("most.n"), F.col("most.cells")).alias("large"),
+        blocks(F.col("n") - F.col("most.n"), F.col("cells") - F.col("most.cells")).alias("rest"),
+    )
+    apart = F.col("component") != F.col("largest")
+    own = F.when(apart, F.pmod(F.xxhash64("rep"), "rest")).otherwise(F.col("rest") + F.pmod(F.xxhash64("rep"), "large"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(apart, F.col("large")).otherwise(0))
+    rows = at_region.join(dealt.hint("merge"), ["tree", "region"]).select("tree", "region", "rep", "component", own.alias("own"), F.explode(others).alias("other"))
+    rows = rows.select("tree", "region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        in_one, in_two = group["own"] == group["i"], group["own"] == group["j"]
+        sides = [(side["component"].to_numpy(), side["cells"].tolist()) for side in (group[in_one], group[in_two])]
+        if not all(len(c) for c, _ in sides):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        (here, one), (there, two) = sides
+        common = common_cells(one, two)
+        union = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :] - common
+        linked = np.argwhere((100 * common.astype(np.float64) >= percent * union) & (here[:, None] != there[None, :]))
+        names, place = np.unique(np.concatenate((here, there)), return_inverse=True)
+        near = np.stack((place[linked[:, 0]], place[len(here) + linked[:, 1]]), axis=1)
+        root = roots_of_links(near, len(names))
+        moved = root != np.arange(len(names))
+        return pd.DataFrame({"a": names[moved], "b": names[root[moved]]})
+
+    return rows.join(sets.select("rep", "cells").hint("merge"), "rep").groupBy("tree", "region", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -204,10 +272,9 @@ def near_dedup(
     they link need not be compared again, so all trees together then only bring pairs across components: neighbours,
     and each class with its region's hub, the class with most links so far, for a base text whose many copies are
     further from each other than from it. A region of more rows than neighbours are looked at, in which several components
-    are left, is searched by the rarest shingles of all its rows (see alike.py): all rows that share a rare one, and a few
-    leaders of those that many rows have, with new leaders until a round links hardly anything more.
-    Every candidate is confirmed on its full sets, so no link is wrong, and candidates stay in proportion to documents,
-    also where thousands are alike.
+    are left, is compared throughout, but for the rows of its largest component among themselves: blocks of full sets meet in
+    tasks of bounded size. So all rows that share a region are linked as they should be, and no link is wrong. What that
+    costs grows with the rows of a region times those of them that are not in its largest component.
 
     Defined results: null and empty texts have no shingle and link with nothing; a null id is left out of links and is
     its own (null) component; rows that repeat an id are one document of several texts, and those that repeat a text are
@@ -248,24 +315,12 @@ def near_dedup(
     at_region = located.select("tree", "region", "rep", "here").join(merged, "here", "left").select("tree", "region", "rep", F.coalesce("whole", "here").alias("component"))
     crowds = at_region.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     crowds = crowds.filter((F.col("n") > near + 1) & (F.col("low") != F.col("high"))).select("tree", "region")
-    crowd = cut(at_region.join(crowds.hint("merge"), ["tree", "region"]).select("rep", "component").distinct())
-    few = rare_cells(_cells(texts.join(crowd.hint("merge"), "rep"), size), percent / 100)
-
-    def merged_by(pairs: DataFrame, few: DataFrame) -> DataFrame:
-        """(component, whole) after confirming pairs of nodes in different components."""
-        at = few.select("node", "component").distinct()
-        at_a, at_b = (at.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")).hint("merge") for x in "ab")
-        linked = _verified(pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "in_a", "in_b"), texts, size=size, percent=percent)
-        return connected_components(linked.select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))).select(
-            F.col("node").alias("component"), F.col("component").alias("whole")
-        )
-
-    merges = settled(few, percent / 100, merged_by)
-
+    crowd = cut(at_region.join(crowds.hint("merge"), ["tree", "region"]))
+    sets = stored(_cells(texts.join(crowd.select("rep").distinct().hint("merge"), "rep"), size))
+    third = connected_components(_met(crowd, sets, percent))
     placed = reps.select("digest", "rep").join(first.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("at", F.coalesce("component", "rep"))
-    by_second = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    for later in (by_second, *merges):
-        moved = later.select(F.col("component").alias("at"), "whole").hint("merge")
+    for later in (second, third):
+        moved = later.select(F.col("node").alias("at"), F.col("component").alias("whole")).hint("merge")
         placed = placed.select("digest", "at").join(moved, "at", "left").select("digest", F.coalesce("whole", "at").alias("at"))
     by_class = placed.select("digest", F.col("at").alias("component_id"))
     ids = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))

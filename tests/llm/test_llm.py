@@ -20,7 +20,7 @@ from casework.llm.exact_dedup import exact_dedup
 from casework.llm.licences import KNOWN, known_digests, licence_scan
 from casework.llm.line_dedup import line_decisions, line_dedup
 from casework.llm.mixing import mix_sources
-from casework.llm.near_dedup import near_dedup
+from casework.llm.near_dedup import common_cells, near_dedup
 from casework.llm.quality import held_out, quality_scores, with_quality
 from casework.llm.wordhash import word_hashes
 
@@ -462,3 +462,40 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, with_odd, folder).count() >= 0, name
         assert stage(spark, with_odd.limit(0), folder).count() == 0, name
+
+
+def test_a_few_pairs_in_a_crowd_are_found(spark):
+    """Hundreds of edits of one template that are too far from each other, of edits that many share, and twelve pairs among them."""
+    rng = random.Random(71)
+    template, spots = prose(rng, 90).split(), range(4, 89, 5)
+    apart = lambda x, others, least: all((x ^ y).bit_count() >= least for y in others)
+    codes, twins = [], []
+    while len(codes) < 600:
+        if apart(x := rng.getrandbits(17), codes, 3):
+            codes.append(x)
+    while len(twins) < 12:
+        of = rng.randrange(600)
+        x = codes[of] ^ (1 << rng.randrange(17))
+        if of not in [o for o, _ in twins] and apart(x, [c for c in codes if c != codes[of]] + [t for _, t in twins], 3):
+            twins.append((of, x))
+    numbers = rng.sample(range(10_000), 612)
+    rows = []
+    for number, code in zip(numbers, codes + [t for _, t in twins], strict=True):
+        words = list(template)
+        for k, at in enumerate(spots):
+            words[at] = f"{'yes' if code >> k & 1 else 'no'}{k}"
+        rows.append((number, " ".join(words), "a"))
+    want = {i: i for i in numbers}
+    for k, (of, _) in enumerate(twins):
+        pair = numbers[600 + k], numbers[of]
+        want[max(pair)] = min(pair)
+    # Trees of one value: any two alike texts share a region, together with many that are not.
+    got = near_dedup(docs_of(spark, rows), size=4, depth=1, least=1, near=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_common_cells():
+    rng = np.random.default_rng(4)
+    one, two = ([np.unique(rng.integers(0, 9000, n)) for n in rng.integers(0, 6000, 20)] for _ in range(2))
+    assert common_cells(one, two).tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]
+    assert common_cells([np.zeros(0, np.int64)], two).sum() == 0
