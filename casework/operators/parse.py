@@ -20,7 +20,8 @@ LINES_PER_TASK = 20_000
 #: Tokens: a time of day, a simple fraction, a share, a number, a quarter sign, a word, a mark that separates.
 TOKEN = r"\d{1,2}:\d{2}(?!\d)|(?<![\d/])[1-9]/[2-9](?![\d/])|\d+(?:[.,]\d+)?%|\d+(?:[.,]\d+)?|[½¼¾]|\p{L}+(?:['’-]\p{L}+)*|[/+,:–-]"
 _LINE = ["line_id", "line", "copy_no"]
-_PART = [*_LINE, "alt", "comp"]
+_TEXT = ["line"]
+_PART = [*_TEXT, "alt", "comp"]
 
 
 def _has(role: str, roles: str | Column = "roles") -> Column:
@@ -34,27 +35,27 @@ def _number(token: Column) -> Column:
     return F.coalesce(F.when(token.rlike(r"^\d+([.,]\d+)?$"), F.replace(token, F.lit(","), F.lit(".")).try_cast("double")), top / below, sign)
 
 
-def _tokens(lines: DataFrame, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each token of each line: pos, tok, folded, roles, value (of a number), unit. Equal rows of the table are lines of
-    their own, told apart by a number."""
-    # Lines are counted and dealt before they become tokens: the tables of a task and all its sorts then fit its memory, whatever the number of lines.
-    lines = written(lines.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), F.col(text_col).alias("line")))
-    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() / LINES_PER_TASK))
-    copies = lines.repartition(tasks, "line_id", "line").groupBy("line_id", "line").agg(F.count("*").cast("int").alias("n"))
-    rows = copies.select("line_id", "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows, dealt over tasks by their number: the tables of a task and all its sorts then fit its memory, however many rows there are."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / LINES_PER_TASK))
+    return rows.repartition(tasks, *rows.columns)
+
+
+def _tokens(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """A row for each token of each text: pos, tok, folded, roles, value (of a number), unit."""
     # What stands in brackets behind an amount is what it is an amount of; any other bracket is a note.
     opened = F.regexp_replace("line", r"(\d\s*\p{L}+\s*)\(([^()]*)\)", "$1$2")
     notes = F.filter(F.transform(F.regexp_extract_all(opened, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda n: F.btrim(n)), lambda n: n != "")
     body = F.regexp_replace(opened, r"\([^()]*\)", " ")
-    each = rows.select(*_LINE, F.nullif(F.array_join(notes, " | "), F.lit("")).alias("note"), F.posexplode_outer(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    each = rows.select(*_TEXT, F.nullif(F.array_join(notes, " | "), F.lit("")).alias("note"), F.posexplode_outer(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
     each = each.withColumn("folded", fold_text(F.col("tok")))
     named = each.join(words, F.col("folded") == F.col("word"), "left").drop("word")
-    return named.select(*_LINE, "note", "pos", "tok", "folded", "roles", F.col("value").alias("worth"), F.col("stands_for"), _number(F.col("tok")).alias("number"))
+    return named.select(*_TEXT, "note", "pos", "tok", "folded", "roles", F.col("value").alias("worth"), F.col("stands_for"), _number(F.col("tok")).alias("number"))
 
 
 def _without_second_numbers(tokens: DataFrame) -> DataFrame:
     """A range before a word is its mean; of several numbers with one unit the first counts."""
-    w = Window.partitionBy(*_LINE).orderBy("pos")
+    w = Window.partitionBy(*_TEXT).orderBy("pos")
     near = lambda c, n: F.lead(c, n).over(w) if n > 0 else F.lag(c, -n).over(w)
     is_word = F.col("tok").rlike(r"^\p{L}")
     t = tokens.withColumn("is_word", F.coalesce(is_word, F.lit(False)))
@@ -72,7 +73,7 @@ def _without_second_numbers(tokens: DataFrame) -> DataFrame:
 
 def _without_label(tokens: DataFrame) -> DataFrame:
     """What stands before the first colon goes when it holds a heading or a time, or no word at all."""
-    line = Window.partitionBy(*_LINE)
+    line = Window.partitionBy(*_TEXT)
     colon = F.min(F.when(F.col("tok") == ":", F.col("pos"))).over(line)
     t = tokens.withColumn("colon", colon)
     before = F.col("pos") < F.col("colon")
@@ -89,7 +90,7 @@ def _without_label(tokens: DataFrame) -> DataFrame:
 
 def _parted(tokens: DataFrame, choices: Sequence[str], together: Sequence[tuple[str, str]]) -> DataFrame:
     """Adds ``alt`` and ``comp``, the numbers of the alternative and of the component in it that a token belongs to, and ``sep``, whether it only parts."""
-    w = Window.partitionBy(*_LINE).orderBy("pos")
+    w = Window.partitionBy(*_TEXT).orderBy("pos")
     lag, lead = (lambda c, n=1: F.lag(c, n).over(w)), (lambda c, n=1: F.lead(c, n).over(w))
     amount = F.col("number").isNotNull() & F.coalesce(_has("unit", lead("roles")) | _has("vessel", lead("roles")), F.lit(False))
     t = tokens.withColumn("amount", F.coalesce(amount, F.lit(False)))
@@ -118,17 +119,17 @@ def _parted(tokens: DataFrame, choices: Sequence[str], together: Sequence[tuple[
     t = t.withColumn("cut", F.coalesce("kind", implied))
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("piece", F.count("cut").over(running))
-    inside = Window.partitionBy(*_LINE, "piece")
+    inside = Window.partitionBy(*_TEXT, "piece")
     names = F.col("is_word") & F.col("kind").isNull()
     says = F.coalesce(F.max(names).over(inside), F.lit(False))
     only_traits = F.coalesce(F.min(F.when(names, _has("trait") | _has("link") | _has("aside"))).over(inside), F.lit(False))
     opens = F.first(F.when(F.col("kind").isNull(), _has("aside")), ignorenulls=True).over(inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     t = t.withColumn("real", F.col("cut").isNotNull() & says & ~only_traits & ~F.coalesce(opens, F.lit(False)))
-    chooses = F.max(F.col("real") & (F.col("cut") == "either")).over(Window.partitionBy(*_LINE))
+    chooses = F.max(F.col("real") & (F.col("cut") == "either")).over(Window.partitionBy(*_TEXT))
     either = (F.col("cut") == "either") | ((F.col("cut") == "comma") & F.coalesce(chooses, F.lit(False)))
     t = t.withColumn("new_alt", F.col("real") & either).withColumn("new_comp", F.col("real") & ~either)
     t = t.withColumn("alt", F.sum(F.col("new_alt").cast("int")).over(running))
-    within = Window.partitionBy(*_LINE, "alt").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*_TEXT, "alt").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("comp", F.sum(F.col("new_comp").cast("int")).over(within))
     # A mark that parts nothing goes too, a word that parts nothing stays in the name.
     sep = F.col("kind").isNotNull() & (F.col("real") | ~F.col("is_word") | _has("both")) & ~F.coalesce(kept_pair, F.lit(False))
@@ -188,12 +189,14 @@ def parse_components(
     is a number, a unit or vessel, and a name; a number alone counts pieces. A line that opens with advice is advice, but for alternatives that
     begin with a number (amounts in litres are advice too); so is a component whose name opens with advice, and a stretch of time. Lines of residue are noise.
 
-    One shuffle brings the tokens of a line together; every later step keeps that partitioning. Null lines give no row, lines with
+    A text is read once, however many lines say it; one shuffle brings its tokens together, every later step keeps that partitioning, and the
+    lines take what their text says by a join. Null lines give no row, lines with
     nothing in them one row without a name; equal rows are told apart by copy_no."""
     words = word_table(lines.sparkSession) if words is None else words
-    tokens = _without_label(_without_second_numbers(_tokens(lines, words, id_col, text_col)))
+    lines = written(lines.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), F.col(text_col).alias("line")))
+    tokens = _without_label(_without_second_numbers(_tokens(_dealt(written(lines.select("line").distinct())), words)))
     read = _read(_parted(tokens, choices, together))
-    line, alt = Window.partitionBy(*_LINE), Window.partitionBy(*_LINE, "alt")
+    line, alt = Window.partitionBy(*_TEXT), Window.partitionBy(*_TEXT, "alt")
     noise = F.min("residue").over(line)
     first = (F.col("alt") == 0) & (F.col("comp") == 0)
     advice_line = F.max(first & F.col("advises") & ~F.col("counted")).over(line)
@@ -208,10 +211,13 @@ def parse_components(
     read = read.withColumn("alternatives", F.max("alt_no").over(line) + 1).withColumn("comp_no", F.row_number().over(alt.orderBy("comp")) - 1)
     told = ~F.col("noise") & (F.col("advises") | (F.col("advice_line") & ~F.col("rescued")) | (F.col("name").isNull() & F.col("quantity").isNull()))
     silent = F.col("noise") | told
-    return read.select(
-        *_LINE, "alt_no", "comp_no", "alternatives", F.col("components").cast("int").alias("components"),
+    said = read.select(
+        *_TEXT, "alt_no", "comp_no", "alternatives", F.col("components").cast("int").alias("components"),
         *[F.when(~silent, F.col(c)).alias(c) for c in ("quantity", "unit", "raw_unit", "name")], "note", F.col("noise").alias("is_noise"), told.alias("is_advice"),
     )
+    copies = _dealt(lines).groupBy("line_id", "line").agg(F.count("*").cast("int").alias("n"))
+    each = copies.select("line_id", "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+    return each.join(said, "line").select(*_LINE, *[c for c in said.columns if c not in _LINE])
 
 
 def propagate_quantity(components: DataFrame) -> DataFrame:

@@ -121,3 +121,16 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch):
     assert "hashpartitioning(line_id" in (plan := found._jdf.queryExecution().executedPlan().toString())
     assert ", 40), REPARTITION_BY_NUM" in plan
     assert found.count() == 200
+
+
+def test_a_text_that_many_lines_say_is_read_once(spark, monkeypatch):
+    from casework.operators import parse
+
+    seen, parted = [], parse._parted
+    monkeypatch.setattr(parse, "_parted", lambda tokens, *rest: seen.append(tokens) or parted(tokens, *rest))
+    lines = [(i, "30 gr pan") for i in range(50)] + [(7, "30 gr pan"), (None, "30 gr pan"), (8, "2 latas de maiz"), (9, None)]
+    got = parse.parse_components(spark.createDataFrame(lines, "line_id long, line string")).collect()
+    assert sorted((r.line_id is not None, r.line_id or 0, r.copy_no, r.line) for r in got) == sorted(
+        [(True, i, 1, "30 gr pan") for i in range(50)] + [(True, 7, 2, "30 gr pan"), (False, 0, 1, "30 gr pan"), (True, 8, 1, "2 latas de maiz")]
+    )
+    assert seen[0].select("line").distinct().count() == 2 and seen[0].count() < 10
