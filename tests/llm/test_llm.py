@@ -225,6 +225,23 @@ def test_lines_without_spaces_are_read_to_their_end(spark):
     assert {r.doc_id for r in line_decisions(docs_of(spark, [(i, x, "a") for i, x in enumerate(lines)])).collect()} == want
 
 
+def test_alike_lines_of_a_crowd_meet_whoever_leads_it(spark):
+    """Lines of sixteen parts, each one of three wordings: no shingle is rare, few lines are alike, and most are led by others."""
+    rng = random.Random(64)
+    parts = [[prose(rng, 5) for _ in range(3)] for _ in range(16)]
+    chosen = [[rng.randrange(3) for _ in parts] for _ in range(900)]
+    for i in rng.sample(range(900), 80):
+        k = rng.randrange(16)
+        chosen.append([*chosen[i][:k], (chosen[i][k] + 1) % 3, *chosen[i][k + 1 :]])
+    lines = [" ".join(p[c] for p, c in zip(parts, own, strict=True)) for own in chosen]
+    sets, own = [every_run(x) for x in lines], np.array(chosen)
+    close = [(a, b) for b in range(len(lines)) for a in np.flatnonzero((own[:b] == own[b]).sum(axis=1) >= 12).tolist()]
+    links = [(a, b) for a, b in close if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {i for i, root in components(links).items() if i != root}
+    assert len(want) >= 60
+    assert {r.doc_id for r in line_decisions(docs_of(spark, [(i, x, "a") for i, x in enumerate(lines)])).collect()} == want
+
+
 def test_lines_of_one_template_all_meet(spark):
     rng = random.Random(62)
     template = prose(rng, 24)
