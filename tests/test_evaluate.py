@@ -164,3 +164,18 @@ def test_equal_cases_meet_a_query_no_oftener_than_it_needs(spark):
     assert sorted(map(tuple, found.select("query_id", "case_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "nth" in plan
+
+
+@pytest.mark.parametrize("weights", [(1.0, 0.0, 0.0, 0.0, 0.0), (0.5, 0.0, 0.5, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0, 1.0)])
+def test_cases_that_differ_in_what_has_no_weight_are_equal(spark, monkeypatch, weights):
+    rows = [(i, i // 2, "op"[i % 2], "st"[i % 3 % 2], "nm"[i % 5 % 2], None if i % 7 == 0 else "r", float(i % 3) if weights[4] else i * 9.0) for i in range(900)]
+    candidates = spark.createDataFrame(rows, "case_id long, entity_id long, objective string, segment string, nation string, region string, balance double")
+    queries = candidates.filter("case_id % 300 = 0").select(F.col("case_id").alias("query_id"), F.col("entity_id").alias("q_entity_id"), *[F.col(c).alias("q_" + c) for c in (*R.TRAITS, "balance")])
+    met, best = [], R.best
+    monkeypatch.setattr(R, "best", lambda rows, by, *rest: (met.append(rows.count()) if by == ["query_id"] else None) or best(rows, by, *rest))
+    found = R.attribute_pool(queries, candidates, 12, weights=weights)
+    pairs = queries.join(candidates, queries.q_entity_id != candidates.entity_id).select("query_id", "case_id", (F.col("objective") == F.col("q_objective")).alias("same"), R.attribute_score(weights=weights).alias("score"))
+    want = best(pairs, ["query_id"], [F.desc("score"), F.asc("case_id")], 12)
+    assert sorted(map(tuple, found.select("query_id", "case_id", "same", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
+    if not weights[4]:
+        assert met[0] <= 3 * (12 + 2)  # what a query needs beside its own entity's two cases
