@@ -128,3 +128,13 @@ def test_vector_scores_hold_the_best_the_least_and_all_ties(spark):
         assert one == other
     one, other = (sorted(map(repr, R.hybrid_topk(x, 10, 0.6).collect())) for x in (found, every))
     assert one == other
+
+
+def test_pairs_of_the_owners_asked_for(spark):
+    rows = [(k, f"e{(k * 3 + j) % 19}") for k in range(120) for j in range(4)]
+    sets = spark.createDataFrame(rows, "id long, e string").distinct()
+    asked = spark.range(0, 120, 9)
+    every = {tuple(r) for r in linkage.overlap_pairs(sets, "id", "e", threshold=0.5).collect()}
+    some = [tuple(r) for r in linkage.overlap_pairs(sets, "id", "e", threshold=0.5, asked=asked).collect()]
+    assert sorted(some) == sorted(p for p in every if p[0] % 9 == 0 or p[1] % 9 == 0) and any(p[0] % 9 == p[1] % 9 == 0 for p in some)
+    assert len(some) < len(every) and all(a < b for a, b, *_ in some)
