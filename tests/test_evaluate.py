@@ -179,3 +179,14 @@ def test_cases_that_differ_in_what_has_no_weight_are_equal(spark, monkeypatch, w
     assert sorted(map(tuple, found.select("query_id", "case_id", "same", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
     if not weights[4]:
         assert met[0] <= 3 * (12 + 2)  # what a query needs beside its own entity's two cases
+
+
+def test_steps_of_retrieval_begin_with_candidates_written_once(spark):
+    from casework.plans import q_retrieval
+    from casework.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    read = {f for _ in range(2) for f in q_retrieval.stated_queries(t).inputFiles()}
+    assert read and read == set(t.once("candidates", lambda: None).inputFiles())
+    columns = ["case_id", "entity_id", "objective", "segment", "nation", "region", "balance"]
+    assert sorted(map(repr, q_retrieval.known_cases(t).select(columns).collect())) == sorted(map(repr, q_retrieval.candidates(t).select(columns).collect()))
