@@ -190,3 +190,13 @@ def test_steps_of_retrieval_begin_with_candidates_written_once(spark):
     assert read and read == set(t.once("candidates", lambda: None).inputFiles())
     columns = ["case_id", "entity_id", "objective", "segment", "nation", "region", "balance"]
     assert sorted(map(repr, q_retrieval.known_cases(t).select(columns).collect())) == sorted(map(repr, q_retrieval.candidates(t).select(columns).collect()))
+
+
+def test_checks_of_proposals_read_them_where_they_are_written(spark):
+    from casework.plans import q_validate
+    from casework.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    found = q_validate.proposal_conformance(t)
+    read, near = set(found.inputFiles()), t.once("neighbourhood", lambda: None).inputFiles()
+    assert near and not read & set(near) and read & set(t.once("stay", lambda: None).inputFiles())
